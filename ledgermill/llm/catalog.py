@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.llm import leakage
+from ledgermill.llm.bundles import Bundles
 from ledgermill.llm.consensus import Consensus
 from ledgermill.llm.mixing import Mixture
+from ledgermill.llm.overlap import Overlap
 from ledgermill.llm.spans import SharedSpans
 
 
@@ -31,6 +33,38 @@ def p1_readers(spark, sf):
     return _consensus(spark, sf).readers()
 
 
+def _overlap(spark, sf):
+    return Overlap(_t(spark, sf, "provenance"), _t(spark, sf, "split_roles"))
+
+
+def p4_found(spark, sf):
+    return _overlap(spark, sf).pairs()
+
+
+def p4_report(spark, sf):
+    return _overlap(spark, sf).report()
+
+
+def p4_contained(spark, sf):
+    return _overlap(spark, sf).contained_records()
+
+
+def _bundles(spark, sf):
+    return Bundles(_t(spark, sf, "provenance"), _t(spark, sf, "split_roles"))
+
+
+def p5_found(spark, sf):
+    return _bundles(spark, sf).found()
+
+
+def p5_assign(spark, sf):
+    return _bundles(spark, sf).assign()
+
+
+def p5_report(spark, sf):
+    return _bundles(spark, sf).report()
+
+
 def p6_found(spark, sf):
     return leakage.leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items")).select("doc_id", "item_id")
 
