@@ -8,8 +8,11 @@ only where that setting is absent and Spark runs in local mode.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +36,23 @@ def build_session(master: str = "local[*]", app: str = "ledgermill", **conf: str
     return tune(builder.getOrCreate())
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgermill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgermill-"), "ledgermill.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(archive)  # Spark's file server hands it out
+    sc._ledgermill_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of a session made elsewhere; changes nothing else."""
+    """Ship the package and bound the Arrow batches of a session made elsewhere."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
     return spark
