@@ -2,47 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ledgermill.operators.drift import Drift
-from ledgermill.operators.nested import FlatTables, nodes
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def p2_found(spark, sf):
-    return Drift(_t(spark, sf, "jobs")).changes()
-
-
-def p2_scripts(spark, sf):
-    return Drift(_t(spark, sf, "jobs")).scripts()
-
-
-def p2_table(spark, sf):
-    return Drift(_t(spark, sf, "jobs")).table()
-
-
-def p3_found(spark, sf):
-    found = nodes(_t(spark, sf, "jobs")).where("node_level <> 'job'")
-    return found.select("job_id", "node_level", "page_index", "cell_row", "cell_column", "item")
-
-
-def p3_cells(spark, sf):
-    return FlatTables(_t(spark, sf, "jobs")).table("cell")
-
-
-def p3_links(spark, sf):
-    """Rows and parents of each flat table."""
-    n = FlatTables(_t(spark, sf, "jobs")).nodes
-    return n.groupBy("node_level").agg(F.count("*").alias("n_rows"), F.countDistinct("parent_key").alias("n_parents"), F.countDistinct("job_id").alias("n_jobs"))
+from ledgermill.plans import rules, training  # noqa: F401  (registration)
+from ledgermill.plans.common import QUERIES, SQL
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
