@@ -35,9 +35,9 @@ def flag_outliers(cells: DataFrame) -> DataFrame:
     lies within the threshold.
     """
     counted = (F.col("cell_row") >= F.col("header_rows")) & (F.col("cell_column") >= F.col("row_label_columns")) & ~F.col("excluded") & F.col("fixed").isNull() & (F.col("kind") == "rule")
-    value = F.when(counted & (F.col("status") != "excluded"), G.number(F.col("c.text")).cast("double"))
+    value = G.number(F.col("c.text")).cast("double")
     key = ["template_id", "page_index", "cell_row", "rule_name"]
-    found = outliers(cells.select("cell_id", *key, "rule", "c", "kind", "excluded", "fixed", "status", "cell_column"), key, value).where("is_outlier")
+    found = outliers(cells.where(counted & (F.col("status") != "excluded")).select("cell_id", *key, "rule", "c"), key, value).where("is_outlier")
     near = lambda v: G.valid(v, F.col("rule")) & F.coalesce(F.abs(G.number(v).cast("double") - F.col("center")) <= F.col("threshold"), F.lit(False))
     plausible = F.exists(F.transform(F.split(F.col("c.alternative"), r" \| "), G.strip), near)
     marks = found.select("cell_id", F.when(plausible, F.array(F.lit(OUTLIER), F.lit(PLAUSIBLE))).otherwise(F.array(F.lit(OUTLIER))).alias("marks"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgermill.plans import rules, training  # noqa: F401  (registration)
+from ledgermill.plans import evidence, rules, training, workflow  # noqa: F401  (registration)
 from ledgermill.plans.common import QUERIES, SQL
 
 
