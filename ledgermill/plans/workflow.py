@@ -192,12 +192,11 @@ def template_fit_check(spark, sf):
  greatest(0.0, 1.0 - (abs(trect.x - drect.x) + abs(trect.y - drect.y) + abs(trect.width - drect.width) + abs(trect.height - drect.height)) / 0.8) AS s_rect,
  CASE WHEN coalesce(reference_page_aspect, 0) = 0 THEN 0.5 ELSE greatest(0.0, 1.0 - abs(aspect - reference_page_aspect) / greatest(aspect, reference_page_aspect)) END AS s_aspect FROM fit),
 sc AS (SELECT *, 0.27 * s_row + 0.31 * s_col + 0.15 * s_rect + 0.10 * s_aspect + 0.17 * (s_shape + s_cshape) / 2 AS s FROM parts)
-SELECT page_id, template_id, CASE WHEN auto_fit_rows AND problem IS NOT NULL THEN round(round(s * 0.49, 4), 3) WHEN n_warnings > 0 THEN round(round(least(s, 0.49), 4), 3) ELSE round(round(greatest(0.0, least(1.0, s)), 4), 3) END AS score FROM sc""")
+SELECT page_id, template_id, CASE WHEN auto_fit_rows AND problem IS NOT NULL THEN round(s * 0.49, 4) WHEN n_warnings > 0 THEN round(least(s, 0.49), 4) ELSE round(greatest(0.0, least(1.0, s)), 4) END AS score FROM sc""")
 def template_rank(spark, sf):
-    """Score of every page and latest template (three places here, four in the operator)."""
+    """Score of every page and latest template."""
     no = F.lit(False)
-    problem = T.fit_problem(F.col("t"), F.col("d"))
-    return _matches(spark, sf).select("page_id", "template_id", F.round(T.match_score(F.col("t"), F.col("d"), no, no), 3).alias("score"), problem.alias("p")).drop("p")
+    return _matches(spark, sf).select("page_id", "template_id", T.match_score(F.col("t"), F.col("d"), no, no).alias("score"))
 
 
 @query("SELECT doc_id, t.id AS template_id FROM documents d, templates t WHERE length(t.name) >= 4 AND contains(' ' || lower(regexp_replace(coalesce(d.title, ''), '[^\\p{L}\\p{N}_]+', ' ', 'g')) || ' ', ' ' || lower(regexp_replace(t.name, '[^\\p{L}\\p{N}_]+', ' ', 'g')) || ' ')")
