@@ -225,7 +225,7 @@ def digamma(x: np.ndarray) -> np.ndarray:
         out[small] -= 1 / x[small]
         x[small] += 1
     y = 1 / x**2
-    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
 
 
 @dataclass
@@ -260,7 +260,8 @@ class Reliability:
             e = np.exp(s - s.max(1, keepdims=True))
             self.member = e / e.sum(1, keepdims=True)
         self.type_matrix = alpha / alpha.sum(2, keepdims=True)
-        own = counts + self.strength * np.einsum("rc,cko->rko", self.member, self.type_matrix) / K
+        seen = np.einsum("rc,rko->ck", self.member, counts) + 0.01  # the prior's labels fall on kinds as the type's do
+        own = counts + self.strength * np.einsum("rc,cko,ck->rko", self.member, self.type_matrix, seen / seen.sum(1, keepdims=True))
         self.matrix = own / own.sum(2, keepdims=True)
         right, wrong = own[:, :, 0].sum(1), own[:, :, 1:].sum((1, 2))
         before, self.weight = self.weight, digamma(right) - digamma(wrong) + np.log(self.rivals)  # expected log odds of a Beta posterior
