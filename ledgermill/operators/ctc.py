@@ -34,7 +34,7 @@ def forward(matrix: np.ndarray, alphabet: list[str], text: str) -> float:
         for step, row in enumerate(logs):
             stay = state
             move = np.concatenate(([-math.inf], state[:-1]))
-            leap = np.where(jump, np.concatenate(([-math.inf, -math.inf], state[:-2])), -math.inf)
+            leap = np.where(jump, np.concatenate(([-math.inf, -math.inf], state))[: len(state)], -math.inf)
             state = np.logaddexp(np.logaddexp(stay, move), leap) + row[labels]
         total = np.logaddexp(total, state[-1] if len(labels) == 1 else np.logaddexp(state[-1], state[-2]))
     return float(total)

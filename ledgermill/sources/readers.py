@@ -15,7 +15,7 @@ reference_page_aspect double, reference_source_path string,
 fields array<struct<id:string,name:string,rect:{RECT},kind:string,recognition:string,source:string,fixed_value:string,export_mode:string,required:boolean,column_start:int,column_end:int,color:string,printed_label:string>>,
 column_rules array<struct<name:string,role:string,decimal_separator:string,preserve_complex_notation:boolean,{RULE}>>,
 cell_rules array<struct<id:string,name:string,row_start:int,row_end:int,column_start:int,column_end:int,color:string,constraints:struct<{RULE}>>>,
-fixed_cells array<struct<row:int,column:int,value:string>>, excluded_rows array<int>, excluded_columns array<int>, excluded_cells array<struct<row:int,column:int>>, page_transforms map<int,string>"""
+fixed_cells array<struct<row:int,column:int,value:string>>, excluded_rows array<int>, excluded_columns array<int>, excluded_cells array<struct<row:int,column:int>>, page_transforms map<string,string>"""
 
 
 def templates(spark: SparkSession, path: str) -> DataFrame:
@@ -26,6 +26,7 @@ def templates(spark: SparkSession, path: str) -> DataFrame:
     for name, value in defaults.items():
         df = df.withColumn(name, F.coalesce(name, F.lit(value)))
     df = df.withColumn("family_id", F.coalesce(F.nullif("family_id", F.lit("")), F.col("id")))
+    df = df.withColumn("page_transforms", F.transform_keys("page_transforms", lambda k, _: k.try_cast("int")))  # JSON keys are text
     for name in ("fields", "column_rules", "cell_rules", "fixed_cells", "excluded_rows", "excluded_columns", "excluded_cells"):
         df = df.withColumn(name, F.coalesce(name, F.array().cast(df.schema[name].dataType)))
     return df
