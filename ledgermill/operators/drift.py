@@ -251,7 +251,8 @@ class Drift:
             steps = trees.select("station_id", "batch_seq", "same").withColumn("previous_seq", F.lag("batch_seq").over(order)).withColumn("before", F.lag("same").over(order))
             changed = steps.where("previous_seq is not null and same <> before").select("station_id", "batch_seq", "previous_seq")
             new, old = trees.select("station_id", "batch_seq", F.col("tree").alias("new")), trees.select("station_id", F.col("batch_seq").alias("previous_seq"), F.col("tree").alias("old"))
-            pairs = changed.join(new, ["station_id", "batch_seq"]).join(old, ["station_id", "previous_seq"]).select("station_id", "batch_seq", "previous_seq", "old", "new")
+            # Trees compress well on disk and not in memory, so their joins sort and merge instead of broadcasting.
+            pairs = changed.join(new.hint("merge"), ["station_id", "batch_seq"]).join(old.hint("merge"), ["station_id", "previous_seq"]).select("station_id", "batch_seq", "previous_seq", "old", "new")
             self._scripts = stage(pairs.mapInArrow(_scripts, "station_id string, batch_seq int, previous_seq int, " + OPS), "drift-scripts")
         return self._scripts
 

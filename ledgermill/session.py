@@ -72,9 +72,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a scan of that table."""
+    """Write ``df`` once as Parquet in the shared folder and return a scan of that table.
+
+    An application's tables lie in one folder named by its id, to be deleted after it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ledgermill-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgermill_path = path
