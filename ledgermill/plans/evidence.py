@@ -115,10 +115,13 @@ def _answer(model: str, name: str) -> str:
     return f"{name}0 AS (SELECT cell_id, max({{'support': support, 'v': value_text}}).v AS raw FROM evidence WHERE model = '{model}' AND value_text IS NOT NULL GROUP BY cell_id), {name}1 AS (SELECT e.cell_id, {S.canonical('trim(raw)')} AS v, rule FROM {name}0 JOIN eligible e USING (cell_id)), {name}2 AS (SELECT *, len({S.errors('v', 'rule')}) = 0 AND v <> '' AS fit, {S.reclassified('v', 'rule')} AS moved, {S.proposal('v', 'rule')} AS put FROM {name}1), {name} AS (SELECT cell_id, CASE WHEN fit THEN v WHEN moved IS NOT NULL AND (put IS NULL OR put = moved) THEN moved WHEN moved IS NULL AND put IS NOT NULL THEN put END AS t FROM {name}2)"
 
 
-@query(f"""WITH {P._OUT}, {_ELIG}, {_answer(FIRST, 'fa')}, {_answer(SECOND, 'fb')},
+SQL_AGREEMENT = f"""WITH {P._OUT}, {_ELIG}, {_answer(FIRST, 'fa')}, {_answer(SECOND, 'fb')},
 o AS (SELECT e.cell_id, c_text AS baseline, c_alternative, fa.t AS a, fb.t AS b, {S.number('c_text')} AS n0, {S.number('fa.t')} AS na, {S.number('fb.t')} AS nb FROM eligible e LEFT JOIN fa USING (cell_id) LEFT JOIN fb USING (cell_id)),
 r AS (SELECT *, CASE WHEN a IS NULL THEN 'first_unavailable' WHEN b IS NULL AND na IS NOT DISTINCT FROM n0 THEN 'baseline_supported' WHEN b IS NULL THEN 'second_unavailable' WHEN na IS DISTINCT FROM nb THEN 'disagreement' WHEN na IS NOT DISTINCT FROM n0 THEN 'agreed_unchanged' ELSE 'changed' END AS outcome FROM o)
-SELECT cell_id, outcome, CASE WHEN outcome = 'changed' THEN a ELSE baseline END AS final_text FROM r""")
+SELECT cell_id, outcome, CASE WHEN outcome = 'changed' THEN a ELSE baseline END AS final_text FROM r"""
+
+
+@query(SQL_AGREEMENT)
 def agreement_update(spark, sf):
     e = table(spark, sf, "evidence")
     return A.agree(A.eligible(P._flagged(spark, sf)), A.answers(e, FIRST, "first"), A.answers(e, SECOND, "second")).select("cell_id", "outcome", "final_text")
