@@ -98,5 +98,61 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+# Oracle SQL: the definitions, written plainly. They compare whole tables and are meant for small scales.
+
+
+def _plain(v: str) -> str:
+    return f"nullif(ltrim(translate(regexp_replace({v}, '[\\s]', '', 'g'), '０１２３４５６７８９,−–', '0123456789.--'), '+'), '')"
+
+
+def _p1(rounds: int = 8) -> str:
+    """Votes, then rounds of reliabilities and weighted readings; the lead is clear in every cell."""
+    sql = f"""WITH m AS (SELECT cell_id, 'm:' || model AS reader, {_plain('arg_max(value_text, (support, value_text))')} AS v FROM evidence WHERE cell_id IS NOT NULL AND {_plain('value_text')} IS NOT NULL GROUP BY cell_id, model),
+u AS (SELECT * FROM m UNION ALL SELECT cell_id, 'pipeline', {_plain('candidates[1]')} FROM ocr_cells WHERE {_plain('candidates[1]')} IS NOT NULL),
+dc AS (SELECT cell_id, arg_max(predicted, (support, predicted)) AS pr FROM digit_checks WHERE predicted <> '' GROUP BY cell_id),
+votes AS MATERIALIZED (SELECT * FROM u UNION ALL SELECT DISTINCT u.cell_id, 'digits', u.v FROM u JOIN dc ON u.cell_id = dc.cell_id AND regexp_replace(u.v, '[^0-9]', '', 'g') = dc.pr),
+w0 AS (SELECT DISTINCT reader, 1.0::DOUBLE AS w FROM votes)"""
+    for i in range(rounds):
+        sql += f""",
+s{i} AS MATERIALIZED (SELECT cell_id, v, sum(w) AS s, count(*) AS n FROM votes JOIN w{i} USING (reader) GROUP BY cell_id, v),
+q{i} AS MATERIALIZED (SELECT cell_id, v, exp(s - max(s) OVER p) / sum(exp(s)) OVER p * exp(max(s) OVER p) AS q FROM s{i} WINDOW p AS (PARTITION BY cell_id)),
+w{i + 1} AS MATERIALIZED (SELECT reader, ln(2 * (sum(q) + 1) / (sum(1 - q) + 1)) AS w FROM votes JOIN q{i} USING (cell_id, v) GROUP BY reader)"""
+    last = f"s{rounds - 1}"
+    return sql + f""",
+r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY s DESC, v) AS place FROM {last})
+SELECT a.cell_id, a.v AS value_text FROM r a WHERE place = 1 AND EXISTS (SELECT 1 FROM r b WHERE b.cell_id = a.cell_id AND b.place > 1 AND b.n >= a.n)"""
+
+
+_RECORDS = "rec AS (SELECT record_id, document_id, source_group, crop_sha256, raw_text, coalesce(r.split_role, 'none') AS role FROM (SELECT * FROM provenance WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) = 1) p LEFT JOIN split_roles r ON lower(trim(p.source_split)) = r.source_split)"
+
+_P4 = f"""WITH {_RECORDS}, x AS (SELECT record_id, role, nullif(trim(regexp_replace(lower(trim(crop_sha256)), '^sha256:', '')), '') AS crop, trim(regexp_replace(strip_accents(lower(coalesce(raw_text, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM rec WHERE role <> 'none')
+SELECT DISTINCT least(a.record_id, b.record_id) AS record_id_a, greatest(a.record_id, b.record_id) AS record_id_b FROM x a JOIN x b ON a.role = 'train' AND b.role <> 'train'
+WHERE a.crop = b.crop OR (length(a.t) >= 40 AND length(b.t) >= 40 AND abs(length(a.t) - length(b.t)) * 10 <= greatest(length(a.t), length(b.t)) AND levenshtein(a.t, b.t) * 10 <= greatest(length(a.t), length(b.t)))"""
+
+_KEY = lambda c: f"CASE WHEN lower(trim({c})) NOT IN ('', 'unknown', 'n/a', '-', 'none') THEN lower(trim({c})) END"
+_P5 = f"""WITH RECURSIVE {_RECORDS}, k AS (SELECT record_id AS r, role, {_KEY('document_id')} AS d, {_KEY('source_group')} AS g FROM rec),
+e AS (SELECT DISTINCT a.r AS x, b.r AS y FROM k a JOIN k b ON a.d = b.d UNION SELECT DISTINCT a.r, b.r FROM k a JOIN k b ON a.g = b.g),
+c(x, y) AS (SELECT r, r FROM k UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
+b AS (SELECT k.r, k.role, min(c.y) AS bundle_key FROM k JOIN c ON c.x = k.r GROUP BY k.r, k.role)
+SELECT DISTINCT bundle_key, role AS split_role FROM b WHERE role <> 'none' AND bundle_key IN (SELECT bundle_key FROM b WHERE role <> 'none' GROUP BY 1 HAVING count(DISTINCT role) > 1)"""
+
+
+def _words(id_: str, text: str, source: str) -> str:
+    clean = f"lower(regexp_replace(regexp_replace({text}, '[­​﻿⁠]', '', 'g'), '([\\p{{L}}\\p{{N}}])[-‐][ \\t]*\\r?\\n\\s*([\\p{{L}}\\p{{N}}])', '\\1\\2', 'g'))"
+    return f"SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {id_} AS id, regexp_extract_all({clean}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {source} WHERE {id_} IS NOT NULL AND {text} IS NOT NULL) WHERE len(w) >= 12)"
+
+
+_P6 = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({_words('doc_id', 'text', 'documents')}) d JOIN ({_words('item_id', 'item_text', 'eval_items')}) i USING (run)"
+
+# Any common tokenizer gives the same sources; here words, numbers and runs of signs are the tokens.
+_P7 = """WITH n AS (SELECT lower(trim(source)) AS source, len(regexp_extract_all(coalesce(text, ''), '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]+')) AS n FROM documents),
+s AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(n.n), 0) AS n FROM source_targets t LEFT JOIN n ON n.source = lower(trim(t.source)) GROUP BY ALL)
+SELECT source FROM s WHERE n * max_repeats < target_share * (SELECT sum(n) FROM s)"""
+
+_P8 = """WITH w AS (SELECT doc_id, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300)),
+d AS (SELECT DISTINCT doc_id, h FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": _p1(), "p4_found": _P4, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p8_found": _P8}
