@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.functions import grammar as G
+from ledgermill.session import stage
 
 
 def eligible(flagged: DataFrame) -> DataFrame:
@@ -44,6 +45,8 @@ def agree(cells: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """Outcome per eligible cell; the text changes only where both models agree against the baseline."""
     df = cells.select("cell_id", F.col("c.text").alias("baseline"), F.col("c.alternative").alias("alternative"), "rule").join(first, "cell_id", "left").join(second, "cell_id", "left")
     df = df.withColumn("a", reading(F.col("first"), F.col("rule"))).withColumn("b", reading(F.col("second"), F.col("rule")))
+    # Written once: the answers under the rule are dear, and each is looked at several times.
+    df = stage(df.select("cell_id", "baseline", "alternative", "a", "b"), "agreement")
     df = df.select("cell_id", "baseline", "alternative", "a", "b", G.numeric_identity(F.col("baseline")).alias("n0"), G.numeric_identity(F.col("a")).alias("na"), G.numeric_identity(F.col("b")).alias("nb"))
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
     outcome = F.when(F.col("a").isNull(), "first_unavailable").when(F.col("b").isNull() & same("na", "n0"), "baseline_supported").when(F.col("b").isNull(), "second_unavailable")

@@ -22,3 +22,13 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture(scope="session")
+def duck(sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in os.listdir(sf):
+        con.execute(f"create view {name.split('.')[0]} as select * from '{sf}/{name}'")
+    return con
