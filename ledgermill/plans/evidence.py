@@ -88,10 +88,13 @@ def close_digit_ties(spark, sf):
     return R.close_digits(R.geometric(R.model_scores(_obs(spark, sf), R.eligible(table(spark, sf, "ocr_cells")))))
 
 
-@query(f"""WITH {S.resolved()}, {_OBS},
+SQL_ADAPTIVE = f"""WITH {S.resolved()}, {_OBS},
 b AS (SELECT cell_id, model, image_key, max({{'support': support, 'value': value}}) AS top FROM obs WHERE starts_with(image_key, 'base-') GROUP BY ALL),
 p AS (SELECT cell_id, count(*) AS n, count(DISTINCT top.value) AS n_values, min(top.value) AS value, min(top.support) AS least FROM b GROUP BY ALL)
-SELECT cell_id, CASE WHEN n >= 4 AND n_values = 1 AND least >= 0.95 AND {S.full('value', r'\p{Nd}+(\.\p{Nd}+)?')} AND len({S.errors('value', 'rule')}) = 0 AND len({S.warnings('value', 'rule')}) = 0 AND rule.value_format IN ('numeric', 'integer') THEN 'short' ELSE 'full' END AS pass FROM p JOIN resolved USING (cell_id) WHERE kind = 'rule'""")
+SELECT cell_id, CASE WHEN n >= 4 AND n_values = 1 AND least >= 0.95 AND {S.full('value', r'\p{Nd}+(\.\p{Nd}+)?')} AND len({S.errors('value', 'rule')}) = 0 AND len({S.warnings('value', 'rule')}) = 0 AND rule.value_format IN ('numeric', 'integer') THEN 'short' ELSE 'full' END AS pass FROM p JOIN resolved USING (cell_id) WHERE kind = 'rule'"""
+
+
+@query(SQL_ADAPTIVE)
 def adaptive_gate(spark, sf):
     return R.adaptive(_obs(spark, sf), _rules(spark, sf))
 

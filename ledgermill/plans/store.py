@@ -12,6 +12,7 @@ from ledgermill.operators import store as O
 from ledgermill.plans import evidence as E
 from ledgermill.plans import rules as P
 from ledgermill.plans import sqltext as S
+from ledgermill.plans import workflow as W
 from ledgermill.plans.common import query, table
 
 
@@ -174,3 +175,44 @@ def template_upgrade(spark, sf):
     known = t.where("template_version <= 3").select("digest")
     old = t.join(known, "digest", "left_semi")
     return old.alias("a").join(t.alias("b"), "family_id").where("a.template_version < b.template_version").select(F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"))
+
+
+@query(f"SELECT pass, count(*) AS n FROM ({E.SQL_ADAPTIVE}) GROUP BY pass")
+def adaptive_counts(spark, sf):
+    return E.adaptive_gate(spark, sf).groupBy("pass").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT template_id, page_index, count(*) AS n_cells, count(*) FILTER (outcome = 'changed') AS n_changed,
+CASE WHEN count(*) FILTER (outcome = 'first_unavailable') = count(*) THEN 'failed' WHEN count(*) FILTER (outcome IN ('first_unavailable', 'second_unavailable')) > 0 THEN 'partial' ELSE 'complete' END AS state
+FROM ({E.SQL_AGREEMENT}) a JOIN (SELECT cell_id, template_id, page_index FROM ocr_cells) c USING (cell_id) GROUP BY template_id, page_index""")
+def verification_pages(spark, sf):
+    """State of each page's verification: failed keeps the baseline, partial lacks answers for some cells."""
+    c = table(spark, sf, "ocr_cells").select("cell_id", "template_id", "page_index")
+    lacks = F.col("outcome").isin("first_unavailable", "second_unavailable")
+    per = E.agreement_update(spark, sf).join(c, "cell_id").groupBy("template_id", "page_index").agg(F.count("*").alias("n_cells"), F.count_if(F.col("outcome") == "changed").alias("n_changed"), F.count_if(F.col("outcome") == "first_unavailable").alias("none"), F.count_if(lacks).alias("some"))
+    state = F.when(F.col("none") == F.col("n_cells"), "failed").when(F.col("some") > 0, "partial").otherwise("complete")
+    return per.select("template_id", "page_index", "n_cells", "n_changed", state.alias("state"))
+
+
+@query(f"""WITH {S.resolved()} SELECT cell_id, CASE WHEN kind IN ('excluded', 'fixed') THEN 'skip' WHEN trim(coalesce(raw_text, '')) = '' THEN 'blank' WHEN kind = 'rule' AND rule.value_format IN ('numeric', 'integer') THEN 'cascade'
+ WHEN kind = 'rule' AND rule.value_format = 'complex_numeric' THEN 'vote' ELSE 'text' END AS reader FROM resolved""")
+def cell_dispatch(spark, sf):
+    """Which reader a cell goes to: none, the numeric cascade, the fast vote or text."""
+    fmt = F.col("rule.value_format")
+    rule = F.col("kind") == "rule"
+    reader = F.when(F.col("kind").isin("excluded", "fixed"), "skip").when(G.strip(F.col("raw_text")) == "", "blank").when(rule & fmt.isin("numeric", "integer"), "cascade").when(rule & (fmt == "complex_numeric"), "vote").otherwise("text")
+    return P._resolved(spark, sf).select("cell_id", reader.alias("reader"))
+
+
+@query(f"""SELECT template_id, min(round(score * 100))::INTEGER AS score, count(*) AS n_pages, min(score) >= 0.55 AS offered FROM ({W.SQL_RANK}) GROUP BY template_id""")
+def document_compatibility(spark, sf):
+    """A document is as compatible with a template as its worst page; only scores from 0.55 on are offered."""
+    per = W.template_rank(spark, sf).groupBy("template_id").agg(F.min("score").alias("s"), F.min(F.round(F.col("score") * 100)).cast("int").alias("score"), F.count("*").alias("n_pages"))
+    return per.select("template_id", "score", "n_pages", (F.col("s") >= 0.55).alias("offered"))
+
+
+@query(f"""SELECT page_id, template_id FROM ({W.SQL_RANK}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, template_id) = 1""")
+def template_choice(spark, sf):
+    """The best template of each page, unless a common choice overrides it (there is none here)."""
+    w = W.template_rank(spark, sf).groupBy("page_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "template_id")).alias("m"))
+    return w.select("page_id", F.col("m.template_id").alias("template_id"))

@@ -185,14 +185,17 @@ def template_fit_check(spark, sf):
     return _matches(spark, sf).select("page_id", "template_id", T.fit_problem(F.col("t"), F.col("d")).alias("problem"))
 
 
-@query(f"""WITH {_PAGES}, parts AS (SELECT *, coalesce(auto_fit_rows, false) AND problem IS NULL AS fitted,
+SQL_RANK = f"""WITH {_PAGES}, parts AS (SELECT *, coalesce(auto_fit_rows, false) AND problem IS NULL AS fitted,
  CASE WHEN coalesce(auto_fit_rows, false) AND problem IS NULL THEN 1.0 ELSE exp(-abs((len(dr) - 1) - (len(tr) - 1)) / greatest(1.0, (len(tr) - 1) * 0.18)) END AS s_row,
  exp(-abs((len(dc) - 1) - (len(tc) - 1)) / greatest(1.0, (len(tc) - 1) * 0.18)) AS s_col,
  CASE WHEN coalesce(auto_fit_rows, false) AND problem IS NULL THEN 1.0 ELSE {_GUIDE('tr', 'dr')} END AS s_shape, {_GUIDE('tc', 'dc')} AS s_cshape,
  greatest(0.0, 1.0 - (abs(trect.x - drect.x) + abs(trect.y - drect.y) + abs(trect.width - drect.width) + abs(trect.height - drect.height)) / 0.8) AS s_rect,
  CASE WHEN coalesce(reference_page_aspect, 0) = 0 THEN 0.5 ELSE greatest(0.0, 1.0 - abs(aspect - reference_page_aspect) / greatest(aspect, reference_page_aspect)) END AS s_aspect FROM fit),
 sc AS (SELECT *, 0.27 * s_row + 0.31 * s_col + 0.15 * s_rect + 0.10 * s_aspect + 0.17 * (s_shape + s_cshape) / 2 AS s FROM parts)
-SELECT page_id, template_id, CASE WHEN auto_fit_rows AND problem IS NOT NULL THEN round(s * 0.49, 4) WHEN n_warnings > 0 THEN round(least(s, 0.49), 4) ELSE round(greatest(0.0, least(1.0, s)), 4) END AS score FROM sc""")
+SELECT page_id, template_id, CASE WHEN auto_fit_rows AND problem IS NOT NULL THEN round(s * 0.49, 4) WHEN n_warnings > 0 THEN round(least(s, 0.49), 4) ELSE round(greatest(0.0, least(1.0, s)), 4) END AS score FROM sc"""
+
+
+@query(SQL_RANK)
 def template_rank(spark, sf):
     """Score of every page and latest template."""
     no = F.lit(False)
