@@ -129,14 +129,14 @@ def rarest_runs(costs: list[np.ndarray], counts: list[int], gram: int) -> list[l
 def _eval_grams(gram: int):
     def run(batches):
         for batch in batches:
-            digests, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             grams = [ta.gram_hashes(ta.points(t), gram).view(np.int64) for t in texts]
             sizes = [len(g) for g in grams]
             which = np.repeat(np.arange(len(texts)), sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(grams or [np.empty(0, np.int64)])),
-                    pa.array(digests, pa.binary()).take(pa.array(which)),
+                    batch.column(0).take(pa.array(which)),
                     pa.array(np.concatenate([np.arange(s) for s in sizes] or [np.empty(0, int)]).astype(np.int32)),
                     pa.array(np.array([len(t) for t in texts], np.int32)[which] if len(texts) else np.empty(0, np.int32)),
                 ],
@@ -150,7 +150,7 @@ def _train_grams(gram: int, counts):
     def run(batches):
         table = counts.value
         for batch in batches:
-            digests, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             grams = [ta.gram_hashes(ta.points(t), gram) for t in texts]
             costs = [table[(g & np.uint64(SLOTS - 1)).astype(np.int64)] for g in grams]
             places = rarest_runs(costs, [most_edits(len(t)) + 1 for t in texts], gram)
@@ -158,7 +158,7 @@ def _train_grams(gram: int, counts):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([g[p] for g, p in zip(grams, places)] or [np.empty(0, np.uint64)]).view(np.int64)),
-                    pa.array(digests, pa.binary()).take(pa.array(which)),
+                    batch.column(0).take(pa.array(which)),
                     pa.array(np.concatenate([np.array(p, np.int32) for p in places] or [np.empty(0, np.int32)])),
                     pa.array(np.array([len(t) for t in texts], np.int32)[which] if len(texts) else np.empty(0, np.int32)),
                 ],
@@ -208,13 +208,13 @@ def _verify_edits(batches):
 
 def _word_grams(batches):
     for batch in batches:
-        digests, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = batch.column(1).to_pylist()
         out = []
         for t in texts:
             w = ta.Words([t]).value
             out.append(np.unique(ta.shingles(w, min(WORDS, max(1, len(w))))).view(np.int64))
         which = np.repeat(np.arange(len(texts)), [len(g) for g in out])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [np.empty(0, np.int64)])), pa.array(digests, pa.binary()).take(pa.array(which)), pa.array(np.array([len(g) for g in out], np.int32)[which] if out else np.empty(0, np.int32))], ["g", "digest", "n_grams"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [np.empty(0, np.int64)])), batch.column(0).take(pa.array(which)), pa.array(np.array([len(g) for g in out], np.int32)[which] if out else np.empty(0, np.int32))], ["g", "class_id", "n_grams"])
 
 
 def _verify_grams(batches):
@@ -241,24 +241,28 @@ class Overlap:
         plain = rows.select("record_id", "role", "raw_text").where(F.length("raw_text") > 0).mapInArrow(_normalise, "record_id long, role string, digest binary, plain string, n int")
         self.plain = stage(plain.where(F.col("n") > 0), "overlap-plain")
         long_enough = self.plain.where(F.col("n") >= MIN_CHARS)
-        self.members = long_enough.select("record_id", "role", "digest")
         evaluation = F.col("role") != "train"
-        self.eval_texts = long_enough.where(evaluation).groupBy("digest").agg(F.first("plain").alias("plain"))
-        self.train_texts = long_enough.where(~evaluation).groupBy("digest").agg(F.first("plain").alias("plain"))
+        side = lambda c: F.max(c.cast("int"))
+        classes = long_enough.groupBy("digest").agg(F.min("record_id").alias("class_id"), F.first("plain").alias("plain"), side(evaluation).alias("in_eval"), side(~evaluation).alias("in_train"))
+        classes = stage(classes, "overlap-classes")
+        #: record_id, role, class_id: the class of equal text (its least record id) of each record.
+        self.members = stage(long_enough.select("record_id", "role", "digest").join(classes.select("digest", "class_id"), "digest").drop("digest"), "overlap-members")
+        self.eval_texts = classes.where("in_eval = 1").select("class_id", "plain")
+        self.train_texts = classes.where("in_train = 1").select("class_id", "plain")
         self.spark = spark
 
     def near(self) -> DataFrame:
         """Pairs (eval, train) of classes with different texts within a tenth of edits."""
-        ev = stage(self.eval_texts.mapInArrow(_eval_grams(GRAM), "g long, eval binary, eval_pos int, eval_n int"), "overlap-eval")
+        ev = stage(self.eval_texts.mapInArrow(_eval_grams(GRAM), "g long, eval long, eval_pos int, eval_n int"), "overlap-eval")
         slots = ev.groupBy(F.col("g").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n")).toPandas()
         counts = np.zeros(SLOTS, np.float32)
         counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.float32)
         table = self.spark.sparkContext.broadcast(counts)
-        tr = self.train_texts.mapInArrow(_train_grams(GRAM, table), "g long, train binary, train_pos int, train_n int")
+        tr = self.train_texts.mapInArrow(_train_grams(GRAM, table), "g long, train long, train_pos int, train_n int")
         most = F.floor(F.greatest("eval_n", "train_n") / TENTHS)
         fit = (F.abs(F.col("eval_pos") - F.col("train_pos")) <= most) & (F.abs(F.col("eval_n") - F.col("train_n")) <= most) & (F.col("eval") != F.col("train"))
         near = ev.join(tr, "g").where(fit).select("eval", "train").distinct()
-        return self._with_texts(near).mapInArrow(_verify_edits, "eval binary, train binary")
+        return self._with_texts(near).mapInArrow(_verify_edits, "eval long, train long")
 
     def _with_texts(self, pairs: DataFrame) -> DataFrame:
         left, right = self.eval_texts.toDF("eval", "eval_text"), self.train_texts.toDF("train", "train_text")
@@ -266,16 +270,16 @@ class Overlap:
 
     def contained(self, threshold: float = CONTAINED) -> DataFrame:
         """(eval, train, containment): training classes that hold at least ``threshold`` of an evaluation text's word grams."""
-        kind = "g long, digest binary, n_grams int"
-        ev = self.eval_texts.mapInArrow(_word_grams, kind).withColumnRenamed("digest", "eval")
-        tr = stage(self.train_texts.mapInArrow(_word_grams, kind).withColumnRenamed("digest", "train").drop("n_grams"), "overlap-words")
+        kind = "g long, class_id long, n_grams int"
+        ev = self.eval_texts.mapInArrow(_word_grams, kind).withColumnRenamed("class_id", "eval")
+        tr = stage(self.train_texts.mapInArrow(_word_grams, kind).withColumnRenamed("class_id", "train").drop("n_grams"), "overlap-words")
         seen = tr.groupBy("g").agg(F.count("*").alias("df"))
         rank = F.row_number().over(Window.partitionBy("eval").orderBy("df", "g"))
         # A training text may miss this many of the grams, so one of the next rarest is in it.
         spare = F.floor(F.col("n_grams") * (1 - threshold) + 1e-9) + 1
         first = ev.join(seen, "g", "left").na.fill({"df": 0}).withColumn("rank", rank).where(F.col("rank") <= spare).where("df > 0")
         near = first.join(tr, "g").select("eval", "train").distinct()
-        return self._with_texts(near).mapInArrow(_verify_grams, "eval binary, train binary, containment double").where(F.col("containment") >= threshold - 1e-9)
+        return self._with_texts(near).mapInArrow(_verify_grams, "eval long, train long, containment double").where(F.col("containment") >= threshold - 1e-9)
 
     def _sides(self, key: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         evaluation = F.col("role") != "train"
@@ -285,7 +289,7 @@ class Overlap:
         """(record_id_a, record_id_b), smaller first: equal crop, equal text or nearly equal text."""
         e, t = self._sides("crop", self.records.where("crop is not null"))
         crops = e.join(t, F.col("ek") == F.col("tk")).select("e", "t")
-        e, t = self._sides("digest", self.members)
+        e, t = self._sides("class_id", self.members)
         same = e.join(t, F.col("ek") == F.col("tk")).select("e", "t")
         near = self.near().join(e, F.col("eval") == F.col("ek")).join(t, F.col("train") == F.col("tk")).select("e", "t")
         return crops.union(same).union(near).select(F.least("e", "t").alias("record_id_a"), F.greatest("e", "t").alias("record_id_b")).distinct()
@@ -294,13 +298,13 @@ class Overlap:
         """Per evaluation split and dataset: records, and how many overlap by crop, by equal and by near text."""
         records, members = self.records, self.members
         crops = records.where("role = 'train' and crop is not null").select("crop").distinct().withColumn("by_crop", F.lit(1))
-        texts = members.where("role = 'train'").select("digest").distinct().withColumn("by_text", F.lit(1))
-        near = self.near().select(F.col("eval").alias("digest")).distinct().withColumn("by_near", F.lit(1))
-        ev = records.where("role <> 'train'").join(crops, "crop", "left").join(members.select("record_id", "digest"), "record_id", "left").join(texts, "digest", "left").join(near, "digest", "left").na.fill({"by_crop": 0, "by_text": 0, "by_near": 0})
+        texts = members.where("role = 'train'").select("class_id").distinct().withColumn("by_text", F.lit(1))
+        near = self.near().select(F.col("eval").alias("class_id")).distinct().withColumn("by_near", F.lit(1))
+        ev = records.where("role <> 'train'").join(crops, "crop", "left").join(members.select("record_id", "class_id"), "record_id", "left").join(texts, "class_id", "left").join(near, "class_id", "left").na.fill({"by_crop": 0, "by_text": 0, "by_near": 0})
         hit = F.greatest("by_crop", "by_text", "by_near")
         return ev.groupBy(F.col("role").alias("split_role"), "dataset").agg(F.count("*").alias("n_records"), *(F.sum(c).alias(c) for c in ("by_crop", "by_text", "by_near")), F.sum(hit).alias("n_overlapping"))
 
     def contained_records(self) -> DataFrame:
         """Per evaluation record with a class of training texts that contain it: how many classes, greatest containment."""
         per = self.contained().groupBy("eval").agg(F.count("*").alias("n_train_texts"), F.round(F.max("containment"), 6).alias("containment"))
-        return self.members.where("role <> 'train'").join(per.withColumnRenamed("eval", "digest"), "digest").select("record_id", "role", "n_train_texts", "containment")
+        return self.members.where("role <> 'train'").join(per.withColumnRenamed("eval", "class_id"), "class_id").select("record_id", "role", "n_train_texts", "containment")
