@@ -34,12 +34,14 @@ def is_split(image_key: Column) -> Column:
 
 
 def model_scores(obs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(cell_id, model, value, current, m): mean support over the model's distinct images; a missing value counts 0."""
+    """(cell_id, model, value, current, m): mean support over the model's distinct images; a missing value counts 0.
+
+    A model's views of a cell are one short list, so the evidence is read and shuffled once.
+    """
     views = obs.where(~is_split(F.col("image_key")))
-    images = views.groupBy("cell_id", "model").agg(F.countDistinct("image_key").alias("n_images"))
-    sums = views.groupBy("cell_id", "model", "value").agg(F.sum("support").alias("s"))
-    every = images.join(candidates, "cell_id")
-    return every.join(sums, ["cell_id", "model", "value"], "left").select("cell_id", "model", "value", "current", F.round(F.coalesce("s", F.lit(0.0)) / F.col("n_images"), 12).alias("m"))
+    per = views.groupBy("cell_id", "model").agg(F.size(F.collect_set("image_key")).alias("n_images"), F.collect_list(F.struct("value", "support")).alias("said"))
+    mine = F.aggregate(F.filter("said", lambda x: x["value"] == F.col("value")), F.lit(0.0), lambda a, x: a + x["support"])
+    return per.join(candidates, "cell_id").select("cell_id", "model", "value", "current", F.round(mine / F.col("n_images"), 12).alias("m"))
 
 
 def geometric(scores: DataFrame) -> DataFrame:
