@@ -37,6 +37,11 @@ def current(jobs: DataFrame) -> DataFrame:
     return jobs.where("id is not null").withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
+def load(jobs: DataFrame, job_id: str) -> DataFrame:
+    """The newest row of one job."""
+    return current(jobs.where(F.col("id") == job_id))
+
+
 def legal(state: Column, event: Column) -> Column:
     """The state after an event; unchanged where the event is not allowed."""
     out = None

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgermill.functions import grammar as G
 from ledgermill.operators import agreement as A
+from ledgermill.operators import islands as I
 from ledgermill.operators import jobs as J
 from ledgermill.operators import ranking as R
 from ledgermill.operators import store as O
@@ -216,3 +217,48 @@ def template_choice(spark, sf):
     """The best template of each page, unless a common choice overrides it (there is none here)."""
     w = W.template_rank(spark, sf).groupBy("page_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "template_id")).alias("m"))
     return w.select("page_id", F.col("m.template_id").alias("template_id"))
+
+
+@query(f"""WITH {P._GRID}, {S.resolved('numbered', 'k')}, m AS (SELECT template_id, cell_row, cell_column FROM resolved WHERE excluded), sel AS (SELECT template_id, cell_row, cell_column FROM resolved WHERE cell_column = 2),
+ax AS (SELECT id AS template_id, 'row' AS axis, unnest(excluded_rows) AS i FROM templates UNION ALL SELECT id, 'column', unnest(excluded_columns) FROM templates),
+kept AS (SELECT * FROM ax WHERE NOT (axis = 'row' AND EXISTS (SELECT 1 FROM sel WHERE sel.template_id = ax.template_id AND sel.cell_row = ax.i)) AND NOT (axis = 'column' AND EXISTS (SELECT 1 FROM sel WHERE sel.template_id = ax.template_id AND sel.cell_column = ax.i)))
+SELECT template_id, axis, i AS cell_row, -1 AS cell_column FROM kept WHERE axis = 'row' UNION ALL SELECT template_id, axis, -1, i FROM kept WHERE axis = 'column'
+UNION ALL SELECT template_id, 'cell', cell_row, cell_column FROM m ANTI JOIN sel USING (template_id, cell_row, cell_column) WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.template_id = m.template_id AND ((axis = 'row' AND i = m.cell_row) OR (axis = 'column' AND i = m.cell_column)))""")
+def exclusion_restore(spark, sf):
+    """Column 2 of every template restored: rows it crosses fall back to their single cells."""
+    g = P._grid(spark, sf)
+    cell = ["template_id", "cell_row", "cell_column"]
+    t = _templates(spark, sf).select(F.col("id").alias("template_id"), "excluded_rows", "excluded_columns")
+    axes = t.select("template_id", F.lit("row").alias("axis"), F.explode("excluded_rows").alias("index")).union(t.select("template_id", F.lit("column"), F.explode("excluded_columns")))
+    kept, single = I.restore(g.where("excluded").select(*cell), axes, g.where("cell_column = 2").select(*cell))
+    none = F.lit(-1)
+    whole = kept.select("template_id", "axis", F.when(F.col("axis") == "row", F.col("index")).otherwise(none).alias("cell_row"), F.when(F.col("axis") == "column", F.col("index")).otherwise(none).alias("cell_column"))
+    return whole.union(single.select("template_id", F.lit("cell"), "cell_row", "cell_column"))
+
+
+@query("SELECT id AS template_id, list_sort(list_distinct(list_transform(list_concat(row_guides, list_transform(fields, lambda f: f.rect.y), list_transform(fields, lambda f: f.rect.y + f.rect.height)), lambda g: round(g, 6)))) AS ys FROM templates")
+def lattice_edges(spark, sf):
+    y = lambda f: f["rect"]["y"]
+    return _templates(spark, sf).select(F.col("id").alias("template_id"), O.edges(F.col("row_guides"), F.transform("fields", y), F.transform("fields", lambda f: f["rect"]["y"] + f["rect"]["height"])).alias("ys"))
+
+
+@query("SELECT stored_source_path, id FROM jobs WHERE stored_source_path IS NOT NULL AND status <> 'imported' QUALIFY row_number() OVER (PARTITION BY stored_source_path ORDER BY created_at, id) = 1")
+def prepare_again(spark, sf):
+    """Stored files to prepare again, each once, with the first job that used it."""
+    j = table(spark, sf, "jobs").where("status <> 'imported'").select("stored_source_path", "id", "created_at")
+    return O.first_of_each(j, "stored_source_path", "created_at", "id").select("stored_source_path", "id")
+
+
+@query("SELECT DISTINCT a.id FROM jobs a WHERE a.result_json IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jobs b WHERE b.id = a.id AND b.status = 'exported' AND sha256(b.result_json) = sha256(a.result_json))")
+def drafts_kept(spark, sf):
+    """Results that differ from what was exported of the same job: equal ones are dropped as drafts."""
+    j = table(spark, sf, "jobs").where("id is not null and result_json is not null").select("id", "status", F.sha2("result_json", 256).alias("digest"))
+    done = j.where("status = 'exported'").select("id", "digest").distinct()
+    return j.join(done, ["id", "digest"], "left_anti").select("id").distinct()
+
+
+@query("SELECT id AS template_id, f.id AS field_id, x, y, greatest(1, least(round_even(f.rect.width * 1240, 0), 1240 - x))::INTEGER AS width, greatest(1, least(round_even(f.rect.height * 1754, 0), 1754 - y))::INTEGER AS height FROM (SELECT id, f, greatest(0, least(round_even(f.rect.x * 1240, 0), 1239))::INTEGER AS x, greatest(0, least(round_even(f.rect.y * 1754, 0), 1753))::INTEGER AS y FROM (SELECT id, unnest(fields) AS f FROM templates))")
+def field_pixels(spark, sf):
+    """Field rectangles in pixels of a page of 1240 x 1754."""
+    f = _templates(spark, sf).select(F.col("id").alias("template_id"), F.explode("fields").alias("f"))
+    return f.select("template_id", F.col("f.id").alias("field_id"), O.pixel_rect(F.col("f.rect"), F.lit(1240), F.lit(1754)).alias("p")).select("template_id", "field_id", "p.*")
