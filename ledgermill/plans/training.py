@@ -64,6 +64,41 @@ def p3_cells(spark, sf):
     return FlatTables(table(spark, sf, "jobs")).table("cell")
 
 
+@query()
+def p3_jobs(spark, sf):
+    return FlatTables(table(spark, sf, "jobs")).table("job")
+
+
+@query()
+def p3_pages(spark, sf):
+    return FlatTables(table(spark, sf, "jobs")).table("page")
+
+
+@query()
+def p3_candidates(spark, sf):
+    return FlatTables(table(spark, sf, "jobs")).table("candidate")
+
+
+@query()
+def p3_model_readings(spark, sf):
+    return FlatTables(table(spark, sf, "jobs")).table("model_reading")
+
+
+@query()
+def p3_fields(spark, sf):
+    return FlatTables(table(spark, sf, "jobs")).table("field")
+
+
+@query()
+def p3_column_rules(spark, sf):
+    return FlatTables(table(spark, sf, "jobs")).table("column_rule")
+
+
+@query()
+def p3_cell_rules(spark, sf):
+    return FlatTables(table(spark, sf, "jobs")).table("cell_rule")
+
+
 @query()
 def p3_links(spark, sf):
     """Rows and parents of each flat table."""

@@ -83,5 +83,30 @@ def test_nodes(spark):
     assert [r.score for r in scores.orderBy("item").collect()] == [0.9, None, 1.0]
 
 
+def test_flat_tables_keep_every_member(spark):
+    cells = [
+        {"row": 1, "column": 1, "raw_text": "1", "writer_suggestion": "w", "applied_rule": "a", "preview_crop_path": "p", "slow_mode_evidence": {"policy_name": "two", "model_a": "1", "left": 2}},
+        {"row": 1, "column": "x", "rawText": "2", "text": "3", "conf": 0.5, "review_state": "ok", "alts": ["4"], "new": {"a": 1}},
+        {"row": 1, "column": 3, "raw_text": None, "reading_raw": "5", "finalText": "6", "text": "7", "score": "0.25", "state": "ok", "other_readings": [], "candidate_scores": "none"},
+    ]
+    rule = {"id": "r", "row_start": 0, "column_start": "2", "column_end": "none", "color": "#fff", "constraints": {"suggestMissingDecimal": "yes", "lower_bound": 0.5, "odd": 1}}
+    job = {
+        "input_path": "/in", "engine": "e", "app_build": 5, "template": {"id": "t", "revision": 3, "column_rules": [{"name": "A", "purpose": "data", "propose_separator": True, "upper_bound": 7, "expected_maximum": 6, "hue": None}], "cell_rules": [rule]},
+        "pages": [{"page_index": 0, "page_file": "f", "skipped_rows": [1], "cells": cells, "fields": [{"region_id": "d", "accepted_text": "x", "printed_label": "D"}]}],
+    }
+    f = FlatTables(jobs(spark, [("j", "s", 1, "1", job)]))
+    one = lambda tag: f.table(tag).orderBy("ordinal").collect()
+    got = [(c.raw_text, c.final_text, c.confidence, c.status, c.alternatives, c.writer_suggestion, c.applied_rule, c.preview_crop_path, c.evidence_policy) for c in one("cell")]
+    assert got == [("1", None, None, None, None, "w", "a", "p", "two"), ("2", "3", "0.5", "ok", '["4"]', None, None, None, None), ("5", "6", "0.25", "ok", "[]", None, None, None, None)]
+    rest = [{k: json.loads(v) if k == "new" else v for k, v in c.rest.items()} for c in one("cell")]
+    assert rest == [{}, {"column": "x", "new": {"a": 1}}, {"text": "7", "candidate_scores": "none"}]
+    assert one("cell")[0].evidence_rest == {"left": "2"}
+    (j,), (p,), (d,), (k,), (c,) = map(one, ("job", "page", "field", "column_rule", "cell_rule"))
+    assert (j.source_path, j.model_version, j.app_build, j.template_id, j.template_version, j.rest, j.template_rest) == ("/in", "e", "5", "t", "3", {}, {})
+    assert (p.source_file, p.excluded_rows, p.rest) == ("f", "[1]", {}) and (d.final_text, d.printed_label, d.rest) == ("x", "D", {})
+    assert (k.role, k.suggest_missing_decimal, k.maximum, k.expected_maximum, k.rest) == ("data", "true", "7", "6", {})
+    assert (c.column_start, c.column_end, c.color, c.constraint_suggest_missing_decimal, c.constraint_minimum, c.constraint_rest, c.rest) == (2, None, "#fff", "yes", "0.5", {"odd": "1"}, {"column_end": "none"})
+
+
 def test_position():
     assert [position(v) for v in (None, True, "3", 4.0, "x", float("inf"))] == [-1, -1, 3, 4, -1, -1]
