@@ -298,12 +298,20 @@ class Drift:
         return out
 
     def table(self) -> DataFrame:
-        """All jobs with one consistent ``result``: every row whose JSON is an object, projected and typed."""
+        """The rows of ``every_row`` that have a result."""
+        return self.every_row().where("no_result is null").drop("no_result")
+
+    def every_row(self) -> DataFrame:
+        """All jobs with one consistent ``result``, projected and typed.
+
+        A row whose JSON is no whole object keeps its job columns, with a null ``result`` and
+        the reason in ``no_result``: null, empty, cut or no object.
+        """
         plan = self.projection()
         schema = compiled_schema(plan)
         keep = ["id", "station_id", "batch_seq", "batch_file", "status", "updated_at"]
-        rows = self.jobs.select(*keep, F.col("result_json").cast("string").alias("result_json"))
-        return rows.mapInArrow(_project(plan), rows.schema).select(*keep, F.from_json("result_json", schema).alias("result"))
+        rows = self.jobs.select(*keep, F.col("result_json").cast("string").alias("result_json"), F.lit(None).cast("string").alias("no_result"))
+        return rows.mapInArrow(_project(plan), rows.schema).select(*keep, F.from_json("result_json", schema).alias("result"), "no_result")
 
 
 def _last(path: str) -> str:
@@ -331,6 +339,19 @@ def compiled_schema(plan: dict[str, tuple[str, str]]) -> str:
     return ", ".join(f"`{c.name}` {ddl(c)}" for c in root.children.values()) or "_none string"
 
 
+def no_result(text: str | None) -> str:
+    """Why a text that is no whole JSON object gives no result."""
+    if text is None:
+        return "null"
+    if not text.strip():
+        return "empty"
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return "cut"
+    return "no object"
+
+
 def _project(plan: dict[str, tuple[str, str]]):
     def scalar(value):
         return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
@@ -357,9 +378,10 @@ def _project(plan: dict[str, tuple[str, str]]):
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("result_json")
-            objects = [parsed_object(t) for t in batch.column(at).to_pylist()]
+            at, why = batch.schema.get_field_index("result_json"), batch.schema.get_field_index("no_result")
+            texts = batch.column(at).to_pylist()
+            objects = [parsed_object(t) for t in texts]
             batch = batch.set_column(at, "result_json", pa.array([None if o is None else json.dumps(renamed(o, ""), ensure_ascii=False) for o in objects], pa.string()))
-            yield batch.filter(pa.array([o is not None for o in objects], pa.bool_()))
+            yield batch.set_column(why, "no_result", pa.array([None if o is not None else no_result(t) for o, t in zip(objects, texts)], pa.string()))
 
     return run

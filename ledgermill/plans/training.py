@@ -37,7 +37,7 @@ def p2_scripts(spark, sf):
 
 @query()
 def p2_table(spark, sf):
-    return Drift(table(spark, sf, "jobs")).table()
+    return Drift(table(spark, sf, "jobs")).every_row()
 
 
 _INT = lambda j, m: f"coalesce(try_cast(json_extract_string({j}, '$.{m}') AS DOUBLE)::INTEGER, -1)"

@@ -5,6 +5,7 @@ from datetime import datetime
 
 from ledgermill.operators.drift import Drift, assign, compiled_schema, distance, script, tree
 from ledgermill.operators.nested import FlatTables, nodes, position
+from ledgermill.plans.catalog import QUERIES
 
 JOBS = "id string, station_id string, batch_seq int, batch_file string, status string, updated_at string, received_at timestamp, result_json string, path string, type string, rank int"
 
@@ -54,6 +55,13 @@ def test_consistent_table(spark):
     assert [got[k]["w"] for k in ("j1", "j2", "j3")] == ["true", "yes", None] and got["j3"]["a"]["z"] == ["1", "2"] and "j4" in got
 
 
+def test_consistent_table_keeps_every_row(spark, tmp_path):
+    rows = [("j1", "s", 1, "1", {"a": 1}), ("j2", "s", 1, "1", None), ("j3", "s", 2, "1", '{"a": 1, "b"'), ("j4", "s", 2, "1", "[1]"), ("j5", None, None, "1", " "), ("j6", "s", 2, "1", "null"), ("j1", "s", 2, "2", None)]
+    jobs(spark, rows).write.parquet(str(tmp_path / "jobs.parquet"))
+    got = sorted((r.id, r.station_id or "", r.status, r.result.a if r.result else -1.0, r.no_result or "") for r in QUERIES["p2_table"](spark, str(tmp_path)).collect())
+    assert got == sorted([("j1", "s", "ready", 1.0, ""), ("j2", "s", "ready", -1.0, "null"), ("j3", "s", "ready", -1.0, "cut"), ("j4", "s", "ready", -1.0, "no object"), ("j5", "", "ready", -1.0, "empty"), ("j6", "s", "ready", -1.0, "no object"), ("j1", "s", "ready", -1.0, "null")])
+
+
 def test_compiled_schema():
     assert compiled_schema({"a": ("a", "object"), "a.b": ("a.b", "number"), "l": ("l", "array"), "l[].c": ("l[].c", "string")}) == "`a` struct<`b`:double>, `l` array<struct<`c`:string>>"
 
