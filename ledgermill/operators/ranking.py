@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions import grammar as G
+from ledgermill.session import stage
 
 FLOOR, MARGIN, WEAK, AGREES, SURE = 0.01, 1.10, 0.5, 0.05, 0.90
 
@@ -70,8 +71,13 @@ def rank(evidence: DataFrame, ocr_cells: DataFrame, digit_checks: DataFrame) ->
     models or by the digit check; a unique split reading of two models comes before that.
     """
     obs = observations(evidence)
-    scored = geometric(model_scores(obs, eligible(ocr_cells))).where("n_models >= 2")
-    splits = obs.where(is_split(F.col("image_key")) & (F.col("support") >= SURE)).groupBy("cell_id", "value").agg(F.countDistinct("model").alias("votes"))
+    return ranked(obs, eligible(ocr_cells), digit_checks, obs.where(is_split(F.col("image_key"))))
+
+
+def ranked(obs: DataFrame, candidates: DataFrame, digit_checks: DataFrame, split_readings: DataFrame) -> DataFrame:
+    """``rank`` on given candidates (cell_id, value, current) and split readings."""
+    scored = geometric(model_scores(obs, candidates)).where("n_models >= 2")
+    splits = split_readings.where(F.col("support") >= SURE).groupBy("cell_id", "value").agg(F.countDistinct("model").alias("votes"))
     scored = scored.join(digit_support(digit_checks), ["cell_id", "value"], "left").join(splits, ["cell_id", "value"], "left").na.fill({"digit_support": 0.0, "votes": 0})
     order = Window.partitionBy("cell_id").orderBy(F.desc("score"), F.col("value") != F.col("current"), "value")
     whole = Window.partitionBy("cell_id")
@@ -126,6 +132,59 @@ def cascade(obs: DataFrame, rules: DataFrame, weight: Column) -> DataFrame:
     return top.select("cell_id", "value", "score", "n_models", "n_crops", F.concat_ws(",", F.lit("numeric_verification_required"), *(F.when(c, F.lit(n)) for c, n in flags)).alias("flags"))
 
 
+def split_readings(obs: DataFrame) -> DataFrame:
+    """Each model's reading of a split cell, where it is digits on both sides of the separator."""
+    own = Window.partitionBy("cell_id", "model").orderBy(F.desc("support"), "value", "image_key")
+    tops = obs.where(is_split(F.col("image_key"))).withColumn("place", F.row_number().over(own)).where("place = 1").drop("place")
+    return tops.where(G.full(F.col("value"), r"\d+\.\d+"))
+
+
+def cascade_ranked(obs: DataFrame, rules: DataFrame, weight: Column, digit_checks: DataFrame) -> DataFrame:
+    """The cascade with split and verifier bonuses, then ranked: per cell the selected value, its score and flags.
+
+    Views other than split ones score as in ``cascade``. A model's split reading adds
+    1.8 * weight * support, the best supported check of a scored value 0.55 * support *
+    confidence. The best value is then the current one of ``ranked``. Cells where no
+    reading obeys the rule keep the fast vote. Steps that need pixels (separator, visible
+    digits, isolated digit) are not part of it.
+    """
+    obs = stage(obs.join(rules, "cell_id").withColumn("fits", G.valid(F.col("value"), F.col("rule"))).drop("rule"), "cascade-readings")
+    crop = F.substring_index("image_key", "-", 1)
+    view = Window.partitionBy("cell_id", "model", "image_key")
+    places = obs.where(~is_split(F.col("image_key"))).withColumn("rank", F.row_number().over(view.orderBy(F.desc("support"), "value")) - 1).withColumn("best", F.max("support").over(view)).where("rank < 6")
+    beam = weight * 0.78 * (F.col("support") / F.greatest(F.lit(1e-12), F.col("best"))) / (1 + F.col("rank") * 0.20)
+    own = F.when(F.col("rank") == 0, weight * F.greatest(F.lit(0.1), F.col("support"))).otherwise(F.lit(0.0))
+    split = split_readings(obs).where("fits")
+    kept = ["cell_id", "value", "model", "image_key", "support"]
+    shares = places.withColumn("share", F.greatest(own, beam)).where("fits").select(*kept, "share")
+    shares = shares.unionByName(split.select(*kept, (weight * F.col("support") * 1.8).alias("share")))
+    checks = digit_checks.where("cell_id is not null and text is not null and support is not null").groupBy("cell_id", G.plain(F.col("text")).alias("value"))
+    checks = checks.agg(F.max(F.struct("support", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))).alias("check"))
+    per = shares.groupBy("cell_id", "value").agg(F.sum("share").alias("s"), F.max("support").alias("confidence"), F.countDistinct("model").alias("n_models"), F.countDistinct(crop).alias("n_crops"), F.max(crop == "retry").alias("retry"))
+    per = per.join(checks, ["cell_id", "value"], "left")
+    per = per.withColumn("score", F.round(F.col("s") + F.coalesce(0.55 * F.col("check.support") * F.col("check.confidence"), F.lit(0.0)), 9))
+    cell = Window.partitionBy("cell_id")
+    per = per.withColumn("current", F.first("value").over(cell.orderBy(F.desc("score"), "value")))
+    verified = F.max(F.when(F.col("check").isNotNull(), F.struct("check.support", "check.confidence", "value"))).over(cell)
+    per = stage(per.withColumn("verified", verified), "cascade-scores")
+    simple = per.where(G.full(F.col("value"), G.SIMPLE)).select("cell_id", "value", "current")
+    many = simple.withColumn("n", F.count("*").over(cell)).withColumn("held", F.max(F.col("value") == F.col("current")).over(cell)).where("n >= 2 and held").drop("n", "held")
+    final = ranked(obs, many, digit_checks, split).select("cell_id", "selected", F.col("flags").alias("ranking"))
+    per = per.join(final, "cell_id", "left").withColumn("selected", F.coalesce("selected", "current"))
+    top = per.withColumn("next", F.max(F.when(F.col("value") != F.col("selected"), F.col("score"))).over(cell)).where("value = selected")
+    margin, sure = F.col("score") / F.greatest(F.lit(1e-9), F.col("next")), F.col("verified.confidence") >= 0.70
+    names = (
+        (F.col("retry"), "crop_retry_contributed"), (margin < 1.8, "model_disagreement"), ((F.col("n_models") < 2) | (margin < 1.25), "unstable_consensus"),
+        (sure & (F.col("verified.value") == F.col("value")), "digit_verifier_agrees"), (sure & (F.col("verified.value") != F.col("value")), "digit_verifier_disagreement"), (F.col("confidence") < 0.92, "low_confidence"),
+    )
+    always = F.lit("numeric_verification_required,high_accuracy_consensus,multistage_cascade")
+    flags = F.concat_ws(",", always, F.when(F.col("ranking") != "", F.col("ranking")), *(F.when(c, F.lit(n)) for c, n in names))
+    found = top.select("cell_id", "value", "score", "n_models", "n_crops", flags.alias("flags"))
+    rest = fast_vote(obs.join(per.select("cell_id"), "cell_id", "left_anti"), weight)
+    none = F.lit(None).cast("long")
+    return found.unionByName(rest.select("cell_id", "value", "score", none.alias("n_models"), none.alias("n_crops"), F.concat_ws(",", F.when(F.col("flags") != "", F.col("flags")), F.lit("high_accuracy_no_consensus")).alias("flags")))
+
+
 def close_digits(scored: DataFrame) -> DataFrame:
     """Cells whose two best values have one length and differ in one digit, at a ratio under 1.10."""
     order = Window.partitionBy("cell_id").orderBy(F.desc("score"), "value")

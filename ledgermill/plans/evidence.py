@@ -8,7 +8,7 @@ from ledgermill.operators import agreement as A
 from ledgermill.operators import ranking as R
 from ledgermill.plans import rules as P
 from ledgermill.plans import sqltext as S
-from ledgermill.plans.common import query, table
+from ledgermill.plans.common import SQL, query, table
 
 _OBS = f"obs AS (SELECT cell_id, model, image_key, {S.plain('value_text')} AS value, max(support) AS support FROM evidence WHERE cell_id IS NOT NULL AND support IS NOT NULL AND value_text <> '' GROUP BY ALL)"
 _ELIGIBLE = f"""cand0 AS (SELECT cell_id, {S.plain('text')} AS current, list_filter(list_transform(list_concat([text], coalesce(candidates, [])), lambda v: {S.plain('v')}), lambda v: {S.full('v', S.SIMPLE)}) AS many FROM ocr_cells),
@@ -81,6 +81,35 @@ def cascade_scores(spark, sf):
     return R.cascade(_obs(spark, sf), _rules(spark, sf), _weight())
 
 
+def _ranked_sql() -> str:
+    """The ranking's SQL over the cascade's candidates and split readings."""
+    sql = SQL["rank_winner_margin"].replace(_ELIGIBLE, "elig AS (SELECT cell_id, value, current FROM many)")
+    return sql.replace("FROM obs WHERE starts_with(image_key, 'split-') AND support >= 0.9", "FROM split_ok WHERE support >= 0.9")
+
+
+@query(f"""WITH {S.resolved()}, {_OBS}, rl AS (SELECT cell_id, rule FROM resolved WHERE kind = 'rule'),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cell_id, model, image_key ORDER BY support DESC, value) - 1 AS rank, max(support) OVER (PARTITION BY cell_id, model, image_key) AS best FROM obs WHERE NOT starts_with(image_key, 'split-')),
+split_top AS (SELECT * FROM obs WHERE starts_with(image_key, 'split-') QUALIFY row_number() OVER (PARTITION BY cell_id, model ORDER BY support DESC, value, image_key) = 1),
+split_ok AS (SELECT o.* FROM split_top o JOIN rl USING (cell_id) WHERE {S.full('value', r'[0-9]+[.][0-9]+')} AND len({S.errors('value', 'rule')}) = 0),
+sh AS (SELECT cell_id, value, model, string_split(image_key, '-')[1] AS crop, support, greatest(CASE WHEN rank = 0 THEN {_W} * greatest(0.1, support) ELSE 0.0 END, {_W} * 0.78 * (support / greatest(1e-12, best)) / (1 + rank * 0.20)) AS share FROM rk JOIN rl USING (cell_id) WHERE rank < 6 AND len({S.errors('value', 'rule')}) = 0
+ UNION ALL SELECT cell_id, value, model, 'split', support, {_W} * support * 1.8 FROM split_ok),
+ck AS (SELECT cell_id, {S.plain('text')} AS value, max({{'support': support, 'confidence': coalesce(confidence, 0.0)}}) AS c FROM digit_checks WHERE cell_id IS NOT NULL AND text IS NOT NULL AND support IS NOT NULL GROUP BY ALL),
+pr AS (SELECT cell_id, value, sum(share) AS s, max(support) AS confidence, count(DISTINCT model) AS n_models, count(DISTINCT crop) AS n_crops, bool_or(crop = 'retry') AS retry FROM sh GROUP BY ALL),
+sc AS (SELECT pr.*, c, round(s + coalesce(0.55 * c.support * c.confidence, 0.0), 9) AS score FROM pr LEFT JOIN ck USING (cell_id, value)),
+cu AS (SELECT cell_id, value AS current FROM sc QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, value) = 1),
+many AS (SELECT cell_id, value, current FROM sc JOIN cu USING (cell_id) WHERE {S.full('value', S.SIMPLE)} QUALIFY count(*) OVER (PARTITION BY cell_id) >= 2 AND bool_or(value = current) OVER (PARTITION BY cell_id)),
+fin AS ({_ranked_sql()}),
+ver AS (SELECT cell_id, value AS v_value, c.confidence AS v_conf FROM sc WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY c.support DESC, c.confidence DESC, value DESC) = 1),
+pick AS (SELECT cell_id, coalesce(fin.selected, cu.current) AS selected, fin.flags AS ranking FROM cu LEFT JOIN fin USING (cell_id)),
+tp AS (SELECT sc.*, ranking, v_value, v_conf, sc.score / greatest(1e-9, (SELECT max(o.score) FROM sc o WHERE o.cell_id = sc.cell_id AND o.value <> sc.value)) AS margin, (SELECT count(*) FROM sc o WHERE o.cell_id = sc.cell_id) AS n FROM sc JOIN pick ON pick.cell_id = sc.cell_id AND pick.selected = sc.value LEFT JOIN ver ON ver.cell_id = sc.cell_id),
+fast AS ({SQL['vote_fast']})
+SELECT cell_id, value, score, n_models, n_crops, concat_ws(',', 'numeric_verification_required,high_accuracy_consensus,multistage_cascade', nullif(ranking, ''), CASE WHEN retry THEN 'crop_retry_contributed' END, CASE WHEN n > 1 AND margin < 1.8 THEN 'model_disagreement' END, CASE WHEN n_models < 2 OR (n > 1 AND margin < 1.25) THEN 'unstable_consensus' END,
+ CASE WHEN v_conf >= 0.7 THEN CASE WHEN v_value = value THEN 'digit_verifier_agrees' ELSE 'digit_verifier_disagreement' END END, CASE WHEN confidence < 0.92 THEN 'low_confidence' END) AS flags FROM tp
+UNION ALL SELECT cell_id, value, score, NULL, NULL, concat_ws(',', nullif(flags, ''), 'high_accuracy_no_consensus') FROM fast SEMI JOIN rl USING (cell_id) ANTI JOIN cu USING (cell_id)""")
+def cascade_ranked(spark, sf):
+    return R.cascade_ranked(_obs(spark, sf), _rules(spark, sf), _weight(), table(spark, sf, "digit_checks"))
+
+
 @query(f"""WITH {_SCORES}, t AS (SELECT *, lead(value) OVER w AS second, lead(score) OVER w AS nxt, row_number() OVER w AS place FROM scored WINDOW w AS (PARTITION BY cell_id ORDER BY score DESC, value)),
 d AS (SELECT cell_id, value AS first, second, list_filter(range(1, length(value) + 1), lambda i: substr(value, i, 1) <> substr(second, i, 1)) AS spots FROM t WHERE place = 1 AND second IS NOT NULL AND length(value) = length(second) AND score / greatest(1e-12, nxt) < 1.1)
 SELECT cell_id, first, second, cast(spots[1] AS INTEGER) AS position FROM d WHERE len(spots) = 1 AND regexp_full_match(substr(first, cast(spots[1] AS INTEGER), 1), '[0-9]') AND regexp_full_match(substr(second, cast(spots[1] AS INTEGER), 1), '[0-9]')""")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgermill.functions import grammar as G
 from ledgermill.functions.readings import plain_reading
+from ledgermill.operators import ranking
 
 RULE = "value_format string, minimum double, maximum double, decimal_places int, allowed_values array<string>, expected_minimum double, expected_maximum double, allow_empty boolean, suggest_missing_decimal boolean, prefer_expected_range boolean, require_decimal boolean"
 
@@ -97,3 +98,13 @@ def test_column_names(spark):
 def test_review_flags(spark):
     df = spark.createDataFrame([([], "automatic"), (["high_accuracy_consensus"], "automatic"), (["new_flag"], "automatic"), (["new_flag"], "confirmed"), (None, "automatic")], "f array<string>, s string")
     assert [r[0] for r in df.select(G.needs_review(F.col("f"), F.col("s"))).collect()] == [False, False, True, False, False]
+
+
+def test_cascade_counts_splits_and_checks(spark):
+    said = [(1, "a", "base-0", "12", 0.8), (1, "a", "split-left", "1.2", 0.5), (1, "b", "split-left", "1.2", 0.4), (2, "a", "base-0", "7", 0.6), (2, "b", "base-0", "8", 0.5), (3, "a", "base-0", "x", 0.9)]
+    obs = spark.createDataFrame(said, "cell_id long, model string, image_key string, value string, support double")
+    held = spark.createDataFrame([(i, rule()) for i in (1, 2, 3)], f"cell_id long, rule struct<{RULE.replace(', ', ',').replace(' ', ':')}>")
+    checks = spark.createDataFrame([(1, 2, "8", 0.9, 0.9), (1, 2, "8", 0.9, 0.9), (2, 2, "9", 1.0, 1.0)], "check_id long, cell_id long, text string, support double, confidence double")
+    got = {r.cell_id: (r.value, r.score, r.flags.split(",")) for r in ranking.cascade_ranked(obs, held, F.lit(1.0), checks).collect()}
+    assert got[1][:2] == ("1.2", 1.62) and got[2][:2] == ("8", 1.2255)
+    assert "digit_verifier_agrees" in got[2][2] and got[3][0] == "x" and "high_accuracy_no_consensus" in got[3][2]
