@@ -206,15 +206,27 @@ def _verify_edits(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["eval", "train"])
 
 
-def _word_grams(batches):
+def _word_grams(shorter: tuple[int, ...] = ()):
+    """A text's grams of five words, or of its own length if that is less, and those of each ``shorter`` length."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            out = []
+            for t in texts:
+                w = ta.Words([t]).value
+                sizes = {min(WORDS, max(1, len(w)))} | {n for n in shorter if n <= len(w)}
+                out.append(np.concatenate([np.unique(ta.shingles(w, n)).view(np.int64) for n in sorted(sizes)]))
+            which = np.repeat(np.arange(len(texts)), [len(g) for g in out])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [np.empty(0, np.int64)])), batch.column(0).take(pa.array(which)), pa.array(np.array([len(g) for g in out], np.int32)[which] if out else np.empty(0, np.int32))], ["g", "class_id", "n_grams"])
+
+    return run
+
+
+def _short_lengths(batches):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        out = []
-        for t in texts:
-            w = ta.Words([t]).value
-            out.append(np.unique(ta.shingles(w, min(WORDS, max(1, len(w))))).view(np.int64))
-        which = np.repeat(np.arange(len(texts)), [len(g) for g in out])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [np.empty(0, np.int64)])), batch.column(0).take(pa.array(which)), pa.array(np.array([len(g) for g in out], np.int32)[which] if out else np.empty(0, np.int32))], ["g", "class_id", "n_grams"])
+        counts = {max(1, len(ta.Words([t]).value)) for t in batch.column(1).to_pylist()}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(n for n in counts if n < WORDS), pa.int32())], ["n"])
 
 
 def _verify_grams(batches):
@@ -271,8 +283,9 @@ class Overlap:
     def contained(self, threshold: float = CONTAINED) -> DataFrame:
         """(eval, train, containment): training classes that hold at least ``threshold`` of an evaluation text's word grams."""
         kind = "g long, class_id long, n_grams int"
-        ev = self.eval_texts.mapInArrow(_word_grams, kind).withColumnRenamed("class_id", "eval")
-        tr = stage(self.train_texts.mapInArrow(_word_grams, kind).withColumnRenamed("class_id", "train").drop("n_grams"), "overlap-words")
+        ev = self.eval_texts.mapInArrow(_word_grams(), kind).withColumnRenamed("class_id", "eval")
+        shorter = tuple(sorted(r.n for r in self.eval_texts.mapInArrow(_short_lengths, "n int").distinct().collect()))  # at most four
+        tr = stage(self.train_texts.mapInArrow(_word_grams(shorter), kind).withColumnRenamed("class_id", "train").drop("n_grams"), "overlap-words")
         seen = tr.groupBy("g").agg(F.count("*").alias("df"))
         rank = F.row_number().over(Window.partitionBy("eval").orderBy("df", "g"))
         # A training text may miss this many of the grams, so one of the next rarest is in it.

@@ -88,6 +88,12 @@ def test_containment_against_brute_force(spark):
     assert got == {2: 1.0, 3: round(21 / 26, 6)}
 
 
+def test_containment_of_few_long_words(spark):
+    few = "donaudampfschifffahrt kapitaensmuetzenband ueberpruefung"
+    rows = [(1, "d", "train", None, f"one two three {few} four five six"), (2, "d", "test", None, few), (3, "d", "val", None, "a" * 45), (4, "d", "train", None, "b " + "a" * 45)]
+    assert {r.record_id: r.containment for r in overlap(spark, rows).contained_records().collect()} == {2: 1.0, 3: 1.0}
+
+
 def test_empty_and_long(spark):
     o = overlap(spark, [])
     assert o.pairs().collect() == [] and o.report().collect() == [] and o.contained_records().collect() == []
