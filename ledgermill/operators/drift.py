@@ -289,11 +289,18 @@ class Drift:
                 a |= b
                 for x in b:
                     group[x] = a
+        whole = {}
+        for path in sorted(uses):  # a parent before its members
+            name = max(group.get(path, {path}), key=lambda p: (uses[p], p))
+            head, dot, last = name.rpartition(".")
+            above = head.removesuffix("[]")
+            whole[path] = whole.get(above, above) + head[len(above) :] + dot + last
+        kinds = defaultdict(set)
+        for path, name in whole.items():
+            kinds[name] |= types[path]
         out = {}
-        for path in uses:
-            members = group.get(path, {path})
-            name = max(members, key=lambda p: (uses[p], p))
-            seen = set().union(*(types[p] for p in members))
+        for path, name in whole.items():
+            seen = set(kinds[name])
             out[path] = name, seen.pop() if len(seen) == 1 else "object" if "object" in seen and seen <= {"object", "array"} and name.rpartition(".")[2] in DATA_MEMBERS else "string"
         return out
 

@@ -62,6 +62,12 @@ def test_consistent_table_keeps_every_row(spark, tmp_path):
     assert got == sorted([("j1", "s", "ready", 1.0, ""), ("j2", "s", "ready", -1.0, "null"), ("j3", "s", "ready", -1.0, "cut"), ("j4", "s", "ready", -1.0, "no object"), ("j5", "", "ready", -1.0, "empty"), ("j6", "s", "ready", -1.0, "no object"), ("j1", "s", "ready", -1.0, "null")])
 
 
+def test_members_of_a_renamed_object(spark):
+    rows = [("j1", "s", 1, "1", {"old": {"x": 1, "y": "a"}, "x": "root"}), ("j2", "s", 2, "1", {"new": {"x": 2, "y": "b"}, "x": "root"}), ("j3", "t", 1, "1", {"new": {"x": 3}}), ("j4", "u", 1, "1", {"old": {"z": "c"}})]
+    got = {r.id: (r.result.old.asDict(), r.result.x) for r in Drift(jobs(spark, rows)).table().collect()}
+    assert got == {"j1": ({"x": 1.0, "y": "a", "z": None}, "root"), "j2": ({"x": 2.0, "y": "b", "z": None}, "root"), "j3": ({"x": 3.0, "y": None, "z": None}, None), "j4": ({"x": None, "y": None, "z": "c"}, None)}
+
+
 def test_compiled_schema():
     assert compiled_schema({"a": ("a", "object"), "a.b": ("a.b", "number"), "l": ("l", "array"), "l[].c": ("l[].c", "string")}) == "`a` struct<`b`:double>, `l` array<struct<`c`:string>>"
 
