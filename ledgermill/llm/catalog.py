@@ -29,6 +29,15 @@ def p1_cells(spark, sf):
     return _consensus(spark, sf).cells()
 
 
+def p1_agreement(spark, sf):
+    """The whole-number part of ``p1_cells``: consensus, statements, readings and votes of every cell."""
+    return _consensus(spark, sf).cells().select("cell_id", "consensus", "n_readers", "n_readings", "consensus_votes", "rival_votes", F.round("agreement", 6).alias("agreement"))
+
+
+def p1_reader_agreement(spark, sf):
+    return _consensus(spark, sf).agreement()
+
+
 def p1_readers(spark, sf):
     return _consensus(spark, sf).readers()
 
@@ -119,8 +128,16 @@ q{i} AS MATERIALIZED (SELECT cell_id, v, exp(s - max(s) OVER p) / sum(exp(s)) OV
 w{i + 1} AS MATERIALIZED (SELECT reader, ln(2 * (sum(q) + 1) / (sum(1 - q) + 1)) AS w FROM votes JOIN q{i} USING (cell_id, v) GROUP BY reader)"""
     last = f"s{rounds - 1}"
     return sql + f""",
-r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY s DESC, v) AS place FROM {last})
-SELECT a.cell_id, a.v AS value_text FROM r a WHERE place = 1 AND EXISTS (SELECT 1 FROM r b WHERE b.cell_id = a.cell_id AND b.place > 1 AND b.n >= a.n)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY s DESC, v) AS place FROM {last})"""
+
+
+_P1_CELLS = """,
+cells AS (SELECT cell_id FROM evidence WHERE cell_id IS NOT NULL AND {plain} IS NOT NULL UNION SELECT cell_id FROM ocr_cells WHERE cell_id IS NOT NULL UNION SELECT cell_id FROM digit_checks WHERE cell_id IS NOT NULL AND predicted <> ''),
+per AS (SELECT cell_id, max(v) FILTER (place = 1) AS consensus, sum(n)::INTEGER AS n_readers, count(*)::INTEGER AS n_readings, max(n) FILTER (place = 1)::INTEGER AS consensus_votes, coalesce(max(n) FILTER (place > 1), 0)::INTEGER AS rival_votes FROM r GROUP BY cell_id)
+SELECT cell_id, consensus, coalesce(n_readers, 0) AS n_readers, coalesce(n_readings, 0) AS n_readings, coalesce(consensus_votes, 0) AS consensus_votes, coalesce(rival_votes, 0) AS rival_votes, coalesce(round(consensus_votes / n_readers, 6), 0.0) AS agreement FROM cells LEFT JOIN per USING (cell_id)""".format(plain=_plain("value_text"))
+_P1_READERS = """, said AS (SELECT CASE WHEN reader = 'digits' THEN 'digit_check' WHEN reader = 'pipeline' THEN reader ELSE 'model:' || reader[3:] END AS reader, votes.v, r.v AS won FROM votes JOIN r ON r.cell_id = votes.cell_id AND place = 1)
+SELECT reader, count(*)::BIGINT AS n_statements, count(*) FILTER (v = won)::BIGINT AS n_agreed FROM said GROUP BY reader"""
+_P1_FOUND = """ SELECT a.cell_id, a.v AS value_text FROM r a WHERE place = 1 AND EXISTS (SELECT 1 FROM r b WHERE b.cell_id = a.cell_id AND b.place > 1 AND b.n >= a.n)"""
 
 
 _RECORDS = "rec AS (SELECT record_id, document_id, source_group, crop_sha256, raw_text, coalesce(r.split_role, 'none') AS role FROM (SELECT * FROM provenance WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) = 1) p LEFT JOIN split_roles r ON lower(trim(p.source_split)) = r.source_split)"
@@ -155,4 +172,4 @@ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _p1(), "p4_found": _P4, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p8_found": _P8}
+    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p8_found": _P8}

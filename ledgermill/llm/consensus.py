@@ -4,21 +4,35 @@ Community confusion model. Every reader (each model, the pipeline, the digit che
 confusion matrix: given the kind of the true reading (whole number, one decimal, more
 decimals, other) the chance that the reader reports it exactly, with the same digits but
 another sign or point, with as many characters, or otherwise wrong. Readers belong to one
-of a few types; a type's matrix has a Dirichlet posterior fed by all its readers, and a
-reader's own matrix takes its type's mean as prior, so a reader with few readings stays
-close to its type. Updates are variational: cell posteriors, reader matrices, types.
-
-A cell's posterior weighs each vote by its reader's reliability over all cells (the
-expected log odds of an exact report); the matrices say how a reader errs and drive the
-types. Cells are one staged row each; an iteration is one pass over them without a
-shuffle of cells, and only the expected counts of each reader come back (readers x 16
-numbers, bounded by ``MAX_READERS``; above that use ``types`` alone on a reader sample or
-raise the bound).
+of a few types; a type has a matrix of its own, and a reader's matrix is Dirichlet around
+its type's with a fixed strength, so a reader with few readings behaves as its type does
+and one with many as it was seen to.
+
+Updates are variational, of one bound over cells, readers and types:
+
+* a cell's posterior of a candidate is the product, over the cell's statements, of the
+  expected log chance of that statement under the reader's matrix if the candidate were
+  true; the expectation runs over the reader's matrix and over its type;
+* expected counts (reader, kind of the truth, outcome) give each reader's matrix;
+* a reader's type has the Dirichlet-multinomial evidence of its counts under each type's
+  matrix, and a type's matrix is the fixed point that fits its readers best.
+
+A wrong report is spread over ``rivals`` readings, shared out among the kinds of error as
+all readers share them, so a reader whose errors are like everybody's counts by its rate
+of exact reports, and one with errors of its own kind (points dropped, say) is discounted
+where that error could be at work. The bound is computed each round; rounds end when it
+grows by less than ``tolerance`` of itself, and ``readers()`` reports rounds, bound and
+whether that happened.
+
+Cells are one staged row each; a round is one pass over them without a shuffle of cells,
+and only the expected counts of each reader come back (readers x 16 numbers, bounded by
+``MAX_READERS``).
 
 Cases. Null or blank readings are no votes; repeated rows count once; among readings of
 equal support the one that sorts last is kept; a cell without any reading has a null
 consensus and agreement 0; equal posteriors go to the reading that sorts first; null cell
-ids are left out; other columns are ignored; empty tables give empty results.
+ids are left out; a digit check that fits no reading of its cell says nothing; other
+columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,6 +53,7 @@ K, O = len(KINDS), len(OUTCOMES)
 #: Readers whose parameters are held at once (100,000 readers take 13 MB).
 MAX_READERS = 100_000
 CELLS = "cell_id long, readings array<string>, reader array<int>, cand array<int>, kind array<int>, digits array<int>, size array<int>"
+AGREED = "reader_id int, n long, agreed long"
 STATS = "reader int, slot int, weight double"
 RESULT = "cell_id long, consensus string, posterior double, agreement double, n_readers int, n_readings int, consensus_votes int, rival_votes int"
 PIPELINE, DIGITS = "pipeline", "digit_check"
@@ -139,9 +154,9 @@ def _ints(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Cells:
-    """Votes and candidates of one batch, and every (vote, candidate) pair of a cell."""
+    """Statements and candidates of one batch, and every (statement, candidate) pair of a cell."""
 
-    def __init__(self, columns):
+    def __init__(self, columns, digit_reader: int):
         (self.reader, v_off), (cand, _), (self.kind, c_off), (digits, _), (size, _) = map(_ints, columns)
         self.n, self.first = len(c_off) - 1, c_off
         self.count = np.diff(c_off)
@@ -153,48 +168,76 @@ class _Cells:
         ends = np.cumsum(width)
         self.p_cand = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - width, width) + c_off[self.v_cell][self.p_vote]
         said = self.target[self.p_vote]
-        self.outcome = np.where(said == self.p_cand, 0, np.where(digits[said] == digits[self.p_cand], 1, np.where(size[said] == size[self.p_cand], 2, 3)))
-
-    def posterior(self, weight: np.ndarray) -> np.ndarray:
-        """Posterior of each candidate when votes count by their reader's weight."""
-        score = np.bincount(self.target, weights=weight[self.reader], minlength=len(self.c_cell))
+        same = digits[said] == digits[self.p_cand]
+        outcome = np.where(said == self.p_cand, 0, np.where(same, 1, np.where(size[said] == size[self.p_cand], 2, 3)))
+        # The digit check saw digits only: one statement, however many readings of the cell have them.
+        checks = self.reader == digit_reader
+        self.weight = np.where(checks, 1 / np.maximum(1, np.bincount(self.v_cell[checks], minlength=self.n))[self.v_cell], 1.0)[self.p_vote]
+        outcome = np.where(checks[self.p_vote], np.where(same, 0, 3), outcome)
+        self.slot = self.reader[self.p_vote].astype(np.int64) * (K * O) + self.kind[self.p_cand] * O + outcome
+
+    def posterior(self, log_chance: np.ndarray) -> np.ndarray:
+        """Posterior of each candidate under the readers' expected log chances (readers x kinds x outcomes)."""
+        score = np.bincount(self.p_cand, weights=self.weight * log_chance.reshape(-1)[self.slot], minlength=len(self.c_cell))
         top = np.full(self.n, -np.inf)
         np.maximum.at(top, self.c_cell, score)
         e = np.exp(score - top[self.c_cell])
         return e / np.bincount(self.c_cell, weights=e, minlength=self.n)[self.c_cell]
 
 
-def _count(weight: np.ndarray):
-    """Arrow kernel: expected counts of (reader, kind of the truth, outcome), one total per task."""
+def _count(log_chance: np.ndarray, digit_reader: int):
+    """Arrow kernel: expected counts of (reader, kind of the truth, outcome), one total per task; reader -1 has the entropy."""
+
+    def run(batches):
+        total, entropy = np.zeros(log_chance.size), 0.0
+        for batch in batches:
+            cells = _Cells(batch.columns, digit_reader)
+            q = cells.posterior(log_chance)
+            total += np.bincount(cells.slot, weights=cells.weight * q[cells.p_cand], minlength=total.size)
+            entropy -= float((q * np.log(np.maximum(q, 1e-300))).sum())
+        at = np.flatnonzero(total)
+        reader, slot = np.append(at // (K * O), -1), np.append(at % (K * O), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(reader.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(np.append(total[at], entropy))], ["reader", "slot", "weight"])
+
+    return run
+
+
+def _won(cells: _Cells, q: np.ndarray) -> np.ndarray:
+    """The candidate of greatest posterior of each cell, among equal ones the first; -1 without any."""
+    some = np.flatnonzero(cells.count > 0)
+    won = np.full(cells.n, -1)
+    if len(q):
+        won[some] = np.lexsort((np.arange(len(q)), -np.round(q, 12), cells.c_cell))[np.cumsum(cells.count)[some] - cells.count[some]]
+    return won
+
+
+def _agreed(log_chance: np.ndarray, digit_reader: int):
+    """Arrow kernel: statements of each reader and how many are the consensus, one total per task."""
 
     def run(batches):
-        total = np.zeros((len(weight), K * O))
+        total = np.zeros((2, len(log_chance)), np.int64)
         for batch in batches:
-            cells = _Cells(batch.columns)
-            q = cells.posterior(weight)
-            slot = cells.reader[cells.p_vote].astype(np.int64) * (K * O) + cells.kind[cells.p_cand] * O + cells.outcome
-            total += np.bincount(slot, weights=q[cells.p_cand], minlength=total.size).reshape(total.shape)
-        reader, slot = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(reader.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[reader, slot])], ["reader", "slot", "weight"])
+            cells = _Cells(batch.columns[2:], digit_reader)
+            won = _won(cells, cells.posterior(log_chance))
+            hit = cells.target == won[cells.v_cell]
+            total += np.stack([np.bincount(cells.reader, minlength=len(log_chance)), np.bincount(cells.reader[hit], minlength=len(log_chance))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(log_chance), dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], ["reader_id", "n", "agreed"])
 
     return run
 
 
-def _decide(weight: np.ndarray):
+def _decide(log_chance: np.ndarray, digit_reader: int):
     """Arrow kernel: consensus, posterior, agreement and votes of each cell."""
 
     def run(batches):
         for batch in batches:
             ids, readings, columns = batch.column(0), batch.column(1), batch.columns[2:]
-            cells = _Cells(columns)
-            q = cells.posterior(weight)
+            cells = _Cells(columns, digit_reader)
+            q = cells.posterior(log_chance)
             n_votes = np.bincount(cells.target, minlength=len(q))
-            some = np.flatnonzero(cells.count > 0)
-            best = np.lexsort((np.arange(len(q)), -np.round(q, 12), cells.c_cell))[np.cumsum(cells.count)[some] - cells.count[some]] if len(q) else np.empty(0, int)
-            won = np.full(cells.n, -1)
-            won[some] = best
+            won = _won(cells, q)
             rivals = np.ones(len(q), bool)
-            rivals[best] = False
+            rivals[won[won >= 0]] = False
             rival = np.zeros(cells.n, np.int64)
             np.maximum.at(rival, cells.c_cell[rivals], n_votes[rivals])
             text = readings.flatten()
@@ -228,52 +271,97 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log gamma: recurrence up to 8, then Stirling's series."""
+    x, out = np.array(x, float), np.zeros(np.shape(x))
+    while (small := x < 8).any():
+        out[small] -= np.log(x[small])
+        x[small] += 1
+    y = 1 / x**2
+    return out + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - y * (1 / 360 - y / 1260)) / x
+
+
+def log_evidence(counts: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Log Dirichlet-multinomial chance of counts (…, outcomes) under alpha, summed over the kinds before it."""
+    rows = log_gamma(alpha.sum(-1)) - log_gamma((alpha + counts).sum(-1)) + (log_gamma(alpha + counts) - log_gamma(alpha)).sum(-1)
+    return rows.sum(-1)
+
+
 @dataclass
 class Reliability:
     """Variational posterior of readers and their types."""
 
     readers: list[str]
     types: int = 4
-    strength: float = 20.0  # labels that a type's mean matrix is worth as a reader's prior
+    strength: float = 20.0  # labels of each kind that a type's matrix is worth as a reader's prior
     rivals: float = 2.0  # wrong readings over which a reader's errors are spread, so a vote is never worth less than none
     counts: np.ndarray = field(default=None)
 
     def __post_init__(self):
         r = len(self.readers)
-        self.weight = np.full(r, np.log(0.7 * self.rivals / 0.3))
+        #: Dirichlet prior of a type's matrix.
+        self.prior = np.tile([7.0, 1.0, 1.0, 1.0], (K, 1))
+        start = self.prior / self.prior.sum(1, keepdims=True)
+        self.spread = np.ones((K, O))
         self.member = None
-        self.prior = np.array([[4.0, 1.0, 1.0, 1.0]] * K)
+        self.bound = -np.inf
+        #: Expected log chance of a statement: readers x kinds x outcomes.
+        self.log_chance = np.tile(np.log(start), (r, 1, 1))
 
-    def update(self, counts: np.ndarray) -> float:
-        """Types, matrices and weights from expected counts; returns the largest change of a weight."""
+    def update(self, counts: np.ndarray, entropy: float = 0.0) -> float:
+        """Types, matrices and chances from expected counts; returns the growth of the bound, relative to it."""
         r = len(self.readers)
         self.counts = counts = counts.reshape(r, K, O)
-        exact = (counts[:, :, 0].sum(1) + 1) / (counts.sum((1, 2)) + 2)
-        if self.member is None:  # start: equal shares of readers by their rate of exact reports
-            place = np.argsort(np.argsort(exact, kind="stable"), kind="stable") * self.types // max(1, r)
-            self.member = np.eye(self.types)[np.minimum(place, self.types - 1)]
-        for _ in range(10):
-            alpha = self.prior + np.einsum("rc,rko->cko", self.member, counts)
-            share = digamma(1 + self.member.sum(0)) - digamma(np.array(self.types + r))
-            elog = digamma(alpha) - digamma(alpha.sum(2, keepdims=True))
-            s = share + np.einsum("rko,cko->rc", counts, elog)
+        if self.member is None:
+            self._begin(counts)
+        for _ in range(30):
+            before = self.type_matrix.copy()
+            alpha = self.strength * self.type_matrix
+            share = digamma(1 + self.member.sum(0)) - digamma(np.array(float(self.types + r)))
+            s = share + np.stack([log_evidence(counts, alpha[c]) for c in range(self.types)], 1)
             e = np.exp(s - s.max(1, keepdims=True))
             self.member = e / e.sum(1, keepdims=True)
-        self.type_matrix = alpha / alpha.sum(2, keepdims=True)
-        seen = np.einsum("rc,rko->ck", self.member, counts) + 0.01  # the prior's labels fall on kinds as the type's do
-        own = counts + self.strength * np.einsum("rc,cko,ck->rko", self.member, self.type_matrix, seen / seen.sum(1, keepdims=True))
-        self.matrix = own / own.sum(2, keepdims=True)
-        right, wrong = own[:, :, 0].sum(1), own[:, :, 1:].sum((1, 2))
-        before, self.weight = self.weight, digamma(right) - digamma(wrong) + np.log(self.rivals)  # expected log odds of a Beta posterior
-        self.exact = right / (right + wrong)
-        return float(np.abs(self.weight - before).max()) if r else 0.0
+            for c in range(self.types):  # the labels of each kind that a type's readers needed from the type itself
+                drawn = np.einsum("r,rko->ko", self.member[:, c], alpha[c] * (digamma(counts + alpha[c]) - digamma(alpha[c])))
+                self.type_matrix[c] = (drawn + self.prior) / (drawn + self.prior).sum(1, keepdims=True)
+            if np.abs(self.type_matrix - before).max() < 1e-9:
+                break
+        alpha = self.strength * self.type_matrix
+        own = counts[:, None] + alpha  # readers x types x kinds x outcomes
+        expected = digamma(own) - digamma(own.sum(3, keepdims=True))
+        self.log_chance = np.einsum("rc,rcko->rko", self.member, expected) - np.log(self.spread)
+        self.matrix = np.einsum("rc,rcko->rko", self.member, own / own.sum(3, keepdims=True))
+        seen = counts.sum((0, 2)) + 1e-9
+        self.exact = self.matrix[:, :, 0] @ (seen / seen.sum())
+        evidence = np.stack([log_evidence(counts, alpha[c]) for c in range(self.types)], 1)
+        held = np.maximum(self.member, 1e-300)
+        types = float((self.member * (evidence - np.log(held))).sum()) + float((self.prior * np.log(self.type_matrix)).sum())
+        size = self.member.sum(0)
+        types += float(log_gamma(1 + size).sum() - log_gamma(np.array(self.types + size.sum())))
+        before, self.bound = self.bound, entropy + types - float((counts * np.log(self.spread)).sum())
+        return (self.bound - before) / max(1.0, abs(self.bound))
+
+    def _begin(self, counts: np.ndarray) -> None:
+        """First types: equal shares of the readers by their rate of exact reports; how all readers' errors are spread."""
+        exact = (counts[:, :, 0].sum(1) + 1) / (counts.sum((1, 2)) + 2)
+        place = np.argsort(np.argsort(exact, kind="stable"), kind="stable") * self.types // max(1, len(exact))
+        self.member = np.eye(self.types)[np.minimum(place, self.types - 1)]
+        mass = np.einsum("rc,rko->cko", self.member, counts / (counts.sum(2, keepdims=True) + 1e-9)) + self.prior / self.prior.sum(1, keepdims=True)
+        self.type_matrix = mass / mass.sum(2, keepdims=True)
+        wrong = counts[:, :, 1:].sum(0) + 1
+        self.spread[:, 1:] = np.maximum(1e-3, self.rivals * wrong / wrong.sum(1, keepdims=True))
+
+    @property
+    def weight(self) -> np.ndarray:
+        """What a report of the reader speaks for it, against a wrong one of the usual kinds."""
+        return np.log(self.rivals * self.exact / np.maximum(1e-12, 1 - self.exact))
 
 
 class Consensus:
     """Fits the model once; ``cells()``, ``readers()`` and ``contested()`` read the result."""
 
-    def __init__(self, evidence: DataFrame, ocr_cells: DataFrame, digit_checks: DataFrame, types: int = 4, iterations: int = 20, tolerance: float = 1e-3):
-        spark = self.spark = tune(evidence.sparkSession)
+    def __init__(self, evidence: DataFrame, ocr_cells: DataFrame, digit_checks: DataFrame, types: int = 4, rounds: int = 60, tolerance: float = 1e-6):
+        self.spark = tune(evidence.sparkSession)
         said = votes(evidence, ocr_cells, digit_checks)
         names = {r[0] for r in evidence.select(F.coalesce(F.col("model"), F.lit("")).alias("m")).distinct().limit(MAX_READERS + 1).collect()}
         if len(names) > MAX_READERS:
@@ -283,28 +371,38 @@ class Consensus:
         self.coded = stage(grouped.mapInArrow(_encode(self.names), CELLS), "consensus-cells")
         self.model = Reliability(self.names, types)
         light = self.coded.select("reader", "cand", "kind", "digits", "size")
-        self.steps = 0
-        for self.steps in range(1, iterations + 1):
-            rows = light.mapInArrow(_count(self.model.weight), STATS).groupBy("reader", "slot").agg(F.sum("weight").alias("w")).collect()
-            counts = np.zeros((len(self.names), K * O))
+        self.rounds, self.converged = 0, False
+        for self.rounds in range(1, rounds + 1):
+            rows = light.mapInArrow(_count(self.model.log_chance, len(self.names) - 1), STATS).groupBy("reader", "slot").agg(F.sum("weight").alias("w")).collect()
+            counts, entropy = np.zeros((len(self.names), K * O)), 0.0
             for r in rows:
-                counts[r["reader"], r["slot"]] = r["w"]
-            if self.model.update(counts) < tolerance:
+                if r["reader"] < 0:
+                    entropy = r["w"]
+                else:
+                    counts[r["reader"], r["slot"]] = r["w"]
+            if abs(self.model.update(counts, entropy)) < tolerance:
+                self.converged = True
                 break
 
     def cells(self) -> DataFrame:
         """One row per cell: consensus, posterior, agreement (share of votes) and votes for and against."""
-        return self.coded.mapInArrow(_decide(self.model.weight), RESULT)
+        return self.coded.mapInArrow(_decide(self.model.log_chance, len(self.names) - 1), RESULT)
+
+    def agreement(self) -> DataFrame:
+        """Per reader: its statements in cells with a consensus, and how many of them are the consensus."""
+        names = self.spark.createDataFrame(list(enumerate(self.names)), "reader_id int, reader string")
+        return self.coded.mapInArrow(_agreed(self.model.log_chance, len(self.names) - 1), AGREED).groupBy("reader_id").agg(F.sum("n").alias("n_statements"), F.sum("agreed").alias("n_agreed")).join(names, "reader_id").select("reader", "n_statements", "n_agreed")
 
     def contested(self) -> DataFrame:
         """Cells where some other reading has at least as many votes as the consensus."""
         return self.cells().where("rival_votes >= consensus_votes and rival_votes > 0")
 
     def readers(self) -> DataFrame:
-        """One row per reader: votes, reliability, weight, type and the confusion matrix of its type."""
+        """One row per reader: votes, reliability, weight, type, confusion matrix, and how the fit ended."""
         m = self.model
+        end = self.rounds, self.converged, float(round(m.bound, 3))
         rows = [
-            (name, float(round(m.counts[i].sum(), 6)), float(round(m.exact[i], 6)), float(round(m.weight[i], 6)), int(m.member[i].argmax()), {f"{k}>{o}": float(round(m.matrix[i, a, b], 6)) for a, k in enumerate(KINDS) for b, o in enumerate(OUTCOMES)})
+            (name, float(round(m.counts[i].sum(), 6)), float(round(m.exact[i], 6)), float(round(m.weight[i], 6)), int(m.member[i].argmax()), {f"{k}>{o}": float(round(m.matrix[i, a, b], 6)) for a, k in enumerate(KINDS) for b, o in enumerate(OUTCOMES)}, *end)
             for i, name in enumerate(self.names)
         ]
-        return self.spark.createDataFrame(rows, "reader string, votes double, reliability double, weight double, reader_type int, confusion map<string,double>")
+        return self.spark.createDataFrame(rows, "reader string, votes double, reliability double, weight double, reader_type int, confusion map<string,double>, rounds int, converged boolean, bound double")
