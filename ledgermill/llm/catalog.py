@@ -54,6 +54,10 @@ def p4_report(spark, sf):
     return _overlap(spark, sf).report()
 
 
+def p4_links(spark, sf):
+    return _overlap(spark, sf).links()
+
+
 def p4_contained(spark, sf):
     return _overlap(spark, sf).contained_records()
 
@@ -140,11 +144,23 @@ SELECT reader, count(*)::BIGINT AS n_statements, count(*) FILTER (v = won)::BIGI
 _P1_FOUND = """ SELECT a.cell_id, a.v AS value_text FROM r a WHERE place = 1 AND EXISTS (SELECT 1 FROM r b WHERE b.cell_id = a.cell_id AND b.place > 1 AND b.n >= a.n)"""
 
 
-_RECORDS = "rec AS (SELECT record_id, document_id, source_group, crop_sha256, raw_text, coalesce(r.split_role, 'none') AS role FROM (SELECT * FROM provenance WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) = 1) p LEFT JOIN split_roles r ON lower(trim(p.source_split)) = r.source_split)"
+_RECORDS = "rec AS (SELECT record_id, dataset, document_id, source_group, crop_sha256, raw_text, coalesce(r.split_role, 'none') AS role FROM (SELECT * FROM provenance WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY loaded_at DESC) = 1) p LEFT JOIN split_roles r ON lower(trim(p.source_split)) = r.source_split)"
 
-_P4 = f"""WITH {_RECORDS}, x AS (SELECT record_id, role, nullif(trim(regexp_replace(lower(trim(crop_sha256)), '^sha256:', '')), '') AS crop, trim(regexp_replace(strip_accents(lower(coalesce(raw_text, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM rec WHERE role <> 'none')
+_P4_TEXTS = f"{_RECORDS}, x AS (SELECT record_id, role, coalesce(dataset, '') AS dataset, nullif(trim(regexp_replace(lower(trim(crop_sha256)), '^sha256:', '')), '') AS crop, trim(regexp_replace(strip_accents(lower(coalesce(raw_text, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM rec WHERE role <> 'none')"
+_P4 = f"""WITH {_P4_TEXTS}
 SELECT DISTINCT least(a.record_id, b.record_id) AS record_id_a, greatest(a.record_id, b.record_id) AS record_id_b FROM x a JOIN x b ON a.role = 'train' AND b.role <> 'train'
 WHERE a.crop = b.crop OR (length(a.t) >= 40 AND length(b.t) >= 40 AND abs(length(a.t) - length(b.t)) * 10 <= greatest(length(a.t), length(b.t)) AND levenshtein(a.t, b.t) * 10 <= greatest(length(a.t), length(b.t)))"""
+_P4_CLASSES = f"""WITH {_P4_TEXTS}, cl AS (SELECT t, min(record_id) AS id, bool_or(role <> 'train') AS ev, bool_or(role = 'train') AS tr, string_split(t, ' ') AS w FROM x WHERE length(t) >= 40 GROUP BY t),
+eg AS (SELECT DISTINCT id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM cl WHERE ev)),
+tg AS (SELECT DISTINCT id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM cl, (SELECT DISTINCT n FROM eg) k WHERE tr AND len(w) >= n)),
+held AS (SELECT eg.id AS eval, tg.id AS train, count(*) AS c FROM eg JOIN tg USING (n, g) GROUP BY ALL),
+many AS (SELECT id AS eval, count(*) AS n_grams FROM eg GROUP BY id)"""
+_P4_NEAR = "near AS (SELECT a.id AS eval, b.id AS train, levenshtein(a.t, b.t) AS edits FROM cl a JOIN cl b ON a.ev AND b.tr AND a.id <> b.id WHERE abs(length(a.t) - length(b.t)) * 10 <= greatest(length(a.t), length(b.t)) AND levenshtein(a.t, b.t) * 10 <= greatest(length(a.t), length(b.t)))"
+_P4_LINKS = f"{_P4_CLASSES}, {_P4_NEAR} SELECT eval, train, edits::INTEGER AS edits, round(coalesce(c, 0) / n_grams, 6) AS containment FROM near JOIN many USING (eval) LEFT JOIN held USING (eval, train)"
+_P4_CONTAINED = f"""{_P4_CLASSES}, p AS (SELECT eval, count(*) AS n_train_texts, round(max(c / n_grams), 6) AS containment FROM held JOIN many USING (eval) WHERE c / n_grams >= 0.8 - 1e-9 GROUP BY eval)
+SELECT record_id, role, n_train_texts, containment FROM x JOIN cl USING (t) JOIN p ON p.eval = cl.id WHERE role <> 'train'"""
+_P4_REPORT = f"""{_P4_CLASSES}, {_P4_NEAR}, h AS (SELECT role, dataset, coalesce(crop IN (SELECT crop FROM x WHERE role = 'train' AND crop IS NOT NULL), false)::BIGINT AS c, coalesce(cl.tr, false)::BIGINT AS e, (cl.id IS NOT NULL AND cl.id IN (SELECT eval FROM near))::BIGINT AS n FROM x LEFT JOIN cl USING (t) WHERE role <> 'train')
+SELECT role AS split_role, dataset, count(*) AS n_records, sum(c)::BIGINT AS by_crop, sum(e)::BIGINT AS by_text, sum(n)::BIGINT AS by_near, sum(greatest(c, e, n))::BIGINT AS n_overlapping FROM h GROUP BY ALL"""
 
 _KEY = lambda c: f"CASE WHEN lower(trim({c})) NOT IN ('', 'unknown', 'n/a', '-', 'none') THEN lower(trim({c})) END"
 _P5 = f"""WITH RECURSIVE {_RECORDS}, k AS (SELECT record_id AS r, role, {_KEY('document_id')} AS d, {_KEY('source_group')} AS g FROM rec),
@@ -172,4 +188,4 @@ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p8_found": _P8}
+    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p4_links": _P4_LINKS, "p4_contained": _P4_CONTAINED, "p4_report": _P4_REPORT, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p8_found": _P8}

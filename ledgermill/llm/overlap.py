@@ -1,19 +1,25 @@
 """Problem 4: records of evaluation splits that also stand, exactly or nearly, in training.
 
 The gram hashes of evaluation texts are partitioned by hash, training texts are scanned
-for hits, and hits are verified against each training text. Texts are compared as
-classes of equal normalised text, so a text repeated a million times is scanned once.
+for hits, and the containment of each evaluation text per training text decides which
+pairs are verified. Texts are compared as classes of equal normalised text, so a text
+repeated a million times is scanned once.
 
 Grams come in two units. *Words* (``contained``): runs of five words; an evaluation text
 is reported with the training texts that hold at least 0.8 of its grams. Only the rarest
 grams that such a training text cannot miss are looked up. *Characters* (``near``): the
 task's measure is an edit distance of a tenth, which can touch every word, so word grams
 could miss pairs. Evaluation texts give every run of ``GRAM`` characters; of a training
-text ``t + 1`` disjoint runs are looked up, where ``t`` is the most edits any partner may
-have, so one of them stands unchanged in the partner and no pair can be missed. Which
-disjoint runs are taken is free: a dynamic program takes the set that is least frequent
-in the evaluation texts, by a count table of fixed size. Hits must fit in length and
-place; candidates pass a bound on character counts, then the exact edit distance.
+text ``t + HITS`` disjoint runs are looked up, where ``t`` is the most edits any partner
+may have. Each edit spoils one run at most, so a partner contains at least ``HITS`` of
+them, each within ``t`` places of where it was, and no pair can be missed. Which disjoint
+runs are taken is free: a dynamic program takes the set that is least frequent in the
+evaluation texts, by a count table of fixed size (texts are cut into stretches of
+``STRETCH`` characters that each give their share, so long texts cost in proportion).
+Pairs with fewer hits are dropped before any text is fetched; the rest must contain
+enough of each other's character pairs, and then pass the exact edit distance. Every link
+carries its edits and the share of the evaluation text's word grams that the training text
+contains.
 
 Cases. A record loaded again counts once (latest load); null ids are left out; null or
 blank hashes and texts under 40 characters link nothing; roles are looked up by trimmed
@@ -34,11 +40,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.llm import textarrays as ta
-from ledgermill.session import stage, tune
+from ledgermill.session import release, stage, tune
 
-MIN_CHARS, TENTHS, GRAM, WORDS, CONTAINED = 40, 10, 6, 5, 0.8
-#: Slots of the table that counts evaluation grams (4 MB of counts at any input size).
-SLOTS = 1 << 20
+MIN_CHARS, TENTHS, GRAM, HITS, STRETCH, WORDS, CONTAINED = 40, 10, 5, 3, 900, 5, 0.8
+#: Slots of the table that counts evaluation grams, one byte each (4 MB at any input size), and slots per row of it.
+SLOTS, ROW = 1 << 22, 1 << 12
+#: Cells of one dynamic program (a byte each).
+CELLS = 1 << 23
 EVALUATION = ("validation", "test")
 
 
@@ -75,9 +83,9 @@ def plain_text(text: str | None) -> str:
 
 def _normalise(batches):
     for batch in batches:
-        texts = [plain_text(t) for t in batch.column(2).to_pylist()]
-        digests = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int32())], ["record_id", "role", "digest", "plain", "n"])
+        texts = [plain_text(t) for t in batch.column(4).to_pylist()]
+        digests = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) if t else None for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.binary()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int32())], ["record_id", "role", "dataset", "crop", "digest", "plain", "n"])
 
 
 @lru_cache(100_000)
@@ -89,77 +97,94 @@ def most_edits(n: int, tenths: int = TENTHS) -> int:
     return m // tenths
 
 
-def rarest_runs(costs: list[np.ndarray], counts: list[int], gram: int) -> list[list[int]]:
-    """Of each text ``counts[i]`` disjoint runs of ``gram`` characters with the least total cost."""
-    out: list[list[int]] = [[]] * len(costs)
-    order = sorted(range(len(costs)), key=lambda i: len(costs[i]))
-    for lo in range(0, len(order), 256):
-        group = order[lo : lo + 256]
-        n, k = max(len(costs[i]) for i in group), max(counts[i] for i in group)
-        if n * (k + 1) * len(group) > 1 << 24 and len(group) > 1:  # long texts one by one
-            for i in group:
-                out[i] = rarest_runs([costs[i]], [counts[i]], gram)[0]
-            continue
-        if n * (k + 1) > 1 << 24:  # very long text: the fixed grid also has enough runs
-            out[group[0]] = [gram * j for j in range(k)]
-            continue
-        cost = np.full((n, len(group)), np.inf)
+def rarest_runs(costs: list[np.ndarray], counts: list[int], gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text ``counts[i]`` disjoint runs of ``gram`` characters with the least total cost: (text, place)."""
+    texts, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    order = np.argsort([len(c) for c in costs], kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi, most = lo, 0
+        while hi < len(order) and (hi == lo or len(costs[order[hi]]) * (max(most, counts[order[hi]]) + 1) * (hi - lo + 1) <= CELLS):
+            most = max(most, counts[order[hi]])
+            hi += 1
+        group = order[lo:hi]
+        lo = hi
+        n, k, size = len(costs[group[-1]]), most, len(group)
+        cost = np.full((n, size), np.inf, np.float32)
         for g, i in enumerate(group):
             cost[: len(costs[i]), g] = costs[i]
-        best = np.full((n + gram + 1, len(group), k + 1), np.inf)
-        best[:, :, 0] = 0
-        take = np.zeros((n, len(group), k + 1), bool)
+        held = np.full((gram + 1, size, k + 1), np.inf, np.float32)  # least cost from place p on, for each number of runs
+        held[:, :, 0] = 0
+        take = np.zeros((n, size, k + 1), bool)
         for p in range(n - 1, -1, -1):
-            with_run = cost[p][:, None] + best[p + gram][:, :-1]
-            take[p, :, 1:] = with_run <= best[p + 1][:, 1:]
-            best[p, :, 1:] = np.minimum(with_run, best[p + 1][:, 1:])
-            best[p, :, 0] = 0
-        for g, i in enumerate(group):
-            left, p, got = counts[i], 0, []
-            while left and p < n:
-                if take[p, g, left] and np.isfinite(best[p, g, left]):
-                    got.append(p)
-                    p, left = p + gram, left - 1
-                else:
-                    p += 1
-            out[i] = got
-    return out
-
-
-def _eval_grams(gram: int):
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            grams = [ta.gram_hashes(ta.points(t), gram).view(np.int64) for t in texts]
-            sizes = [len(g) for g in grams]
-            which = np.repeat(np.arange(len(texts)), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(grams or [np.empty(0, np.int64)])),
-                    batch.column(0).take(pa.array(which)),
-                    pa.array(np.concatenate([np.arange(s) for s in sizes] or [np.empty(0, int)]).astype(np.int32)),
-                    pa.array(np.array([len(t) for t in texts], np.int32)[which] if len(texts) else np.empty(0, np.int32)),
-                ],
-                ["g", "eval", "eval_pos", "eval_n"],
-            )
-
-    return run
-
-
-def _train_grams(gram: int, counts):
+            with_run = cost[p][:, None] + held[(p + gram) % (gram + 1), :, :-1]
+            without = held[(p + 1) % (gram + 1), :, 1:]
+            take[p, :, 1:] = (with_run <= without) & np.isfinite(with_run)
+            held[p % (gram + 1), :, 1:] = np.minimum(with_run, without)
+        at, left, mine = np.zeros(size, np.int64), np.array([counts[i] for i in group]), np.arange(size)
+        for p in range(n):
+            here = (at == p) & (left > 0)
+            hit = here & take[p, mine, left]
+            texts.append(group[hit])
+            places.append(np.full(int(hit.sum()), p))
+            left = left - hit
+            at = np.where(hit, p + gram, np.where(here, p + 1, at))
+    return np.concatenate(texts), np.concatenate(places)
+
+
+def probes(grams: list[np.ndarray], lengths: list[int], cost) -> tuple[np.ndarray, np.ndarray]:
+    """The runs to look up: (text, place); every stretch of a text gives its share of them."""
+    costs, counts, owner, start = [], [], [], []
+    for i, (g, n) in enumerate(zip(grams, lengths)):
+        many, parts = most_edits(n) + HITS, -(-n // STRETCH)
+        for j in range(parts):
+            lo, hi = n * j // parts, n * (j + 1) // parts
+            costs.append(cost(g[lo : hi - GRAM + 1]))
+            counts.append(many * (j + 1) // parts - many * j // parts)
+            owner.append(i)
+            start.append(lo)
+    part, place = rarest_runs(costs, counts, GRAM)
+    return np.array(owner, np.int64)[part], place + np.array(start, np.int64)[part]
+
+
+def _eval_grams(batches):
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        grams = [ta.gram_hashes(ta.points(t), GRAM).view(np.int64) for t in texts]
+        sizes = [len(g) for g in grams]
+        which = np.repeat(np.arange(len(texts)), sizes)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(grams or [np.empty(0, np.int64)])),
+                batch.column(0).take(pa.array(which)),
+                pa.array(np.concatenate([np.arange(s) for s in sizes] or [np.empty(0, int)]).astype(np.int32)),
+                pa.array(np.array([len(t) for t in texts], np.int32)[which] if len(texts) else np.empty(0, np.int32)),
+            ],
+            ["g", "eval", "eval_pos", "eval_n"],
+        )
+
+
+def _count_row(key, table):
+    """One row of the count table: a byte per slot, eight steps for each doubling."""
+    held = np.zeros(ROW, np.uint8)
+    held[table["low"].to_numpy()] = np.minimum(255, np.rint(8 * np.log2(1.0 + table["n"].to_numpy()))).astype(np.uint8)
+    return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "held": pa.array([held.tobytes()], pa.binary())})
+
+
+def _train_grams(counts):
     def run(batches):
-        table = counts.value
+        table, value = np.frombuffer(counts.value, np.uint8), (np.exp2(np.arange(256) / 8) - 1).astype(np.float32)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            grams = [ta.gram_hashes(ta.points(t), gram) for t in texts]
-            costs = [table[(g & np.uint64(SLOTS - 1)).astype(np.int64)] for g in grams]
-            places = rarest_runs(costs, [most_edits(len(t)) + 1 for t in texts], gram)
-            which = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+            grams = [ta.gram_hashes(ta.points(t), GRAM) for t in texts]
+            which, place = probes(grams, [len(t) for t in texts], lambda g: value[table[(g & np.uint64(SLOTS - 1)).astype(np.int64)]])
+            first = np.cumsum([0] + [len(g) for g in grams])
+            flat = np.concatenate(grams or [np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([g[p] for g, p in zip(grams, places)] or [np.empty(0, np.uint64)]).view(np.int64)),
+                    pa.array(flat[first[which] + place]),
                     batch.column(0).take(pa.array(which)),
-                    pa.array(np.concatenate([np.array(p, np.int32) for p in places] or [np.empty(0, np.int32)])),
+                    pa.array(place.astype(np.int32)),
                     pa.array(np.array([len(t) for t in texts], np.int32)[which] if len(texts) else np.empty(0, np.int32)),
                 ],
                 ["g", "train", "train_pos", "train_n"],
@@ -186,24 +211,40 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def _bags(texts: list[str]) -> np.ndarray:
-    """Counts of characters by code point modulo 64."""
-    codes = ta.points("".join(texts))
+def _pair_counts(texts: list[str], bins: int = 256) -> np.ndarray:
+    """Counts of character pairs, by a hash of the pair."""
+    codes = ta.points("".join(texts)).astype(np.int64)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    return np.bincount(row * 64 + codes % 64, minlength=64 * len(texts)).reshape(-1, 64).astype(np.int32)
+    inside = row[1:] == row[:-1]
+    pair = (codes[:-1] * 31 + codes[1:] * 17 + (codes[1:] >> 5)) % bins
+    return np.bincount((row[:-1] * bins + pair)[inside], minlength=bins * len(texts)).reshape(-1, bins).astype(np.int32)
+
+
+def containment(evaluation: str, train: str) -> float:
+    """Share of the evaluation text's distinct grams of five words (or of its own length) that the training text holds."""
+    we, wt = ta.Words([evaluation]).value, ta.Words([train]).value
+    n = min(WORDS, max(1, len(we)))
+    ge = np.unique(ta.shingles(we, n))
+    return float(np.isin(ge, ta.shingles(wt, n)).mean()) if len(ge) else 0.0
 
 
 def _verify_edits(batches):
+    """Of candidate pairs those within a tenth of edits; pairs must first contain enough of each other's character pairs."""
     for batch in batches:
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = []
-        for lo in range(0, len(a), 5000):
-            x, y = a[lo : lo + 5000], b[lo : lo + 5000]
-            gap = _bags(x) - _bags(y)
-            most = np.array([max(len(s), len(t)) // TENTHS for s, t in zip(x, y)])
-            low = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
-            keep += [lo + i for i in np.flatnonzero(low <= most).tolist() if edit_distance(x[i], y[i]) <= most[i]]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["eval", "train"])
+        keep, edits, share = [], [], []
+        for lo in range(0, len(a), 2000):
+            x, y = a[lo : lo + 2000], b[lo : lo + 2000]
+            longer = np.array([max(len(s), len(t)) for s, t in zip(x, y)])
+            most = longer // TENTHS
+            common = np.minimum(_pair_counts(x), _pair_counts(y)).sum(1)
+            for i in np.flatnonzero(common >= longer - 1 - 2 * most).tolist():  # an edit spoils two pairs at most
+                if (d := edit_distance(x[i], y[i])) <= most[i]:
+                    keep.append(lo + i)
+                    edits.append(d)
+                    share.append(containment(x[i], y[i]))
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(edits, pa.int32()), pa.array(share, pa.float64())], ["eval", "train", "edits", "containment"])
 
 
 def _word_grams(shorter: tuple[int, ...] = ()):
@@ -231,12 +272,7 @@ def _short_lengths(batches):
 
 def _verify_grams(batches):
     for batch in batches:
-        share = []
-        for e, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            we, wt = ta.Words([e]).value, ta.Words([t]).value
-            n = min(WORDS, max(1, len(we)))
-            ge = np.unique(ta.shingles(we, n))
-            share.append(float(np.isin(ge, ta.shingles(wt, n)).mean()) if len(ge) else 0.0)
+        share = [containment(e, t) for e, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], ["eval", "train", "containment"])
 
 
@@ -244,15 +280,13 @@ class Overlap:
     """Records in classes of equal text, and the links between evaluation and training classes."""
 
     def __init__(self, provenance: DataFrame, split_roles: DataFrame):
-        spark = tune(provenance.sparkSession)
+        self.spark = tune(provenance.sparkSession)
         rows = with_role(latest(provenance, "dataset", "source_split", "crop_sha256", "raw_text"), split_roles).where(F.col("role").isin("train", *EVALUATION))
         rows = rows.select("record_id", "role", F.coalesce("dataset", F.lit("")).alias("dataset"), plain_hash(F.col("crop_sha256")).alias("crop"), F.col("raw_text").cast("string").alias("raw_text"))
-        rows = stage(rows, "overlap-records")
+        rows = stage(rows.mapInArrow(_normalise, "record_id long, role string, dataset string, crop string, digest binary, plain string, n int"), "overlap-records")
         #: record_id, role, dataset, crop: the records that can take part.
         self.records = rows.select("record_id", "role", "dataset", "crop")
-        plain = rows.select("record_id", "role", "raw_text").where(F.length("raw_text") > 0).mapInArrow(_normalise, "record_id long, role string, digest binary, plain string, n int")
-        self.plain = stage(plain.where(F.col("n") > 0), "overlap-plain")
-        long_enough = self.plain.where(F.col("n") >= MIN_CHARS)
+        long_enough = rows.where(F.col("n") >= MIN_CHARS)
         evaluation = F.col("role") != "train"
         side = lambda c: F.max(c.cast("int"))
         classes = long_enough.groupBy("digest").agg(F.min("record_id").alias("class_id"), F.first("plain").alias("plain"), side(evaluation).alias("in_eval"), side(~evaluation).alias("in_train"))
@@ -261,20 +295,34 @@ class Overlap:
         self.members = stage(long_enough.select("record_id", "role", "digest").join(classes.select("digest", "class_id"), "digest").drop("digest"), "overlap-members")
         self.eval_texts = classes.where("in_eval = 1").select("class_id", "plain")
         self.train_texts = classes.where("in_train = 1").select("class_id", "plain")
-        self.spark = spark
+        self._near = None
+
+    def _counts(self, grams: DataFrame) -> bytes:
+        """How often the evaluation grams of each slot occur, as bytes; rows x ``ROW`` of them reach the driver."""
+        slot = F.col("g").bitwiseAND(F.lit(SLOTS - 1))
+        seen = grams.groupBy(F.shiftright(slot, 12).cast("int").alias("row"), slot.bitwiseAND(F.lit(ROW - 1)).cast("int").alias("low")).agg(F.count("*").alias("n"))
+        rows = seen.groupBy("row").applyInArrow(_count_row, "row int, held binary").collect()
+        table = bytearray(SLOTS)
+        for r in rows:
+            table[r["row"] * ROW : (r["row"] + 1) * ROW] = r["held"]
+        return bytes(table)
 
     def near(self) -> DataFrame:
-        """Pairs (eval, train) of classes with different texts within a tenth of edits."""
-        ev = stage(self.eval_texts.mapInArrow(_eval_grams(GRAM), "g long, eval long, eval_pos int, eval_n int"), "overlap-eval")
-        slots = ev.groupBy(F.col("g").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*").alias("n")).toPandas()
-        counts = np.zeros(SLOTS, np.float32)
-        counts[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.float32)
-        table = self.spark.sparkContext.broadcast(counts)
-        tr = self.train_texts.mapInArrow(_train_grams(GRAM, table), "g long, train long, train_pos int, train_n int")
-        most = F.floor(F.greatest("eval_n", "train_n") / TENTHS)
-        fit = (F.abs(F.col("eval_pos") - F.col("train_pos")) <= most) & (F.abs(F.col("eval_n") - F.col("train_n")) <= most) & (F.col("eval") != F.col("train"))
-        near = ev.join(tr, "g").where(fit).select("eval", "train").distinct()
-        return self._with_texts(near).mapInArrow(_verify_edits, "eval long, train long")
+        """(eval, train, edits, containment): classes with different texts within a tenth of edits."""
+        if self._near is None:
+            ev = stage(self.eval_texts.mapInArrow(_eval_grams, "g long, eval long, eval_pos int, eval_n int"), "overlap-eval")
+            table = self.spark.sparkContext.broadcast(self._counts(ev))  # SLOTS bytes
+            tr = self.train_texts.mapInArrow(_train_grams(table), "g long, train long, train_pos int, train_n int")
+            most = F.floor(F.greatest("eval_n", "train_n") / TENTHS)
+            fit = (F.abs(F.col("eval_pos") - F.col("train_pos")) <= most) & (F.abs(F.col("eval_n") - F.col("train_n")) <= most) & (F.col("eval") != F.col("train"))
+            hits = ev.join(tr, "g").where(fit).groupBy("eval", "train").agg(F.count("*").alias("hits")).where(F.col("hits") >= HITS)
+            self._near = stage(self._with_texts(hits.select("eval", "train")).mapInArrow(_verify_edits, "eval long, train long, edits int, containment double"), "overlap-near")
+            release(ev)
+        return self._near
+
+    def links(self) -> DataFrame:
+        """One row per linked pair of classes of different text, by their least record ids: edits and containment."""
+        return self.near().select("eval", "train", "edits", F.round("containment", 6).alias("containment"))
 
     def _with_texts(self, pairs: DataFrame) -> DataFrame:
         left, right = self.eval_texts.toDF("eval", "eval_text"), self.train_texts.toDF("train", "train_text")

@@ -5,7 +5,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgermill.llm.overlap import GRAM, Overlap, edit_distance, most_edits, plain_text, rarest_runs
+from ledgermill.llm.overlap import GRAM, HITS, STRETCH, Overlap, _pair_counts, edit_distance, most_edits, plain_text, probes, rarest_runs
+from ledgermill.llm.textarrays import gram_hashes, points
 
 PROV = "record_id long, dataset string, source_split string, crop_sha256 string, raw_text string, loaded_at timestamp, role string, plain string, digest string"
 ROLES = [("train", "train"), ("val", "validation"), ("test", "test"), ("train", "train")]
@@ -35,17 +36,49 @@ def test_edit_distance(a, b):
 def test_enough_disjoint_runs_for_every_length():
     for n in range(40, 3000):
         worst = max(max(n, m) // 10 for m in range(40, n * 2) if abs(m - n) <= max(n, m) // 10)
-        assert most_edits(n) == worst and GRAM * (worst + 1) <= n
+        assert most_edits(n) == worst
+        many, parts = worst + HITS, -(-n // STRETCH)
+        for j in range(parts):
+            assert GRAM * (many * (j + 1) // parts - many * j // parts) <= n * (j + 1) // parts - n * j // parts
 
 
 def test_rarest_runs_are_disjoint_and_cheapest():
     rng = random.Random(1)
-    for n in (40, 57, 90):
-        cost = np.array([rng.randint(0, 9) for _ in range(n - GRAM + 1)], float)
-        k = most_edits(n) + 1
-        got = rarest_runs([cost], [k], GRAM)[0]
+    costs = [np.array([rng.randint(0, 9) for _ in range(n - GRAM + 1)], float) for n in (40, 57, 90, 41)]
+    counts = [most_edits(n) + HITS for n in (40, 57, 90, 41)]
+
+    def least(cost, k, p=0):
+        if not k:
+            return 0
+        return min((cost[i] + least(cost, k - 1, i + GRAM) for i in range(p, len(cost))), default=float("inf"))
+
+    text, place = rarest_runs(costs, counts, GRAM)
+    for i, (cost, k) in enumerate(zip(costs, counts)):
+        got = place[text == i]
         assert len(got) == k and all(b - a >= GRAM for a, b in zip(got, got[1:]))
         assert cost[got].sum() <= cost[[GRAM * j for j in range(k)]].sum()
+    small = [np.array([rng.randint(0, 9) for _ in range(22)], float) for _ in range(5)]
+    text, place = rarest_runs(small, [3] * 5, GRAM)
+    assert [small[i][place[text == i]].sum() for i in range(5)] == [least(c, 3) for c in small]
+
+
+def test_probes_of_long_texts():
+    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(25_000))
+    which, place = probes([gram_hashes(points(text), GRAM)], [len(text)], lambda g: (g % np.uint64(7)).astype(float))
+    place = np.sort(place)
+    assert len(place) == most_edits(len(text)) + HITS and (np.diff(place) >= GRAM).all() and place[-1] + GRAM <= len(text) and not which.any()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab ", min_size=2, max_size=40), st.integers(0, 4), st.randoms())
+def test_edits_spoil_two_character_pairs_at_most(text, edits, rng):
+    other = list(text)
+    for _ in range(edits):
+        p = rng.randrange(len(other) + 1)
+        other[p : p + rng.randint(0, 1)] = rng.choice(["", "x", "ab"[: rng.randint(0, 1)]])
+    other = "".join(other)
+    common = np.minimum(_pair_counts([text]), _pair_counts([other])).sum()
+    assert common >= max(len(text), len(other)) - 1 - 2 * levenshtein(text, other)
 
 
 def test_plain_text():
