@@ -1,11 +1,12 @@
 import random
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgermill.llm.overlap import GRAM, HITS, STRETCH, Overlap, _pair_counts, edit_distance, most_edits, plain_text, probes, rarest_runs
+from ledgermill.llm.overlap import GRAM, HITS, STRETCH, Overlap, _pair_counts, _signatures, apart, edit_distance, most_edits, plain_text, probes, rarest_runs
 from ledgermill.llm.textarrays import gram_hashes, points
 
 PROV = "record_id long, dataset string, source_split string, crop_sha256 string, raw_text string, loaded_at timestamp, role string, plain string, digest string"
@@ -81,6 +82,25 @@ def test_edits_spoil_two_character_pairs_at_most(text, edits, rng):
     assert common >= max(len(text), len(other)) - 1 - 2 * levenshtein(text, other)
 
 
+def test_signature_bound(spark):
+    rng = random.Random(4)
+    pairs = []
+    for n in (5, 60, 200, 6000):
+        a = "".join(rng.choice("abcdefghé 0123") for _ in range(n))
+        b = list(a)
+        for _ in range(rng.randint(0, n // 5)):
+            b[rng.randrange(len(b))] = rng.choice(["", "q", "é1"])
+        pairs += [(a, "".join(b)), (a, "zz" + a[::-1][: n // 2])]
+    s, t = _signatures([a for a, _ in pairs]), _signatures([b for _, b in pairs])
+    df = spark.createDataFrame([(i, *(int(x[i]) for x in (*s, *t))) for i in range(len(pairs))], "i int, a long, b long, c long, d long")
+    for r in df.select("i", apart(("a", "b"), ("c", "d")).alias("n")).collect():
+        a, b = pairs[r.i]
+        both = Counter(a), Counter(b)
+        assert r.n <= max((both[0] - both[1]).total(), (both[1] - both[0]).total())
+        if a == b or len(a) > 40:
+            assert len(a) > 5000 or a == b or r.n > 0
+
+
 def test_plain_text():
     assert plain_text("  Ünïté—12.5!\n ") == "unite 12 5" and plain_text(None) == ""
 
