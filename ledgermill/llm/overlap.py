@@ -148,19 +148,18 @@ def probes(grams: list[np.ndarray], lengths: list[int], cost) -> tuple[np.ndarra
     return np.array(owner, np.int64)[part], place + np.array(start, np.int64)[part]
 
 
-def _signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the counts of 16 groups of characters, a byte each (255: or more), as two integers."""
+def _signatures(texts: list[str]) -> np.ndarray:
+    """Of each text the counts of 16 groups of characters, as that many ones in 16 bits each (16: or more): four integers."""
     codes = ta.points("".join(texts)).astype(np.int64)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    held = np.minimum(255, np.bincount(row * 16 + (codes * 7 + (codes >> 3)) % 16, minlength=16 * len(texts))).astype(np.uint8)
-    both = held.reshape(-1, 2, 8).view(np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    held = np.minimum(16, np.bincount(row * 16 + (codes * 7 + (codes >> 3)) % 16, minlength=16 * len(texts)))
+    return ((1 << held) - 1).astype(np.uint16).reshape(-1, 4, 4).view(np.int64).reshape(-1, 4).T
 
 
-def apart(a: tuple[str, str], b: tuple[str, str]) -> Column:
-    """The fewest edits between texts with these signatures: characters that one has and the other lacks."""
-    more = lambda x, y: "+".join(f"greatest(0, (shiftright({p}, {k}) & 255) - (shiftright({q}, {k}) & 255))" for p, q in zip(x, y) for k in range(0, 64, 8))
-    return F.expr(f"greatest({more(a, b)}, {more(b, a)})")
+def apart(a: str, b: str, most: Column) -> Column:
+    """Whether texts with these signatures may be within so many edits: characters of one that the other lacks are edits."""
+    more = lambda x, y: sum(F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(4))
+    return (more(a, b) <= most) & (more(b, a) <= most)
 
 
 def _eval_grams(batches):
@@ -169,17 +168,16 @@ def _eval_grams(batches):
         grams = [ta.gram_hashes(ta.points(t), GRAM).view(np.int64) for t in texts]
         sizes = [len(g) for g in grams]
         which = np.repeat(np.arange(len(texts)), sizes)
-        one, two = _signatures(texts)
+        marks = _signatures(texts)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate(grams or [np.empty(0, np.int64)])),
                 batch.column(0).take(pa.array(which)),
                 pa.array(np.concatenate([np.arange(s) for s in sizes] or [np.empty(0, int)]).astype(np.int32)),
                 pa.array(np.array([len(t) for t in texts], np.int32)[which] if len(texts) else np.empty(0, np.int32)),
-                pa.array(one[which]),
-                pa.array(two[which]),
+                *(pa.array(m[which]) for m in marks),
             ],
-            ["g", "eval", "eval_pos", "eval_n", "eval_s1", "eval_s2"],
+            ["g", "eval", "eval_pos", "eval_n", "eval_m0", "eval_m1", "eval_m2", "eval_m3"],
         )
 
 
@@ -198,7 +196,7 @@ def _train_grams(counts):
             grams = [ta.gram_hashes(ta.points(t), GRAM) for t in texts]
             which, place = probes(grams, [len(t) for t in texts], lambda g: value[table[(g & np.uint64(SLOTS - 1)).astype(np.int64)]])
             first = np.cumsum([0] + [len(g) for g in grams])
-            one, two = _signatures(texts)
+            marks = _signatures(texts)
             flat = np.concatenate(grams or [np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -206,10 +204,9 @@ def _train_grams(counts):
                     batch.column(0).take(pa.array(which)),
                     pa.array(place.astype(np.int32)),
                     pa.array(np.array([len(t) for t in texts], np.int32)[which] if len(texts) else np.empty(0, np.int32)),
-                    pa.array(one[which]),
-                    pa.array(two[which]),
+                    *(pa.array(m[which]) for m in marks),
                 ],
-                ["g", "train", "train_pos", "train_n", "train_s1", "train_s2"],
+                ["g", "train", "train_pos", "train_n", "train_m0", "train_m1", "train_m2", "train_m3"],
             )
 
     return run
@@ -332,12 +329,12 @@ class Overlap:
     def near(self) -> DataFrame:
         """(eval, train, edits, containment): classes with different texts within a tenth of edits."""
         if self._near is None:
-            ev = stage(self.eval_texts.mapInArrow(_eval_grams, "g long, eval long, eval_pos int, eval_n int, eval_s1 long, eval_s2 long"), "overlap-eval")
+            ev = stage(self.eval_texts.mapInArrow(_eval_grams, "g long, eval long, eval_pos int, eval_n int, eval_m0 long, eval_m1 long, eval_m2 long, eval_m3 long"), "overlap-eval")
             table = self.spark.sparkContext.broadcast(self._counts(ev))  # SLOTS bytes
-            tr = self.train_texts.mapInArrow(_train_grams(table), "g long, train long, train_pos int, train_n int, train_s1 long, train_s2 long")
+            tr = self.train_texts.mapInArrow(_train_grams(table), "g long, train long, train_pos int, train_n int, train_m0 long, train_m1 long, train_m2 long, train_m3 long")
             most = F.floor(F.greatest("eval_n", "train_n") / TENTHS)
             fit = (F.abs(F.col("eval_pos") - F.col("train_pos")) <= most) & (F.abs(F.col("eval_n") - F.col("train_n")) <= most) & (F.col("eval") != F.col("train"))
-            fit = fit & (apart(("eval_s1", "eval_s2"), ("train_s1", "train_s2")) <= most)
+            fit = fit & apart("eval_m", "train_m", most)
             hits = ev.join(tr, "g").where(fit).groupBy("eval", "train").agg(F.count("*").alias("hits")).where(F.col("hits") >= HITS)
             self._near = stage(self._with_texts(hits.select("eval", "train")).mapInArrow(_verify_edits, "eval long, train long, edits int, containment double"), "overlap-near")
             release(ev)

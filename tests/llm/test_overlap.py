@@ -5,6 +5,7 @@ from datetime import datetime
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgermill.llm.overlap import GRAM, HITS, STRETCH, Overlap, _pair_counts, _signatures, apart, edit_distance, most_edits, plain_text, probes, rarest_runs
 from ledgermill.llm.textarrays import gram_hashes, points
@@ -92,13 +93,12 @@ def test_signature_bound(spark):
             b[rng.randrange(len(b))] = rng.choice(["", "q", "é1"])
         pairs += [(a, "".join(b)), (a, "zz" + a[::-1][: n // 2])]
     s, t = _signatures([a for a, _ in pairs]), _signatures([b for _, b in pairs])
-    df = spark.createDataFrame([(i, *(int(x[i]) for x in (*s, *t))) for i in range(len(pairs))], "i int, a long, b long, c long, d long")
-    for r in df.select("i", apart(("a", "b"), ("c", "d")).alias("n")).collect():
-        a, b = pairs[r.i]
-        both = Counter(a), Counter(b)
-        assert r.n <= max((both[0] - both[1]).total(), (both[1] - both[0]).total())
-        if a == b or len(a) > 40:
-            assert len(a) > 5000 or a == b or r.n > 0
+    lacks = [max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) for a, b in pairs]
+    names = [f"{x}{k}" for x in "ab" for k in range(4)]
+    df = spark.createDataFrame([(i, lacks[i], *(int(x[i]) for x in (*s, *t))) for i in range(len(pairs))], "i int, n int, " + ", ".join(f"{x} long" for x in names))
+    assert df.where(~apart("a", "b", F.col("n"))).count() == 0
+    far = {r.i for r in df.where(~apart("a", "b", F.floor(F.col("n") / 3))).collect()}
+    assert {3, 5} <= far  # half of each text is missing
 
 
 def test_plain_text():
