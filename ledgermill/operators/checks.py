@@ -27,17 +27,21 @@ def outliers(cells: DataFrame, group: Sequence[str], value: Column, minimum: int
     return df.withColumn("is_outlier", F.col("distance") > F.col("threshold"))
 
 
-def flag_outliers(cells: DataFrame) -> DataFrame:
+def flag_outliers(cells: DataFrame, comparable: Column | None = None) -> DataFrame:
     """Resolved readings with their outlier flags computed anew; other flags and texts stay.
 
+    Values are compared within a row of one document's page, among cells under one named rule
+    or, where given, with one value of ``comparable``.
+
     Only data cells under a named rule count, not excluded, not fixed, not in header rows or
     label columns. A flagged cell also says whether an alternative reading obeys the rule and
     lies within the threshold.
     """
     counted = (F.col("cell_row") >= F.col("header_rows")) & (F.col("cell_column") >= F.col("row_label_columns")) & ~F.col("excluded") & F.col("fixed").isNull() & (F.col("kind") == "rule")
     value = G.number(F.col("c.text")).cast("double")
-    key = ["template_id", "page_index", "cell_row", "rule_name"]
-    found = outliers(cells.where(counted & (F.col("status") != "excluded")).select("cell_id", *key, "rule", "c"), key, value).where("is_outlier")
+    key = ["run_id", "template_id", "page_index", "cell_row", "comparable"]
+    own = cells.where(counted & (F.col("status") != "excluded")).withColumn("comparable", F.col("rule_name") if comparable is None else comparable)
+    found = outliers(own.where("comparable <> ''").select("cell_id", *key, "rule", "c"), key, value).where("is_outlier")
     near = lambda v: G.valid(v, F.col("rule")) & F.coalesce(F.abs(G.number(v).cast("double") - F.col("center")) <= F.col("threshold"), F.lit(False))
     plausible = F.exists(F.transform(F.split(F.col("c.alternative"), r" \| "), G.strip), near)
     marks = found.select("cell_id", F.when(plausible, F.array(F.lit(OUTLIER), F.lit(PLAUSIBLE))).otherwise(F.array(F.lit(OUTLIER))).alias("marks"))
@@ -70,7 +74,7 @@ def mark_rows(cells: DataFrame, group: Sequence[str], evidence: Column) -> DataF
 def review_counts(flagged: DataFrame) -> DataFrame:
     """Per page: cells, cells with hard errors, outliers, and unresolved ones."""
     errors = F.size(G.hard_errors(F.col("c.text"), F.col("rule"))) > 0
-    return flagged.groupBy("template_id", "page_index").agg(
+    return flagged.groupBy("run_id", "template_id", "page_index").agg(
         F.count("*").alias("n_cells"),
         F.count_if((F.col("kind") == "rule") & errors).alias("n_errors"),
         F.count_if(F.array_contains("flags_now", OUTLIER)).alias("n_outliers"),

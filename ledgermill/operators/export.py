@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import zipfile
 from collections.abc import Iterable
 from xml.sax.saxutils import escape
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgermill.functions import grammar as G
 
-PAGE = ["template_id", "page_index"]
+#: What tells one page of one document from all others.
+PAGE = ["run_id", "template_id", "page_index"]
 
 
 def violations(flagged: DataFrame) -> DataFrame:
@@ -60,16 +63,18 @@ def row_labels(cells: DataFrame) -> DataFrame:
 
 
 def ordinals(grid: DataFrame) -> DataFrame:
-    """(template_id, cell_row, ordinal): the row's number without earlier rows that are all header.
+    """(template_id, cell_row, ordinal) of rows with data columns: the row's number without earlier rows that are all header.
 
-    A row looks only at its own data columns. Work is per template (grids are at most 200 x 100).
+    A row looks only at its own data columns. One row per template is made (grids are at most 200 x 100).
     """
-    data = grid.where((F.col("cell_column") >= F.col("t.row_label_columns")) & (F.col("own.role") == "data")).select("template_id", "cell_row", "cell_column", "is_header")
-    own = data.where(~F.col("is_header")).select("template_id", "cell_row", "cell_column")
-    earlier = data.select("template_id", F.col("cell_row").alias("previous"), "cell_column", "is_header")
-    pairs = own.join(earlier, ["template_id", "cell_column"]).where("previous < cell_row").groupBy("template_id", "cell_row", "previous").agg(F.min(F.col("is_header").cast("int")).alias("h"))
-    heads = pairs.groupBy("template_id", "cell_row").agg(F.sum("h").alias("heads"))
-    return own.select("template_id", "cell_row").distinct().join(heads, ["template_id", "cell_row"], "left").select("template_id", "cell_row", (F.col("cell_row") + 1 - F.coalesce("heads", F.lit(0))).alias("ordinal"))
+    data = grid.where((F.col("cell_column") >= F.col("t.row_label_columns")) & (F.col("own.role") == "data") & ~F.col("is_header"))
+    rows = data.groupBy("template_id", "cell_row").agg(F.collect_set("cell_column").alias("columns"))
+    sizes = grid.groupBy("template_id").agg(F.max("t.rows").alias("n_rows"))
+    per = sizes.join(rows.groupBy("template_id").agg(F.map_from_entries(F.collect_list(F.struct("cell_row", "columns"))).alias("held")), "template_id")
+    none = F.array().cast("array<int>")
+    own = F.col("own")
+    heads = F.size(F.filter(F.sequence(F.lit(0), F.col("cell_row")), lambda r: (r < F.col("cell_row")) & ~F.coalesce(F.arrays_overlap(F.coalesce(F.try_element_at("held", r), none), own), F.lit(False))))
+    return per.select("template_id", "held", F.explode("held").alias("cell_row", "own")).select("template_id", "cell_row", (F.col("cell_row") + 1 - heads).alias("ordinal"))
 
 
 def headers(cells: DataFrame) -> DataFrame:
@@ -78,29 +83,76 @@ def headers(cells: DataFrame) -> DataFrame:
     return own.groupBy(*PAGE, "cell_column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell_row", F.col("c.text").alias("t")))), lambda x: x["t"]), " / ").alias("header"))
 
 
-def long_rows(cells: DataFrame, grid: DataFrame) -> DataFrame:
-    """One row per exported value: page, source row, measurement, value, status, confidence.
+def field_texts(results: Column, fields: Column) -> tuple[Column, Column]:
+    """(repeated, groups): the repeated fields' texts as ``name=text; …``, and (start, end, text) of the column groups.
 
-    Empty and excluded cells give no row. The measurement is the column rule's name, unless
-    that is generic; then the header texts, then the column number.
+    ``results`` maps a field's id to its text. Of fields of one name the first counts; a field
+    without a result has an empty text.
+    """
+    text = lambda f: F.coalesce(F.try_element_at(results, f["id"]), F.lit(""))
+    repeat = F.filter(fields, lambda f: f["export_mode"] == "repeat")
+    names = F.transform(repeat, lambda f: f["name"])
+    once = F.filter(F.transform(repeat, lambda f, i: F.when(F.array_position(names, f["name"]) == i + 1, F.concat(f["name"], F.lit("="), text(f)))), lambda x: x.isNotNull())
+    groups = F.transform(F.filter(fields, lambda f: (f["export_mode"] == "column_group") & f["column_start"].isNotNull() & f["column_end"].isNotNull()), lambda f: F.struct(f["column_start"].alias("start"), f["column_end"].alias("end"), text(f).alias("text")))
+    return F.array_join(once, "; "), groups
+
+
+def page_frame(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Pages (``PAGE``, excluded_rows, results) with their template's exclusions and the texts of their fields.
+
+    Pages without results (null) have the template's fixed fields only.
+    """
+    t = templates.select(F.col("id").alias("template_id"), "fields", F.col("excluded_rows").alias("template_rows"))
+    fixed = F.map_from_entries(F.transform(F.filter("fields", lambda f: f["source"] == "fixed"), lambda f: F.struct(f["id"], F.coalesce(f["fixed_value"], F.lit("")))))
+    df = pages.join(t, "template_id").withColumn("results", F.coalesce("results", fixed))
+    repeated, groups = field_texts(F.col("results"), F.col("fields"))
+    none = F.array().cast("array<int>")
+    rows = F.array_distinct(F.concat(F.coalesce("excluded_rows", none), F.coalesce("template_rows", none)))
+    return df.select(*PAGE, rows.alias("out_rows"), repeated.alias("repeated"), groups.alias("groups"))
+
+
+def long_rows(cells: DataFrame, grid: DataFrame, pages: DataFrame) -> DataFrame:
+    """The normalised export: one row per value, with page, fields, source row, measurement, value, status, confidence.
+
+    ``pages`` comes from ``page_frame``. Empty cells and excluded columns or cells give no row;
+    an excluded row that has data columns gives one, without a value. The measurement is the
+    column rule's name, unless that is generic; then the header texts, then the column number.
     """
     cells = first_per_place(cells)
     data = cells.where((F.col("cell_column") >= F.col("row_label_columns")) & (F.col("own.role") == "data") & ~F.col("is_header") & (F.col("c.text") != "") & (F.col("status") != "excluded") & ~F.col("excluded"))
-    df = data.join(row_labels(cells), [*PAGE, "cell_row"], "left").join(ordinals(grid), ["template_id", "cell_row"], "left").join(headers(cells), [*PAGE, "cell_column"], "left")
+    labels, numbers = row_labels(cells), ordinals(grid)
+    df = data.join(pages, PAGE).where(~F.coalesce(F.array_contains("out_rows", F.col("cell_row")), F.lit(False)))
+    df = df.join(labels, [*PAGE, "cell_row"], "left").join(numbers, ["template_id", "cell_row"], "left").join(headers(cells), [*PAGE, "cell_column"], "left")
     numeric = (F.col("kind") == "rule") & F.col("rule.value_format").isin(*G.NUMERIC_FORMATS) & ~F.col("is_label")
-    label = F.coalesce("label", F.coalesce("ordinal", F.col("cell_row") + 1).cast("string"))
+    label = F.coalesce("label", F.coalesce("ordinal", F.col("cell_row") + 1).cast("string")).alias("source_row")
     measurement = F.when(~F.col("own.name").startswith("Column "), F.col("own.name")).otherwise(F.coalesce("header", (F.col("cell_column") + 1).cast("string")))
     text = F.col("c.text")
-    return df.select(
-        "cell_id", "template_id", (F.col("page_index") + 1).alias("page"), label.alias("source_row"), measurement.alias("measurement"), text.alias("value"), typed_value(text, numeric).alias("number"),
+    side = F.coalesce(F.get(F.filter("groups", lambda g: (g["start"] <= F.col("cell_column")) & (F.col("cell_column") <= g["end"])), F.lit(0))["text"], F.lit(""))
+    page = (F.col("page_index") + 1).alias("page")
+    values = df.select(
+        "cell_id", "run_id", "template_id", page, "repeated", side.alias("side"), label, measurement.alias("measurement"), text.alias("value"), typed_value(text, numeric).alias("number"),
         number_format(text, numeric, F.col("status"), F.col("rule")).alias("number_format"), F.col("status").alias("review_status"), F.round("c.confidence", 4).alias("confidence"),
     )
+    out = pages.withColumn("cell_row", F.explode("out_rows")).join(numbers, ["template_id", "cell_row"]).join(labels, [*PAGE, "cell_row"], "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = out.select(
+        none(cells.schema["cell_id"].dataType).alias("cell_id"), "run_id", "template_id", page, "repeated", F.lit("").alias("side"), label, F.lit("").alias("measurement"), none("string").alias("value"), none("double").alias("number"),
+        F.lit("General").alias("number_format"), F.lit("excluded").alias("review_status"), F.lit(1.0).alias("confidence"),
+    )
+    return values.unionByName(rows)
+
 
+def layout(cells: DataFrame, templates: DataFrame) -> DataFrame:
+    """The page's matrix: a row per page and grid row with the texts of all its columns; missing and excluded cells blank.
 
-def layout(cells: DataFrame, columns: int) -> DataFrame:
-    """The page's matrix: a row per page and row, a column per grid column; excluded cells blank."""
-    shown = first_per_place(cells).select(*PAGE, "cell_row", "cell_column", F.when(F.col("excluded"), "").otherwise(F.col("c.text")).alias("v"))
-    return shown.groupBy(*PAGE, "cell_row").pivot("cell_column", list(range(columns))).agg(F.first("v")).select(*PAGE, "cell_row", *(F.col(str(i)).alias(f"c{i}") for i in range(columns)))
+    A page's cells are one map (at most 200 x 100 places), so the whole grid is laid out without a join per cell.
+    """
+    shown = first_per_place(cells).where(~F.col("excluded") & (F.col("status") != "excluded"))
+    held = shown.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("cell_row", "cell_column").alias("at"), F.col("c.text").alias("v")))).alias("held"))
+    t = templates.where("size(row_guides) > 1 and size(column_guides) > 1").select(F.col("id").alias("template_id"), (F.size("row_guides") - 1).alias("rows"), (F.size("column_guides") - 1).alias("columns"))
+    df = cells.select(*PAGE).distinct().join(held, PAGE, "left").join(t, "template_id").withColumn("cell_row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    at = lambda c: F.struct(F.col("cell_row").alias("cell_row"), c.alias("cell_column"))
+    return df.select(*PAGE, "cell_row", F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.coalesce(F.try_element_at("held", at(c)), F.lit(""))).alias("texts"))
 
 
 def audit(flagged: DataFrame) -> DataFrame:
@@ -113,15 +165,49 @@ def audit(flagged: DataFrame) -> DataFrame:
 
 
 def export_names(jobs: DataFrame) -> DataFrame:
-    """A file name per ready job; further jobs of one stem get -2, -3, … in id order."""
-    stem = F.regexp_replace("source_name", r"\.[^.]*\z", "")
-    df = jobs.select("id", stem.alias("stem"))
-    n = F.row_number().over(Window.partitionBy("stem").orderBy("id"))
-    return df.select("id", F.concat("stem", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit(".xlsx")).alias("file_name"))
+    """(id, file_name): a free name for every job.
+
+    The first job of a stem takes the stem itself; the k-th further one takes the k-th number
+    from 2 on whose name is not another job's stem, so no name is given twice. Jobs of a stem
+    follow each other by digest of their id. Ranks are in two levels (256 ranges of digests),
+    so a stem that most jobs have is not one task.
+    """
+    df = jobs.select("id", F.regexp_replace("source_name", r"\.[^.]*\z", "").alias("stem")).withColumn("key", F.md5("id")).withColumn("part", F.substring("key", 1, 2))
+    parts = df.groupBy("stem", "part").agg(F.count("*").alias("n"))
+    before = parts.select("stem", "part", (F.sum("n").over(Window.partitionBy("stem").orderBy("part")) - F.col("n")).alias("before"))  # 256 rows a stem
+    rank = F.row_number().over(Window.partitionBy("stem", "part").orderBy("key", "id"))
+    ranked = df.withColumn("rank", rank).join(before, ["stem", "part"]).select("id", "stem", (F.col("before") + F.col("rank") - 1).alias("k"))
+    number = F.regexp_extract("stem", r"-([1-9]\d{0,8})\z", 1)
+    taken = parts.select("stem").distinct().withColumn("n", F.nullif(number, F.lit("")).cast("long")).where("n >= 2")
+    taken = taken.groupBy(F.regexp_replace("stem", r"-\d+\z", "").alias("stem")).agg(F.array_sort(F.collect_list("n")).alias("taken"))  # distinct stems that end so
+    skipped = F.size(F.filter(F.transform("taken", lambda n, i: n - (i + 1)), lambda free: free <= F.col("k")))
+    n = F.col("k") + 1 + F.when(F.col("taken").isNull(), 0).otherwise(skipped)
+    return ranked.join(taken, "stem", "left").select("id", F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit(".xlsx")).alias("file_name"))
 
 
 def write_workbook(path: str, sheets: dict[str, tuple[list[str], Iterable[tuple]]]) -> None:
-    """A minimal spreadsheet file from bounded sheets; every text is stored as text, never as a formula."""
+    """A spreadsheet file from bounded sheets, put in place only when it is whole.
+
+    It is written beside its target, read back, forced to disk and renamed, so a failure leaves
+    an earlier file as it was. Every text is stored as text, never as a formula.
+    """
+    target = os.path.abspath(path)
+    handle, pending = tempfile.mkstemp(prefix="." + os.path.basename(target) + "-", dir=os.path.dirname(target))
+    try:
+        os.close(handle)
+        _write_sheets(pending, sheets)
+        with zipfile.ZipFile(pending) as z:
+            if broken := z.testzip():
+                raise OSError(f"broken part {broken}")
+        with open(pending, "r+b") as f:
+            os.fsync(f.fileno())
+        os.replace(pending, target)
+    finally:
+        if os.path.exists(pending):
+            os.unlink(pending)
+
+
+def _write_sheets(path: str, sheets: dict[str, tuple[list[str], Iterable[tuple]]]) -> None:
     names = list(sheets)
 
     def cell(value) -> str:

@@ -29,7 +29,7 @@ def confirmable(flagged: DataFrame) -> DataFrame:
 
 def uncertain_rows(flagged: DataFrame) -> DataFrame:
     """Rows of a page to show when only uncertain cells are wanted."""
-    return flagged.where(G.needs_review(F.col("flags_now"), F.col("status"))).select("template_id", "page_index", "cell_row").distinct()
+    return flagged.where(G.needs_review(F.col("flags_now"), F.col("status"))).select("run_id", "template_id", "page_index", "cell_row").distinct()
 
 
 def confirm(cells: DataFrame, edits: DataFrame) -> DataFrame:

@@ -166,22 +166,27 @@ def cell_rects(spark, sf):
     return g.select("template_id", "cell_row", "cell_column", i(F.col("y")).alias("y"), i(F.col("x")).alias("x"), i(F.greatest(F.lit(1), height)).alias("height"), i(F.greatest(F.lit(1), width)).alias("width"))
 
 
-_OUT = f"""{S.constrained()},
-counted AS (SELECT *, {S.number('c_text')}::DOUBLE AS value FROM readings WHERE kind = 'rule' AND cell_row >= header_rows AND cell_column >= row_label_columns AND status <> 'excluded' AND {S.number('c_text')} IS NOT NULL),
-g1 AS (SELECT *, count(*) OVER w AS n, median(value) OVER w AS center FROM counted WINDOW w AS (PARTITION BY template_id, page_index, cell_row, rule_name)),
-g2 AS (SELECT *, median(abs(value - center)) OVER (PARTITION BY template_id, page_index, cell_row, rule_name) AS spread FROM g1 WHERE n >= 5),
+def marks(comparable: str = "rule_name", also: str = "") -> str:
+    """Common table expressions from ``readings`` to ``flagged``: outlier flags computed anew, within rows of a document's page."""
+    return f"""
+counted AS (SELECT *, {comparable} AS comparable, {S.number('c_text')}::DOUBLE AS value FROM readings WHERE kind = 'rule' AND cell_row >= header_rows AND cell_column >= row_label_columns AND status <> 'excluded' {also} AND {S.number('c_text')} IS NOT NULL),
+g1 AS (SELECT *, count(*) OVER w AS n, median(value) OVER w AS center FROM counted WHERE comparable <> '' WINDOW w AS (PARTITION BY run_id, template_id, page_index, cell_row, comparable)),
+g2 AS (SELECT *, median(abs(value - center)) OVER (PARTITION BY run_id, template_id, page_index, cell_row, comparable) AS spread FROM g1 WHERE n >= 5),
 g3 AS (SELECT *, greatest(10.0, abs(center) * 0.45, spread * 1.4826 * 4.5) AS threshold FROM g2),
 marks AS (SELECT cell_id, CASE WHEN len(list_filter(string_split(c_alternative, ' | '), lambda v: len({S.errors('v', 'rule')}) = 0 AND coalesce(abs({S.number('v')}::DOUBLE - center) <= threshold, false))) > 0
   THEN ['table_outlier', 'table_outlier_with_plausible_alternative'] ELSE ['table_outlier'] END AS marks FROM g3 WHERE abs(value - center) > threshold),
 flagged AS (SELECT r.*, list_sort(list_distinct(list_concat(list_filter(c_flags, lambda f: f NOT IN ('table_outlier', 'table_outlier_with_plausible_alternative')), coalesce(marks, [])))) AS flags_now FROM readings r LEFT JOIN marks USING (cell_id))"""
 
 
+_OUT = f"{S.constrained()},{marks()}"
+
+
 @query(f"WITH {_OUT} SELECT cell_id, array_to_string(flags_now, ',') AS flags, len(list_filter(flags_now, lambda f: f NOT IN ({NON_BLOCKING}))) > 0 AND status = 'automatic' AS needs_review FROM flagged")
 def outlier_flags(spark, sf):
     return _flagged(spark, sf).select("cell_id", F.array_join("flags_now", ",").alias("flags"), G.needs_review(F.col("flags_now"), F.col("status")).alias("needs_review"))
 
 
-@query(f"WITH {_OUT} SELECT template_id, page_index, count(*) AS n_cells, count(*) FILTER (kind = 'rule' AND len({S.errors('c_text', 'rule')}) > 0) AS n_errors, count(*) FILTER (list_contains(flags_now, 'table_outlier')) AS n_outliers, count(*) FILTER (status = 'automatic' AND len(list_filter(flags_now, lambda f: f NOT IN ({NON_BLOCKING}))) > 0) AS n_unresolved FROM flagged GROUP BY ALL")
+@query(f"WITH {_OUT} SELECT run_id, template_id, page_index, count(*) AS n_cells, count(*) FILTER (kind = 'rule' AND len({S.errors('c_text', 'rule')}) > 0) AS n_errors, count(*) FILTER (list_contains(flags_now, 'table_outlier')) AS n_outliers, count(*) FILTER (status = 'automatic' AND len(list_filter(flags_now, lambda f: f NOT IN ({NON_BLOCKING}))) > 0) AS n_unresolved FROM flagged GROUP BY ALL")
 def flagship_review_counts(spark, sf):
     return K.review_counts(_flagged(spark, sf))
 

@@ -123,23 +123,23 @@ def caption_strip(spark, sf):
     return f.select("template_id", F.col("f.id").alias("field_id"), O.strip_caption(read, F.col("f.printed_label")).alias("value"))
 
 
-@query(f"WITH {P._OUT}, {E._ELIG}, {E._answer(E.FIRST, 'fa')} SELECT DISTINCT template_id, page_index, cell_row FROM eligible JOIN fa USING (cell_id) WHERE t IS NOT NULL AND {S.number('t')} IS DISTINCT FROM {S.number('c_text')}")
+@query(f"WITH {P._OUT}, {E._ELIG}, {E._answer(E.FIRST, 'fa')} SELECT DISTINCT run_id, template_id, page_index, cell_row FROM eligible JOIN fa USING (cell_id) WHERE t IS NOT NULL AND {S.number('t')} IS DISTINCT FROM {S.number('c_text')}")
 def disputed_rows(spark, sf):
     """Rows where the first model's valid reading differs from the baseline: only these go to the second model."""
     e = table(spark, sf, "evidence")
     cells = A.eligible(P._flagged(spark, sf)).join(A.answers(e, E.FIRST, "first"), "cell_id")
     read = cells.withColumn("a", A.reading(F.col("first"), F.col("rule"))).where("a is not null")
-    return read.where(~G.numeric_identity(F.col("a")).eqNullSafe(G.numeric_identity(F.col("c.text")))).select("template_id", "page_index", "cell_row").distinct()
+    return read.where(~G.numeric_identity(F.col("a")).eqNullSafe(G.numeric_identity(F.col("c.text")))).select("run_id", "template_id", "page_index", "cell_row").distinct()
 
 
-@query("SELECT template_id, page_index, count(DISTINCT (cell_row, cell_column)) FILTER (cell_row < nr AND cell_column < nc) = nr * nc AND count(*) FILTER (cell_row >= nr OR cell_column >= nc) = 0 AS complete FROM (SELECT c.*, len(t.row_guides) - 1 AS nr, len(t.column_guides) - 1 AS nc FROM ocr_cells c JOIN templates t ON c.template_id = t.id) GROUP BY template_id, page_index, nr, nc")
+@query("SELECT run_id, template_id, page_index, count(DISTINCT (cell_row, cell_column)) FILTER (cell_row < nr AND cell_column < nc) = nr * nc AND count(*) FILTER (cell_row >= nr OR cell_column >= nc) = 0 AS complete FROM (SELECT c.*, len(t.row_guides) - 1 AS nr, len(t.column_guides) - 1 AS nc FROM ocr_cells c JOIN templates t ON c.template_id = t.id) GROUP BY run_id, template_id, page_index, nr, nc")
 def page_complete(spark, sf):
     """A page may be stored when its cells are exactly its grid."""
     t = _templates(spark, sf).select(F.col("id").alias("template_id"), (F.size("row_guides") - 1).alias("nr"), (F.size("column_guides") - 1).alias("nc"))
-    c = table(spark, sf, "ocr_cells").select("template_id", "page_index", "cell_row", "cell_column").join(t, "template_id")
+    c = table(spark, sf, "ocr_cells").select("run_id", "template_id", "page_index", "cell_row", "cell_column").join(t, "template_id")
     inside = (F.col("cell_row") < F.col("nr")) & (F.col("cell_column") < F.col("nc"))
-    per = c.groupBy("template_id", "page_index", "nr", "nc").agg(F.countDistinct(F.when(inside, F.struct("cell_row", "cell_column"))).alias("n"), F.count_if(~inside).alias("outside"))
-    return per.select("template_id", "page_index", ((F.col("n") == F.col("nr") * F.col("nc")) & (F.col("outside") == 0)).alias("complete"))
+    per = c.groupBy("run_id", "template_id", "page_index", "nr", "nc").agg(F.countDistinct(F.when(inside, F.struct("cell_row", "cell_column"))).alias("n"), F.count_if(~inside).alias("outside"))
+    return per.select("run_id", "template_id", "page_index", ((F.col("n") == F.col("nr") * F.col("nc")) & (F.col("outside") == 0)).alias("complete"))
 
 
 @query("SELECT id AS document, true AS fits, 2::BIGINT AS n_pages FROM templates WHERE len(row_guides) > 1")
@@ -183,16 +183,16 @@ def adaptive_counts(spark, sf):
     return E.adaptive_gate(spark, sf).groupBy("pass").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT template_id, page_index, count(*) AS n_cells, count(*) FILTER (outcome = 'changed') AS n_changed,
+@query(f"""SELECT run_id, template_id, page_index, count(*) AS n_cells, count(*) FILTER (outcome = 'changed') AS n_changed,
 CASE WHEN count(*) FILTER (outcome = 'first_unavailable') = count(*) THEN 'failed' WHEN count(*) FILTER (outcome IN ('first_unavailable', 'second_unavailable')) > 0 THEN 'partial' ELSE 'complete' END AS state
-FROM ({E.SQL_AGREEMENT}) a JOIN (SELECT cell_id, template_id, page_index FROM ocr_cells) c USING (cell_id) GROUP BY template_id, page_index""")
+FROM ({E.SQL_AGREEMENT}) a JOIN (SELECT cell_id, run_id, template_id, page_index FROM ocr_cells) c USING (cell_id) GROUP BY run_id, template_id, page_index""")
 def verification_pages(spark, sf):
     """State of each page's verification: failed keeps the baseline, partial lacks answers for some cells."""
-    c = table(spark, sf, "ocr_cells").select("cell_id", "template_id", "page_index")
+    c = table(spark, sf, "ocr_cells").select("cell_id", "run_id", "template_id", "page_index")
     lacks = F.col("outcome").isin("first_unavailable", "second_unavailable")
-    per = E.agreement_update(spark, sf).join(c, "cell_id").groupBy("template_id", "page_index").agg(F.count("*").alias("n_cells"), F.count_if(F.col("outcome") == "changed").alias("n_changed"), F.count_if(F.col("outcome") == "first_unavailable").alias("none"), F.count_if(lacks).alias("some"))
+    per = E.agreement_update(spark, sf).join(c, "cell_id").groupBy("run_id", "template_id", "page_index").agg(F.count("*").alias("n_cells"), F.count_if(F.col("outcome") == "changed").alias("n_changed"), F.count_if(F.col("outcome") == "first_unavailable").alias("none"), F.count_if(lacks).alias("some"))
     state = F.when(F.col("none") == F.col("n_cells"), "failed").when(F.col("some") > 0, "partial").otherwise("complete")
-    return per.select("template_id", "page_index", "n_cells", "n_changed", state.alias("state"))
+    return per.select("run_id", "template_id", "page_index", "n_cells", "n_changed", state.alias("state"))
 
 
 @query(f"""WITH {S.resolved()} SELECT cell_id, CASE WHEN kind IN ('excluded', 'fixed') THEN 'skip' WHEN trim(coalesce(raw_text, '')) = '' THEN 'blank' WHEN kind = 'rule' AND rule.value_format IN ('numeric', 'integer') THEN 'cascade'

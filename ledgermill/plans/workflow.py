@@ -36,7 +36,7 @@ def confirmable_items(spark, sf):
     return V.confirmable(P._flagged(spark, sf))
 
 
-@query(f"WITH {P._OUT} SELECT DISTINCT template_id, page_index, cell_row FROM flagged WHERE {_REVIEW}")
+@query(f"WITH {P._OUT} SELECT DISTINCT run_id, template_id, page_index, cell_row FROM flagged WHERE {_REVIEW}")
 def uncertain_rows(spark, sf):
     return V.uncertain_rows(P._flagged(spark, sf))
 
@@ -64,37 +64,63 @@ def axis_exclusion_round_trip(spark, sf):
 # Export
 
 
-@query(f"""WITH {P._OUT} SELECT cell_id, template_id, page_index, {_ADDRESS} AS address, reason FROM (SELECT *, CASE WHEN {_REVIEW} THEN 'needs_review' WHEN kind = 'rule' AND status NOT IN ('excluded', 'confirmed', 'corrected') AND len({S.errors('c_text', 'rule')}) > 0 THEN 'breaks_rule' END AS reason FROM flagged) WHERE reason IS NOT NULL""")
+@query(f"""WITH {P._OUT} SELECT cell_id, run_id, template_id, page_index, {_ADDRESS} AS address, reason FROM (SELECT *, CASE WHEN {_REVIEW} THEN 'needs_review' WHEN kind = 'rule' AND status NOT IN ('excluded', 'confirmed', 'corrected') AND len({S.errors('c_text', 'rule')}) > 0 THEN 'breaks_rule' END AS reason FROM flagged) WHERE reason IS NOT NULL""")
 def export_gate(spark, sf):
     return X.violations(P._flagged(spark, sf))
 
 
-_FIRST = "fp AS (SELECT * FROM flagged QUALIFY row_number() OVER (PARTITION BY template_id, page_index, cell_row, cell_column ORDER BY cell_id) = 1)"
+_FIRST = "fp AS (SELECT * FROM flagged QUALIFY row_number() OVER (PARTITION BY run_id, template_id, page_index, cell_row, cell_column ORDER BY cell_id) = 1)"
 _GRIDH = f"{P._GRID}, " + S.resolved("numbered", "k").replace("base AS", "gbase AS").replace("FROM base b", "FROM gbase b").replace("regions AS", "gregions AS").replace("JOIN regions", "JOIN gregions").replace("best AS", "gbest AS").replace("LEFT JOIN best", "LEFT JOIN gbest").replace("joined AS", "gjoined AS").replace("FROM joined", "FROM gjoined").replace("joined.cell", "gjoined.cell").replace("marked AS", "gmarked AS").replace("FROM marked", "FROM gmarked").replace("resolved AS", "ggrid AS")
 _SIMPLE_TEXT = S.full("trim(c_text)", S.SIMPLE)
 
 
-@query(f"""WITH {P._OUT}, {_GRIDH}, {_FIRST},
+_FIELDS = """tf AS (SELECT id AS template_id, list_filter(fields, lambda f: f.export_mode = 'repeat') AS rep, list_filter(fields, lambda f: f.export_mode = 'column_group' AND f.column_start IS NOT NULL AND f.column_end IS NOT NULL) AS grp, coalesce(excluded_rows, []) AS t_rows FROM templates)"""
+_VALUES = lambda names: f"array_to_string(list_transform(list_filter(rep, lambda f, i: list_position(list_transform(rep, lambda g: g.name), f.name) = i), lambda f: f.name || '=' || {names}), '; ')"
+
+
+def long_sql(pages: str, value: str) -> str:
+    """The normalised export over ``fp`` (first cells of places) and ``pages`` (page keys, out_rows, and what ``value`` reads)."""
+    return f"""{_GRIDH}, {_FIELDS},
 gdata AS (SELECT template_id, cell_row, cell_column, is_header FROM ggrid WHERE cell_column >= row_label_columns AND own_role = 'data'),
-gp AS (SELECT a.template_id, a.cell_row, b.cell_row AS prev, bool_and(b.is_header) AS h FROM gdata a JOIN gdata b ON a.template_id = b.template_id AND a.cell_column = b.cell_column AND b.cell_row < a.cell_row WHERE NOT a.is_header GROUP BY ALL),
-ord AS (SELECT template_id, cell_row, cell_row + 1 - count(*) FILTER (h) AS ordinal FROM gp GROUP BY template_id, cell_row),
-lab AS (SELECT template_id, page_index, cell_row, string_agg(c_text, ' ' ORDER BY cell_column) AS label FROM fp WHERE cell_column < row_label_columns AND c_text <> '' GROUP BY ALL),
-hd AS (SELECT template_id, page_index, cell_column, string_agg(c_text, ' / ' ORDER BY cell_row) AS header FROM fp WHERE is_header AND cell_row < header_rows AND c_text <> '' GROUP BY ALL)
-SELECT fp.cell_id, fp.template_id, fp.page_index + 1 AS page, coalesce(label, cast(coalesce(ordinal, cell_row + 1) AS VARCHAR)) AS source_row,
- CASE WHEN NOT starts_with(own_name, 'Column ') THEN own_name ELSE coalesce(header, cast(cell_column + 1 AS VARCHAR)) END AS measurement, c_text AS value,
+ord AS (SELECT a.template_id, a.cell_row, a.cell_row + 1 - (SELECT count(*) FROM (SELECT DISTINCT p.cell_row FROM ggrid p WHERE p.template_id = a.template_id AND p.cell_row < a.cell_row) q WHERE NOT EXISTS (SELECT 1 FROM gdata x JOIN gdata y ON y.template_id = x.template_id AND y.cell_column = x.cell_column WHERE x.template_id = a.template_id AND x.cell_row = a.cell_row AND NOT x.is_header AND y.cell_row = q.cell_row AND NOT y.is_header)) AS ordinal
+ FROM (SELECT DISTINCT template_id, cell_row FROM gdata WHERE NOT is_header) a),
+pg AS ({pages}),
+pf AS (SELECT pg.*, {_VALUES(value)} AS repeated, grp FROM pg JOIN tf USING (template_id)),
+lab AS (SELECT run_id, template_id, page_index, cell_row, string_agg(c_text, ' ' ORDER BY cell_column) AS label FROM fp WHERE cell_column < row_label_columns AND c_text <> '' GROUP BY ALL),
+hd AS (SELECT run_id, template_id, page_index, cell_column, string_agg(c_text, ' / ' ORDER BY cell_row) AS header FROM fp WHERE is_header AND cell_row < header_rows AND c_text <> '' GROUP BY ALL)
+SELECT fp.cell_id, fp.run_id, fp.template_id, fp.page_index + 1 AS page, repeated, coalesce(list_transform(list_filter(grp, lambda f: fp.cell_column BETWEEN f.column_start AND f.column_end)[1:1], lambda f: {value})[1], '') AS side,
+ coalesce(label, cast(coalesce(ordinal, fp.cell_row + 1) AS VARCHAR)) AS source_row, CASE WHEN NOT starts_with(own_name, 'Column ') THEN own_name ELSE coalesce(header, cast(fp.cell_column + 1 AS VARCHAR)) END AS measurement, c_text AS value,
  CASE WHEN num AND {_SIMPLE_TEXT} THEN try_cast({S.plain('trim(c_text)')} AS DOUBLE) END AS number,
  CASE WHEN num AND {_SIMPLE_TEXT} THEN CASE WHEN pl > 0 THEN '0.' || repeat('0', pl) ELSE '0' END ELSE 'General' END AS number_format, status AS review_status, round(c_confidence, 4) AS confidence
 FROM (SELECT *, kind = 'rule' AND coalesce(rule.value_format IN ('numeric', 'integer', 'complex_numeric'), false) AND NOT is_label AS num,
   coalesce(CASE WHEN status NOT IN ('confirmed', 'corrected') THEN rule.decimal_places END, length(regexp_extract({S.plain('trim(c_text)')}, '\\.([0-9]+)$', 1)))::INTEGER AS pl FROM fp
   WHERE cell_column >= row_label_columns AND own_role = 'data' AND NOT is_header AND c_text <> '' AND status <> 'excluded' AND NOT excluded) fp
-LEFT JOIN lab USING (template_id, page_index, cell_row) LEFT JOIN ord USING (template_id, cell_row) LEFT JOIN hd USING (template_id, page_index, cell_column)""")
+JOIN pf ON pf.run_id = fp.run_id AND pf.template_id = fp.template_id AND pf.page_index = fp.page_index AND NOT list_contains(out_rows, fp.cell_row)
+LEFT JOIN lab ON lab.run_id = fp.run_id AND lab.template_id = fp.template_id AND lab.page_index = fp.page_index AND lab.cell_row = fp.cell_row LEFT JOIN ord ON ord.template_id = fp.template_id AND ord.cell_row = fp.cell_row
+LEFT JOIN hd ON hd.run_id = fp.run_id AND hd.template_id = fp.template_id AND hd.page_index = fp.page_index AND hd.cell_column = fp.cell_column
+UNION ALL SELECT NULL, run_id, template_id, page_index + 1, repeated, '', coalesce(label, cast(ordinal AS VARCHAR)), '', NULL, NULL, 'General', 'excluded', 1.0
+FROM (SELECT *, unnest(list_distinct(out_rows)) AS cell_row FROM pf) x JOIN ord USING (template_id, cell_row) LEFT JOIN lab USING (run_id, template_id, page_index, cell_row)"""
+
+
+_FIXED = "CASE WHEN f.source = 'fixed' THEN coalesce(f.fixed_value, '') ELSE '' END"
+
+
+@query(f"WITH {P._OUT}, {_FIRST}, " + long_sql("SELECT DISTINCT run_id, template_id, page_index, t_rows AS out_rows FROM flagged JOIN tf USING (template_id)", _FIXED))
 def export_long(spark, sf):
-    return X.long_rows(P._flagged(spark, sf), P._grid(spark, sf))
+    flagged = P._flagged(spark, sf)
+    pages = flagged.select(*X.PAGE).distinct().withColumn("excluded_rows", F.lit(None).cast("array<int>")).withColumn("results", F.lit(None).cast("map<string,string>"))
+    return X.long_rows(flagged, P._grid(spark, sf), X.page_frame(pages, table(spark, sf, "templates")))
+
+
+LAYOUT = """lt AS (SELECT id AS template_id, len(row_guides) - 1 AS nr, len(column_guides) - 1 AS nc FROM templates),
+sh AS (SELECT run_id, template_id, page_index, cell_row, cell_column, c_text FROM fp WHERE NOT excluded AND status <> 'excluded'),
+gr AS (SELECT run_id, template_id, page_index, r::INTEGER AS cell_row, unnest(range(0, nc))::INTEGER AS cell_column FROM (SELECT *, unnest(range(0, nr)) AS r FROM (SELECT DISTINCT run_id, template_id, page_index FROM fp) JOIN lt USING (template_id)))
+SELECT run_id, template_id, page_index, cell_row, list(coalesce(c_text, '') ORDER BY cell_column) AS texts FROM gr LEFT JOIN sh USING (run_id, template_id, page_index, cell_row, cell_column) GROUP BY ALL"""
 
 
-@query(f"WITH {P._OUT}, {_FIRST} SELECT template_id, page_index, cell_row, " + ", ".join(f"max(CASE WHEN cell_column = {i} THEN CASE WHEN excluded THEN '' ELSE c_text END END) AS c{i}" for i in range(8)) + " FROM fp GROUP BY ALL")
+@query(f"WITH {P._OUT}, {_FIRST}, {LAYOUT}")
 def export_layout(spark, sf):
-    return X.layout(P._flagged(spark, sf), 8)
+    return X.layout(P._flagged(spark, sf), table(spark, sf, "templates"))
 
 
 @query(f"""WITH {P._OUT} SELECT cell_id, page_index + 1 AS page, 'cell' AS kind, {_ADDRESS} AS address, coalesce(raw_text, '') AS raw_value, c_text AS final_value, round(c_confidence, 4) AS confidence, array_to_string(flags_now, ', ') AS flags, status, template_name AS template, tv.template_version,
@@ -104,7 +130,10 @@ def export_audit(spark, sf):
     return X.audit(P._flagged(spark, sf))
 
 
-@query("""SELECT id, stem || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.xlsx' AS file_name FROM (SELECT id, stem, row_number() OVER (PARTITION BY stem ORDER BY id) AS n FROM (SELECT id, regexp_replace(source_name, '\\.[^.]*$', '') AS stem FROM jobs WHERE id IS NOT NULL AND status IN ('ready') QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, received_at DESC NULLS LAST, status) = 1))""")
+@query("""WITH j AS (SELECT id, regexp_replace(source_name, '\\.[^.]*$', '') AS stem FROM jobs WHERE id IS NOT NULL AND status = 'ready' QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, received_at DESC NULLS LAST, status) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY md5(id), id) - 1 AS k FROM j),
+free AS (SELECT stem, n, row_number() OVER (PARTITION BY stem ORDER BY n) AS k FROM (SELECT stem, unnest(range(2, c + 2 + (SELECT count(DISTINCT stem) FROM j))) AS n FROM (SELECT stem, count(*) AS c FROM j GROUP BY stem)) WHERE stem || '-' || n NOT IN (SELECT stem FROM j))
+SELECT id, stem || CASE WHEN k > 0 THEN '-' || n ELSE '' END || '.xlsx' AS file_name FROM k LEFT JOIN free USING (stem, k)""")
 def export_names(spark, sf):
     return X.export_names(J.current(table(spark, sf, "jobs").where("status = 'ready'")))
 
