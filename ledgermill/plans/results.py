@@ -29,7 +29,7 @@ res AS (SELECT run_id || '/c' || i AS cell_id, run_id, job_id, template_id, page
  FROM {_EACH('rp', "p, '$.cells[*]'", 'job_id, template_id, run_id, page_index, p_rows, p_columns')} WHERE json_type(x) = 'OBJECT' AND {_PLACE('x', 'row')} >= 0 AND {_PLACE('x', 'column')} >= 0),
 {S.resolved('res', 'cell_id').strip()},
 readings AS (SELECT * EXCLUDE (excluded), excluded OR (list_contains(p_rows, cell_row) AND cell_column >= row_label_columns) OR (list_contains(p_columns, cell_column) AND cell_row >= header_rows) AS excluded FROM resolved)"""
-_OUT = f"{_SAVED},{P.marks('rule.value_format', 'AND NOT excluded AND fixed IS NULL')}"
+_OUT = f"{_SAVED},{P.marks("'number'", 'AND NOT excluded AND fixed IS NULL')}"
 _CHECKED = "CASE WHEN f.source = 'fixed' THEN coalesce(f.fixed_value, '') ELSE '' END"
 
 
@@ -38,8 +38,8 @@ def _results(spark, sf):
 
 
 def _flagged(r: Results):
-    """Cells of a row compare with all others of one format there."""
-    return K.flag_outliers(r.cells(), F.col("rule.value_format"))
+    """All numbers of a row compare with each other: the columns' own rules have different names here, so no rule holds five."""
+    return K.flag_outliers(r.cells(), F.lit("number"))
 
 
 @query(f"WITH {_OUT} SELECT cell_id, run_id, array_to_string(flags_now, ',') AS flags, list_contains(flags_now, 'table_outlier') AS is_outlier FROM flagged")
