@@ -1,21 +1,38 @@
 """CTC kernels on numpy inside Arrow batches: forward likelihoods and constrained prefix beam search.
 
 A row holds a T x V matrix of probabilities, its alphabet (index 0 is the blank) and the
-candidates or the rule. There is no Spark primitive for these recurrences; they run in
+candidates or the rule (a struct that ``grammar.valid`` takes). There is no Spark primitive for these recurrences; they run in
 ``mapInPandas`` with one matrix at a time, so memory is bounded by the batch.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from ledgermill.functions import grammar as G
+
+#: One spelling of separators and signs, and the longest number that is decoded.
+PLAIN = str.maketrans({",": ".", "−": "-"})
+LONGEST = 16
 SPELLINGS = {".": ".,", "-": "-−"}
 
 
+def plus(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def forward(matrix: np.ndarray, alphabet: list[str], text: str) -> float:
     """Log of the summed probability of all paths that collapse to ``text`` or another spelling of it."""
     place = {c: i for i, c in enumerate(alphabet)}
@@ -40,85 +57,73 @@ def forward(matrix: np.ndarray, alphabet: list[str], text: str) -> float:
     return float(total)
 
 
-class Prefixes:
-    """Which beginnings of a number a rule leaves open."""
-
-    def __init__(self, rule: dict):
-        self.rule = rule
-        self.listed = [self.spell(v) for v in rule.get("allowed_values") or []]
-        bounds = [abs(float(v)) for v in (rule.get("minimum"), rule.get("maximum")) if v is not None]
-        largest = max(bounds, default=None)
-        self.digits = 10 if largest is None else min(12, 2 + (1 if largest < 1 else int(math.log10(largest)) + 1))
-
-    @staticmethod
-    def spell(text: str) -> str:
-        return text.replace(",", ".").replace("−", "-")
-
-    def open(self, prefix: str) -> bool:
-        p, rule = self.spell(prefix), self.rule
-        if self.listed:
-            return any(v.startswith(p) for v in self.listed)
-        body = p.removeprefix("-") if p.startswith("-") else p.removeprefix("+")
-        if len(p) > 16 or (p.startswith("-") and rule.get("minimum") is not None and rule["minimum"] >= 0):
-            return False
-        whole, dot, part = body.partition(".")
-        if not all(c.isdigit() and c.isascii() for c in whole + part) or (dot and not whole) or len(whole) > self.digits:
-            return False
-        places = rule.get("decimal_places")
-        return not dot or (rule.get("value_format") != "integer" and places != 0 and (places is None or len(part) <= places))
-
-    def complete(self, text: str) -> bool:
-        """The rule's hard limits for a finished number."""
-        import re
-
-        rule, places = self.rule, self.rule.get("decimal_places")
-        if not re.fullmatch(r"[+-]?\d+(\.\d+)?", text):
-            return False
-        part = text.partition(".")[2]
-        if (rule.get("value_format") == "integer" and part) or (places is not None and len(part) != places) or (rule.get("require_decimal") and not part):
-            return False
-        value = float(text)
-        if (rule.get("minimum") is not None and value < rule["minimum"]) or (rule.get("maximum") is not None and value > rule["maximum"]):
-            return False
-        return not self.listed or any(float(v) == value for v in self.listed if re.fullmatch(r"[+-]?\d+(\.\d+)?", v))
-
-
-def beam(matrix: np.ndarray, alphabet: list[str], rule: dict, width: int = 48, limit: int = 8) -> list[tuple[str, float, float]]:
-    """(text, log probability, confidence) of the most likely strings that the rule allows."""
-    rules = Prefixes(rule)
-    wanted = set("0123456789.,+-−") | set("".join(rule.get("allowed_values") or []))
-    columns = [i for i, c in enumerate(alphabet) if i and c in wanted]
+@lru_cache(4096)
+def compiled(value_format: str | None, minimum: float | None, maximum: float | None, places: int | None, listed: tuple[str, ...]):
+    """A rule as one pattern of the texts that may be decoded; prefixes are tested as partial matches of it.
+
+    Texts on a list are the list. Other numbers have an optional sign (no minus where the
+    minimum forbids it), at most ten whole digits, or two more than the bounds need (twelve at
+    most), and at most the rule's decimal places. All other limits hold for whole texts only
+    and are the value rule's, applied where the decoded texts come back.
+    """
+    if listed:
+        return regex.compile("|".join(regex.escape(v.translate(PLAIN)) for v in dict.fromkeys(listed)))
+    bounds = [abs(v) for v in (minimum, maximum) if v is not None]
+    digits = min(12, len(str(int(max(bounds)))) + 2) if bounds else 10
+    sign = "[+]?" if minimum is not None and minimum >= 0 else "[+-]?"
+    part = "" if value_format == "integer" or places == 0 else rf"(?:\.[0-9]{{0,{LONGEST if places is None else places}}})?"
+    return regex.compile(rf"{sign}[0-9]{{1,{digits}}}{part}")
+
+
+def beam(matrix: np.ndarray, alphabet: list[str], rule: dict, width: int = 48, limit: int | None = None) -> list[tuple[str, float, float]]:
+    """(text, log probability, confidence) of the most likely strings whose beginnings the rule leaves open.
+
+    Probabilities are clipped at 1e-30 and never scaled anew; the confidence is the mean
+    probability of a step.
+    """
+    listed = tuple(rule.get("allowed_values") or ())
+    pattern = compiled(rule.get("value_format"), rule.get("minimum"), rule.get("maximum"), rule.get("decimal_places"), listed)
+    wanted = set("0123456789.,+-−") | set("".join(listed))
+    columns = [(i, c) for i, c in enumerate(alphabet) if i and c in wanted]
     logs = np.log(np.clip(np.asarray(matrix, float), 1e-30, 1.0))
     kept = {"": (0.0, -math.inf)}  # prefix -> log probability ending in a blank, and in a glyph
     known: dict[str, bool] = {}
-    plus = lambda a, b: b if a == -math.inf else a if b == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
-    for row in logs:
-        grown: dict[str, list[float]] = {}
 
-        def put(prefix: str, which: int, value: float) -> None:
-            slot = grown.setdefault(prefix, [-math.inf, -math.inf])
-            slot[which] = plus(slot[which], value)
+    def is_open(prefix: str) -> bool:
+        if prefix not in known:
+            plain = prefix.translate(PLAIN)
+            known[prefix] = (bool(listed) or len(plain) <= LONGEST) and pattern.fullmatch(plain, partial=True) is not None
+        return known[prefix]
 
+    for row in logs.tolist():
+        blanks: dict[str, float] = {}
+        glyphs: dict[str, float] = {}
         for prefix, (blank, glyph) in kept.items():
             both = plus(blank, glyph)
-            put(prefix, 0, both + row[0])
-            for i in columns:
-                c = alphabet[i]
+            blanks[prefix] = plus(blanks.get(prefix, -math.inf), both + row[0])
+            for i, c in columns:
                 repeat = prefix.endswith(c)
                 if repeat:
-                    put(prefix, 1, glyph + row[i])
+                    glyphs[prefix] = plus(glyphs.get(prefix, -math.inf), glyph + row[i])
                 longer = prefix + c
-                if known.setdefault(longer, rules.open(longer)):
-                    put(longer, 1, (blank if repeat else both) + row[i])
-        ranked = sorted(grown.items(), key=lambda kv: -plus(*kv[1]))[:width]
-        kept = {p: tuple(v) for p, v in ranked}
+                if is_open(longer):
+                    glyphs[longer] = plus(glyphs.get(longer, -math.inf), (blank if repeat else both) + row[i])
+        grown = {p: (blanks.get(p, -math.inf), glyphs.get(p, -math.inf)) for p in blanks | glyphs}
+        kept = dict(heapq.nlargest(width, grown.items(), key=lambda kv: plus(*kv[1])))
     best: dict[str, float] = {}
     for prefix, (blank, glyph) in kept.items():
-        text = rules.spell(prefix)
-        if text and rules.complete(text):
+        text = prefix.translate(PLAIN)
+        if text and pattern.fullmatch(text):
             best[text] = max(best.get(text, -math.inf), plus(blank, glyph))
     steps = max(1, len(logs))
-    return [(t, s, max(0.0, min(1.0, math.exp(s / steps)))) for t, s in sorted(best.items(), key=lambda kv: -kv[1])[:limit]]
+    ranked = sorted(best.items(), key=lambda kv: (-kv[1], kv[0]))[:limit]
+    return [(t, s, max(0.0, min(1.0, math.exp(s / steps)))) for t, s in ranked]
+
+
+def digit_room(rule: Column) -> Column:
+    """Whole digits that the decoder leaves room for: ten without bounds, else two more than they need, twelve at most."""
+    largest = F.greatest(F.coalesce(F.abs(rule["minimum"]), F.lit(0.0)), F.coalesce(F.abs(rule["maximum"]), F.lit(0.0)))
+    return F.when(rule["minimum"].isNull() & rule["maximum"].isNull(), 10).otherwise(F.least(F.lit(12), F.length(F.floor(largest).cast("string")) + 2))
 
 
 def likelihoods(df: DataFrame) -> DataFrame:
@@ -135,13 +140,21 @@ def likelihoods(df: DataFrame) -> DataFrame:
 
 
 def decoded(df: DataFrame, width: int = 48, limit: int = 8) -> DataFrame:
-    """(key, rank, text, log_probability, confidence) from (key, probabilities, characters, rule)."""
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = [(k, i, *hit) for k, p, c, r in zip(f["key"], f["probabilities"], f["characters"], f["rule"]) for i, hit in enumerate(beam(np.array([list(x) for x in p]), list(c), r.asDict() if hasattr(r, "asDict") else dict(r), width, limit))]
-            yield pd.DataFrame(rows, columns=["key", "rank", "text", "log_probability", "confidence"])
-
-    return df.select("key", "probabilities", "characters", "rule").mapInPandas(run, "key long, rank int, text string, log_probability double, confidence double")
+    """(key, rank, text, log_probability, confidence) from (key, probabilities, characters, rule).
+
+    The kernel gives up to ``width`` open texts; those that break the value rule are dropped
+    in the JVM and the best ``limit`` of the rest are ranked from 0.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rules = batch.column(3).to_pylist()
+            found = [beam(np.array(p), c, r or {}, width) for p, c, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), rules)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            text, score, confidence = zip(*(hit for hits in found for hit in hits)) if len(at) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(text, pa.string()), pa.array(score, pa.float64()), pa.array(confidence, pa.float64()), batch.column(3).take(at)], ["key", "text", "log_probability", "confidence", "rule"])
+
+    rule = df.select("rule").schema["rule"].dataType.simpleString()
+    out = df.select("key", "probabilities", "characters", "rule").mapInArrow(run, f"key long, text string, log_probability double, confidence double, rule {rule}")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("log_probability"), "text"))
+    return out.where(G.valid(F.col("text"), F.col("rule"))).withColumn("rank", place - 1).where(F.col("rank") < limit).select("key", "rank", "text", "log_probability", "confidence")

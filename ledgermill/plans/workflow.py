@@ -327,21 +327,32 @@ def checkpoint_resume(spark, sf):
 # Answers and geometry
 
 
-@query("SELECT run_id, cell_row + 1 AS row, list(text ORDER BY cell_column, cell_id) AS vals FROM ocr_cells WHERE text IS NOT NULL GROUP BY run_id, cell_row HAVING count(*) = 3")
+_UNIT = "run_id, template_id, page_index"
+
+
+@query(f"SELECT {_UNIT}, cell_row + 1 AS row, list(text ORDER BY cell_column, cell_id) AS vals FROM ocr_cells WHERE text IS NOT NULL GROUP BY {_UNIT}, cell_row")
 def json_rows(spark, sf):
-    """Round trip: rows of three cells written as a model's JSON answer and parsed again."""
+    """Round trip: the rows of every page, those of one width as one JSON answer, written and parsed again."""
     c = table(spark, sf, "ocr_cells").where("text is not null")
-    rows = c.groupBy("run_id", "cell_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_column", "cell_id", "text"))), lambda x: x["text"]).alias("values"))
-    said = rows.groupBy("run_id").agg(F.concat(F.lit("```json\n"), F.to_json(F.collect_list(F.struct((F.col("cell_row") + 1).alias("row"), "values"))), F.lit("```")).alias("answer"))
-    return said.select("run_id", F.inline(N.table_rows(F.col("answer"), F.lit(200), F.lit(3)))).select("run_id", "row", F.col("values").alias("vals"))
+    unit = _UNIT.split(", ")
+    rows = c.groupBy(*unit, "cell_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_column", "cell_id", "text"))), lambda x: x["text"]).alias("values"))
+    said = rows.groupBy(*unit, F.size("values").alias("width")).agg(F.concat(F.lit("```json\n"), F.to_json(F.collect_list(F.struct((F.col("cell_row") + 1).alias("row"), "values"))), F.lit("```")).alias("answer"))
+    return said.select(*unit, F.inline(N.table_rows(F.col("answer"), F.lit(200), F.col("width")))).select(*unit, "row", F.col("values").alias("vals"))
 
 
-@query(f"""WITH s AS (SELECT cell_id, list(v ORDER BY v) AS vals FROM (SELECT DISTINCT cell_id, {S.plain('trim(value_text)')} AS v FROM evidence WHERE {S.full('trim(value_text)', S.SIMPLE)}) GROUP BY cell_id) SELECT cell_id, array_to_string(vals, ';') AS vals FROM s""")
+@query(f"""WITH s AS (SELECT cell_id, list(v ORDER BY v) AS vals FROM (SELECT DISTINCT cell_id, {S.plain('trim(value_text)')} AS v FROM evidence WHERE {S.full('trim(value_text)', S.SIMPLE)}) GROUP BY cell_id),
+f AS (SELECT *, unnest(['bars', 'json', 'list', 'html', 'header', 'blanks']) AS form FROM s) SELECT cell_id, form, array_to_string(vals, ';') AS vals FROM f""")
 def row_values(spark, sf):
-    """Round trip: distinct readings of a cell written as a table row and parsed again (Arrow UDF)."""
+    """The distinct readings of a cell as a model might answer with them, in six forms, each parsed again."""
     e = table(spark, sf, "evidence").where(G.is_simple(F.col("value_text"))).select("cell_id", G.plain(G.strip(F.col("value_text"))).alias("v")).distinct()
-    said = e.groupBy("cell_id").agg(F.concat(F.lit("| "), F.array_join(F.array_sort(F.collect_list("v")), " | "), F.lit(" |")).alias("answer"), F.count("*").alias("n"))
-    return said.select("cell_id", F.array_join(N.row_values_udf("answer", "n"), ";").alias("vals"))
+    per = e.groupBy("cell_id").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    joined = lambda start, between, end: F.concat(F.lit(start), F.array_join("v", between), F.lit(end))
+    forms = {
+        "bars": joined("| ", " | ", " |"), "json": F.concat(F.lit("```json\n"), F.to_json("v"), F.lit("\n```")), "list": joined("['", "', '", "']"), "html": joined("<table><tr><th>#</th></tr><tr><td>", "</td><td><b>", "</b></td></tr></table>"),
+        "header": joined("<tr><th></th><th>", "</th><th>", "</th></tr>"), "blanks": joined("\\(", "  ", "\\)"),
+    }
+    said = per.select("cell_id", F.size("v").alias("n"), F.explode(F.array(*(F.struct(F.lit(k).alias("form"), a.alias("answer")) for k, a in forms.items()))).alias("x"))
+    return said.select("cell_id", "x.form", F.array_join(N.row_values(F.col("x.answer"), F.col("n")), ";").alias("vals"))
 
 
 @query("SELECT id, sha256(to_json({'a': name, 'b': template_version})) AS digest FROM templates")
@@ -397,8 +408,22 @@ def ctc_forward(spark, sf):
     return ctc.likelihoods(_matrices(spark, sf))
 
 
-@query("""SELECT cell_id AS key, text FROM (SELECT cell_id, translate(text, ',−０１２３４５６７８９', '.-0123456789') AS text FROM ocr_cells) WHERE regexp_full_match(text, '-?[0-9]+(\\.[0-9]+)?')""")
+_ROOM = "CASE WHEN rule.minimum IS NULL AND rule.maximum IS NULL THEN 10 ELSE least(12, 2 + length(cast(floor(greatest(coalesce(abs(rule.minimum), 0), coalesce(abs(rule.maximum), 0))) AS BIGINT)::VARCHAR)) END"
+
+
+@query(f"""WITH {S.resolved()} SELECT cell_id AS key, t AS text FROM (SELECT *, translate(text, ',−０１２３４５６７８９', '.-0123456789') AS t FROM resolved) WHERE kind = 'rule' AND rule.value_format IN ('numeric', 'integer') AND regexp_full_match(t, '-?[0-9]+(\\.[0-9]+)?') AND len({S.errors('t', 'rule')}) = 0 AND length(regexp_extract(t, '^-?([0-9]+)', 1)) <= {_ROOM}""")
 def ctc_beam(spark, sf):
-    """The best string of a sharp matrix is the reading it was made from."""
-    rule = F.struct(F.lit("numeric").alias("value_format"), *(F.lit(None).cast("double").alias(c) for c in ("minimum", "maximum")), F.lit(None).cast("int").alias("decimal_places"), F.lit(None).cast("array<string>").alias("allowed_values"), F.lit(False).alias("require_decimal"))
-    return ctc.decoded(_matrices(spark, sf).withColumn("rule", rule), width=8, limit=1).select("key", "text")
+    """Numbers that obey their rule and its digit room are the best allowed strings of their matrices, found by the full beam."""
+    rules = P._resolved(spark, sf).where((F.col("kind") == "rule") & F.col("rule.value_format").isin("numeric", "integer")).select(F.col("cell_id").alias("key"), "rule")
+    m = _matrices(spark, sf).join(rules, "key").where(G.valid(F.col("text"), F.col("rule")) & (F.length(F.regexp_extract("text", r"\A-?(\d+)", 1)) <= ctc.digit_room(F.col("rule"))))
+    return ctc.decoded(m).where("rank = 0").select("key", "text")
+
+
+@query("""WITH l AS (SELECT id, list_transform(range(0, 24), lambda i: (100 + i * (12 + (hash_ % 40)))::INTEGER) AS g, hash_ % 20 + 2 AS gone FROM (SELECT id, len(name) * 7 + template_version AS hash_ FROM templates))
+SELECT id, g AS lines, true AS rebuilt FROM l""")
+def regular_lattice(spark, sf):
+    """Even rows of 12 to 51 pixels with one line lost, found again from the rest."""
+    t = table(spark, sf, "templates").select("id", (F.length("name") * 7 + F.col("template_version")).alias("h"))
+    line = lambda i: (100 + i * (12 + F.col("h") % 40)).cast("int")
+    seen = F.transform(F.filter(F.sequence(F.lit(0), F.lit(23)), lambda i: i != F.col("h") % 20 + 2), line)
+    return t.select("id", I.regular_lattice(seen).alias("x")).select("id", "x.lines", "x.rebuilt")

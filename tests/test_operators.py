@@ -1,13 +1,15 @@
 import itertools
 import math
+import os
 import struct
 import zipfile
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from ledgermill.operators import answers, checks, ctc, export, islands, jobs, ranking, templates
+from ledgermill.operators import answers, checks, ctc, export, islands, jobs, ranking, store, templates
 from ledgermill.sources import readers
 
 
@@ -37,35 +39,107 @@ def paths(matrix, alphabet, text):
     return math.log(total)
 
 
-def test_ctc_forward_and_beam_against_all_paths():
+def test_ctc_forward_against_all_paths():
     alphabet = ["", "3", "4", ".", ","]
     matrix = np.random.default_rng(7).dirichlet(np.ones(5), 5)
     for text in ("34.4", "3", "33", "4.3", ""):
         assert abs(ctc.forward(matrix, alphabet, text) - paths(matrix, alphabet, text)) < 1e-9
+
+
+RULE = "struct<value_format:string,minimum:double,maximum:double,decimal_places:int,allowed_values:array<string>,allow_empty:boolean,require_decimal:boolean>"
+
+
+def decode(spark, matrix, alphabet, rule, **sizes):
+    df = spark.createDataFrame([(1, [[float(x) for x in row] for row in matrix], alphabet, rule)], f"key long, probabilities array<array<double>>, characters array<string>, rule {RULE}")
+    return [(r.text, r.log_probability, r.confidence) for r in ctc.decoded(df, **sizes).orderBy("rank").collect()]
+
+
+def test_beam_against_all_paths(spark):
+    alphabet = ["", "3", "4", ".", "I"]
+    for seed in range(4):
+        matrix = np.random.default_rng(seed).dirichlet(np.full(5, 0.6), 5)
+        best = decode(spark, matrix, alphabet, ("numeric", 0.0, 100.0, 1, None, True, True), width=500)
+        texts = [a + "." + b for n in (1, 2, 3) for a in map("".join, itertools.product("34", repeat=n)) for b in "34"]
+        want = sorted(((t, paths(matrix, alphabet, t)) for t in texts if float(t) <= 100 and len(t) <= 5), key=lambda x: (-x[1], x[0]))
+        want = [(t, s) for t, s in want if s > math.log(1e-25)]
+        assert [t for t, *_ in best] == [t for t, _ in want][:8]
+        assert all(abs(s - w) < 1e-6 and abs(c - math.exp(w / 5)) < 1e-6 for (_, s, c), (_, w) in zip(best, want))
     sharp = np.full((4, 5), 0.01)
     for t, c in enumerate(("3", "4", ".", "4")):
         sharp[t, alphabet.index(c)] = 0.9
-    rule = {"value_format": "numeric", "minimum": 0.0, "maximum": 100.0, "decimal_places": 1}
-    best = ctc.beam(sharp, alphabet, rule)
-    assert best[0][0] == "34.4" and all("." in t for t, *_ in best) and abs(best[0][1] - paths(sharp, alphabet, "34.4")) < 0.3
+    found = [t for t, *_ in decode(spark, sharp, alphabet, ("numeric", 0.0, 100.0, 1, None, True, False))]
+    assert found[0] == "34.4" and "344" not in found
+
+
+def test_beam_with_listed_texts(spark):
+    alphabet = ["", *"n.d12,−"]
+    matrix = np.full((4, len(alphabet)), 0.05)
+    for t, c in enumerate("n.d"):
+        matrix[t, alphabet.index(c)] = 0.6
+    assert [t for t, *_ in decode(spark, matrix, alphabet, ("text", None, None, None, ["n.d", "1"], True, False))][0] == "n.d"
+    assert {t for t, *_ in decode(spark, matrix, alphabet, ("numeric", None, None, None, ["1,2", "−2"], True, False))} == {"1.2", "-2"}
+    assert decode(spark, [], alphabet, ("numeric", None, None, None, None, True, False)) == []
+
+
+def test_prefixes_of_rules():
+    opens = lambda rule, text: ctc.compiled(*rule).fullmatch(text, partial=True) is not None
+    free, bounded, whole = ("numeric", None, None, None, ()), ("numeric", 0.0, 70.5, 1, ()), ("integer", -5.0, None, None, ())
+    assert all(opens(free, t) for t in ("", "-", "+1", "1234567890", "1.", "0.123456")) and not any(opens(free, t) for t in (".", "--", "1..", "12345678901", "x"))
+    assert all(opens(bounded, t) for t in ("+", "0070", "70.5")) and not any(opens(bounded, t) for t in ("-", "70.55", "00070"))
+    assert opens(whole, "-005") and not any(opens(whole, t) for t in ("5.", "-0005"))
 
 
 def test_answers(spark):
-    assert answers.row_values("| 12 | 3,5 |", 2) == ["12", "3,5"]
-    assert answers.row_values("['1', 2]", 2) == ["1", "2"] and answers.row_values("[1, 2]", 3) is None
-    assert answers.row_values("<table><tr><td>1</td><td><b>2.5</b></td></tr></table>", 2) == ["1", "2.5"]
-    assert answers.row_values("```json\n[\"1\"]\n```", 1) == ["1"] and answers.row_values("a 1 b", 1) is None and answers.row_values(None, 1) is None
+    said = [
+        ("| 12 | 3,5 |", 2, ["12", "3,5"]), ("12,3 | 45,6", 2, ["12,3", "45,6"]), ("['1', 2]", 2, ["1", "2"]), ("[1, 2]", 3, None), ("[true, null]", 2, ["true", None]), ('[{"a": 1}, "x"]', 2, ['{"a":1}', "x"]), ("['it\\'s', None]", 2, ["it's", None]), ("['a' 'b']", 2, None),
+        ("<table><tr><td>1</td><td><b>2.5</b></td></tr></table>", 2, ["1", "2.5"]), ("<tr><th></th><th>1</th><th>2</th></tr>", 2, ["1", "2"]), ("<tr><td>1</td></tr><tr><td>2</td></tr>", 2, ["1", "2"]), ("<tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr>", 2, None),
+        ("<tr><td>1</td><td>2</td></tr><tr><td>1</td><td>2</td></tr>", 2, ["1", "2"]), ("<td>a &amp; b</td>", 1, ["a & b"]), ("<td>1<table></td>", 1, None), ("```json\n[\"1\"]\n```", 1, ["1"]), ("\\(1\\) $2$", 2, ["1", "2"]),
+        ("a 1 b", 1, None), ("12.3 45.6 extra", 2, None), ("12.3 45.6 7.8", 2, None), ("12 . 3 & 4", 2, ["12.3", "4"]), (None, 1, None), ("", 1, None), ("[", 1, None),
+    ]
+    df = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(said)], "i int, t string, n int").select("i", answers.row_values(F.col("t"), F.col("n")).alias("v"))
+    got = {r.i: r.v for r in df.collect()}
+    assert {i: (said[i][0], got[i]) for i in got} == {i: (t, v) for i, (t, _, v) in enumerate(said)}
     rows = [("[{\"row\":1,\"values\":[\"1\",\"2\"]},{\"row\":2,\"values\":[\"1\"]},{\"row\":3,\"values\":[\"3\",\"4\"]},{\"row\":3,\"values\":[\"3\",\"5\"]},{\"row\":9,\"values\":[\"0\",\"0\"]}]",), ("oops",), (None,)]
     df = spark.createDataFrame(rows, "a string")
     got = df.select(answers.table_rows(F.col("a"), F.lit(5), F.lit(2)).alias("t")).collect()
     assert [[(x.row, list(x["values"])) for x in r.t] for r in got] == [[(1, ["1", "2"])], [], []]
 
 
-def test_regular_lines():
-    lines = [20 * i for i in range(12)]
-    assert islands.regular_lines(lines) == (lines, False)
-    gap = [y for y in lines if y != 100]
-    assert islands.regular_lines(gap) == (lines, True) and islands.regular_lines(lines[:5])[1] is False
+def test_regular_lattice(spark):
+    even = [20 * i for i in range(12)]
+    jitter = [y + (i % 3) - 1 for i, y in enumerate(even)]
+    cases = [
+        (even, even, False), (even[:5], even[:5], False), ([y for y in even if y != 100], even, True), ([y for y in jitter if y not in (101, 161)], None, True), (sorted([*even, 51]), even, True),
+        ([0, 60, *(60 + 20 * i for i in range(1, 12))], None, False), ([5 * i for i in range(12)], None, False), (None, None, None), ([], [], False),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, l array<int>").select("i", islands.regular_lattice(F.col("l")).alias("x"))
+    for r in df.collect():
+        given, want, rebuilt = cases[r.i]
+        assert r.x.lines == (want if want is not None else r.x.lines) and (rebuilt is None or r.x.rebuilt == rebuilt), r.i
+        if rebuilt is False:
+            assert r.x.lines == given
+        if r.i == 3:
+            assert len(r.x.lines) == 12 and all(abs(a - b) <= 1 for a, b in zip(r.x.lines, even)) and set(given) <= set(r.x.lines)
+
+
+def test_reading_order(spark):
+    boxes = [
+        ("t", "c", 50, 0, 80, 12), ("t", "a", 0, 2, 20, 10), ("t", "b", 22, 1, 48, 30), ("t", "d", 0, 14, 30, 22), ("t", "e", 40, 15, 60, 23), ("t", "f", 5, 40, 9, 44), ("u", "x", 0, 0, 1, 1), ("u", "n", None, 0, 1, 1),
+    ]
+    got = store.reading_order(spark.createDataFrame(boxes, "k string, box_id string, left int, top int, right int, bottom int"), "k").orderBy("k", "place").collect()
+    assert [(r.k, r.box_id, r.place) for r in got] == [("t", x, i) for i, x in enumerate("abcdef")] + [("u", "x", 0)]
+
+
+def test_captions(spark):
+    df = spark.createDataFrame([("Date:  14.03", "Date"), ("date 3 Date", "Date"), ("Testing", "Test"), ("Test ing", "Test"), ("x", ""), (None, "Date"), ("No. 7", "No."), ("No.7", "No.")], "t string, l string")
+    assert [r[0] for r in df.select(store.strip_caption(F.col("t"), F.col("l"))).collect()] == ["14.03", "3 Date", "Testing", "ing", "x", "", "7", "7"]
+
+
+def test_names_are_free(spark):
+    stems = ["a"] * 4 + ["a-2", "a-2", "a-3-2", "a-10", "b-01", "b", "b"]
+    jobs_ = spark.createDataFrame([(f"j{i}", s + ".pdf") for i, s in enumerate(stems)], "id string, source_name string")
+    names = [r.file_name for r in export.export_names(jobs_).collect()]
+    assert len(set(names)) == len(stems) and {"a.xlsx", "a-3.xlsx", "a-4.xlsx", "a-5.xlsx", "a-2.xlsx", "a-2-2.xlsx", "b.xlsx", "b-2.xlsx"} <= set(names)
 
 
 def test_islands(spark):
@@ -98,6 +172,16 @@ def test_workbook(tmp_path):
     with zipfile.ZipFile(path) as z:
         assert z.testzip() is None
         sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    broken = iter([("x",)])
+
+    def rows():
+        yield from broken
+        raise ValueError("stopped")
+
+    with pytest.raises(ValueError):
+        export.write_workbook(path, {"Data": (["a"], rows())})
+    with zipfile.ZipFile(path) as z:
+        assert z.read("xl/worksheets/sheet1.xml").decode() == sheet and os.listdir(tmp_path) == ["book.xlsx"]
     assert "inlineStr" in sheet and "=1+1" in sheet and "<v>2.5</v>" in sheet and "&lt;x&gt;" in sheet
 
 
