@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,16 +89,37 @@ def p6_report(spark, sf):
     return leakage.report(leakage.leaks(_t(spark, sf, "documents"), items, short=True), items)
 
 
+#: Vocabulary file of a public byte-level tokenizer.
+TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def _mixture(spark, sf):
+    return Mixture(_t(spark, sf, "documents"), _t(spark, sf, "source_targets"), TOKENIZER)
+
+
 def p7_found(spark, sf):
-    return Mixture(_t(spark, sf, "documents"), _t(spark, sf, "source_targets")).exhausted()
+    return _mixture(spark, sf).exhausted()
 
 
 def p7_mix(spark, sf):
-    return Mixture(_t(spark, sf, "documents"), _t(spark, sf, "source_targets")).rows()
+    return _mixture(spark, sf).rows()
 
 
 def p7_report(spark, sf):
-    return Mixture(_t(spark, sf, "documents"), _t(spark, sf, "source_targets")).report()
+    return _mixture(spark, sf).report()
+
+
+def _mixture_of_characters(spark, sf):
+    return Mixture(_t(spark, sf, "documents"), _t(spark, sf, "source_targets"), None, seed=7)
+
+
+def p7_mix_characters(spark, sf):
+    """The same mix with sizes in characters, which SQL can count too."""
+    return _mixture_of_characters(spark, sf).rows()
+
+
+def p7_report_characters(spark, sf):
+    return _mixture_of_characters(spark, sf).report()
 
 
 def p8_found(spark, sf):
@@ -182,10 +205,20 @@ _P7 = """WITH n AS (SELECT lower(trim(source)) AS source, len(regexp_extract_all
 s AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(n.n), 0) AS n FROM source_targets t LEFT JOIN n ON n.source = lower(trim(t.source)) GROUP BY ALL)
 SELECT source FROM s WHERE n * max_repeats < target_share * (SELECT sum(n) FROM s)"""
 
+_P7_MIX = """WITH d AS (SELECT doc_id, min(lower(trim(source))) AS source, max(length(coalesce(text, ''))) AS n FROM documents WHERE doc_id IS NOT NULL AND lower(trim(source)) IN (SELECT lower(trim(source)) FROM source_targets) GROUP BY doc_id),
+q AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS upto, sum(n) OVER (PARTITION BY source) AS tokens FROM d),
+c AS (SELECT q.source, doc_id, n, unnest(range(1, max_repeats + 1))::INTEGER AS copy, upto, tokens, target_share FROM q JOIN source_targets t ON lower(trim(t.source)) = q.source),
+f AS (SELECT source, doc_id, copy, n, (tokens * (copy - 1) + upto)::DOUBLE / target_share AS finish FROM c),
+mix AS (SELECT source, doc_id, copy, n::BIGINT AS n_tokens, finish, running::BIGINT AS running FROM (SELECT *, sum(n) OVER (ORDER BY finish, source, copy, doc_id) AS running FROM f) WHERE running <= (SELECT sum(n) FROM d))"""
+_P7_REPORT = """, used AS (SELECT source, sum(n_tokens) AS u, count(*) AS r, max(copy) AS m FROM mix GROUP BY source), own AS (SELECT source, count(*) AS n_docs, sum(n) AS s FROM d GROUP BY source)
+SELECT lower(trim(t.source)) AS source, target_share, max_repeats, coalesce(n_docs, 0) AS n_docs, coalesce(s, 0)::BIGINT AS source_tokens, coalesce(u, 0)::BIGINT AS used_tokens, coalesce(r, 0) AS used_rows, coalesce(m, 0) AS used_copies,
+ coalesce(r, 0) = coalesce(n_docs, 0) * max_repeats AND coalesce(u, 0) < target_share * (SELECT sum(n) FROM d) AS exhausted, round(coalesce(u, 0) / (SELECT sum(n_tokens) FROM mix), 6) AS actual_share
+FROM source_targets t LEFT JOIN used ON used.source = lower(trim(t.source)) LEFT JOIN own ON own.source = lower(trim(t.source))"""
+
 _P8 = """WITH w AS (SELECT doc_id, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300)),
 d AS (SELECT DISTINCT doc_id, h FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p4_links": _P4_LINKS, "p4_contained": _P4_CONTAINED, "p4_report": _P4_REPORT, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p8_found": _P8}
+    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p4_links": _P4_LINKS, "p4_contained": _P4_CONTAINED, "p4_report": _P4_REPORT, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p7_mix_characters": _P7_MIX + " SELECT * FROM mix", "p7_report_characters": _P7_MIX + _P7_REPORT, "p8_found": _P8}

@@ -1,3 +1,5 @@
+from ledgermill.llm import mixing
+from ledgermill.llm.catalog import TOKENIZER
 from ledgermill.llm.mixing import Mixture, token_counts
 
 DOCS = "doc_id long, source string, text string, n_tokens long, finish double, part int"
@@ -5,7 +7,7 @@ TARGETS = "source string, target_share double, max_repeats int, tokens long"
 
 
 def mixture(spark, docs, targets, **kw):
-    return Mixture(spark.createDataFrame([(*d, 1, 2.0, 3) for d in docs], DOCS), spark.createDataFrame([(*t, 9) for t in targets], TARGETS), **kw)
+    return Mixture(spark.createDataFrame([(*d, 1, 2.0, 3) for d in docs], DOCS), spark.createDataFrame([(*t, 9) for t in targets], TARGETS), TOKENIZER, **kw)
 
 
 def test_shares_budget_and_exhaustion(spark):
@@ -48,4 +50,24 @@ def test_empty_and_zero(spark):
 
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "a", "abc " * 100_000), (2, "a", "x" * 200_000)], "doc_id long, source string, text string")
-    assert all(r.n_tokens > 1000 for r in token_counts(df).collect())
+    assert all(r.n_tokens > 1000 for r in token_counts(df, TOKENIZER).collect())
+
+
+def test_ranges_hold_equally_many_rows_where_times_bunch(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 500)
+    docs = spark.createDataFrame([(i, "a" if i < 200 else "b", "x" * (5 if i < 200 else 1)) for i in range(8000)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.99, 1), ("b", 0.01, 1)], "source string, target_share double, max_repeats int")
+    m = Mixture(docs, targets, None)
+    rows = m.rows()
+    assert rows.count() == 8000 and rows.agg({"running": "max"}).first()[0] == 8800
+    held = [r["count"] for r in m.queue().repartitionByRange(16, "finish", "source", "copy", "doc_id").selectExpr("spark_partition_id() as part").groupBy("part").count().collect()]
+    assert max(held) < 2000
+    ordered = rows.orderBy("finish", "source", "copy", "doc_id").collect()
+    assert [r.running for r in ordered] == sorted(r.running for r in ordered)
+
+
+def test_only_copies_before_the_cut_are_made(spark):
+    docs = spark.createDataFrame([(i, "a", "x" * 10) for i in range(100)] + [(200, "b", "y" * 500)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1000), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    m = Mixture(docs, targets, None, budget=1200)
+    assert m.queue().count() < 300 and m.queue().count() >= m.rows().count() and 1180 <= m.rows().agg({"n_tokens": "sum"}).first()[0] <= 1200
