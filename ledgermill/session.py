@@ -51,8 +51,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Ship the package and bound the Arrow batches of a session made elsewhere."""
+    """Ship the package, and turn on Arrow with bounded batches, in a session made elsewhere."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
     return spark
