@@ -219,6 +219,14 @@ _P8 = """WITH w AS (SELECT doc_id, md5(substr(text, i, 300)) AS h FROM (SELECT d
 d AS (SELECT DISTINCT doc_id, h FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id"""
 
+_P8_COVERAGE = """WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT text, min(doc_id) AS class_id, count(*) AS n_copies FROM d WHERE length(text) >= 300 GROUP BY text),
+w AS (SELECT doc_id, i, md5(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM d WHERE length(text) >= 300)),
+s AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
+m AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 300 THEN 0 ELSE 1 END AS new FROM s)),
+p AS (SELECT doc_id, count(*) AS n_spans, sum(len) AS chars, max(len) AS longest FROM (SELECT doc_id, max(i) + 300 - min(i) AS len FROM m GROUP BY doc_id, k) GROUP BY doc_id)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_copies, 1) AS n_copies, length(text)::INTEGER AS n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(chars, 0)::BIGINT AS shared_chars, coalesce(longest, 0)::BIGINT AS longest_span, round(coalesce(chars, 0) / greatest(length(text), 1), 6) AS shared_share FROM d LEFT JOIN c USING (text) LEFT JOIN p USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p4_links": _P4_LINKS, "p4_contained": _P4_CONTAINED, "p4_report": _P4_REPORT, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p7_mix_characters": _P7_MIX + " SELECT * FROM mix", "p7_report_characters": _P7_MIX + _P7_REPORT, "p8_found": _P8}
+    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p4_links": _P4_LINKS, "p4_contained": _P4_CONTAINED, "p4_report": _P4_REPORT, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p7_mix_characters": _P7_MIX + " SELECT * FROM mix", "p7_report_characters": _P7_MIX + _P7_REPORT, "p8_found": _P8, "p8_coverage": _P8_COVERAGE}

@@ -8,11 +8,15 @@ characters from the next one, so it is enough to extend by that much on each sid
 union of the extended pieces on one diagonal is the maximal repeat.
 
 Skew. Exact copies are one class from the start (anchors are keyed by a 128-bit digest of
-the text), so a text copied a million times gives its anchors once. An anchor that
-stands in more than ``crowd`` classes is not paired: each of its occurrences gives the
-hashes of all stretches of ``min_len`` characters around it, a fixed number, and classes
-meet only where such a whole stretch is the same. No link is lost by this and no pairs
-are made that do not hold.
+the text), so a text copied a million times gives its anchors once. An anchor that stands
+in more than ``crowd`` classes is not paired: its classes are told apart by longer anchors,
+winnowed anew from the stretches around it, whose window is half as wide each time (150,
+225 and 263 characters for stretches of 300), so each crowded anchor gives a handful of
+longer ones. What is still crowded then really shares nearly whole stretches; only there
+every stretch of ``min_len`` characters around the anchor is hashed, and classes meet where
+such a stretch is the same. Pairs that come from this have their letters compared, one
+stretch for each set of classes. No link is lost by this and no pairs are made that do not
+hold. (Coverage takes equal 64-bit hashes of these whole stretches as equal.)
 
 Cases. Null or short texts (under ``min_len``) share nothing; null ids are left out; rows
 repeated with one id are one document; other columns are ignored. An empty table gives
@@ -28,10 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.llm import textarrays as ta
-from ledgermill.session import stage, tune
+from ledgermill.session import release, stage, tune
 
 ANCHORS = "doc_id long, digest binary, n_chars int, anchors array<struct<h: long, pos: int>>"
-PIECES = "h long, digest binary, pos int, lead int, context string, whole long"
+PIECES = "size int, h long, digest binary, pos int, lead int, context string, doc_id long"
 MATCHES = "digest_a binary, start_a int, digest_b binary, start_b int, span int"
 #: Classes that may share an anchor and still be paired directly.
 CROWD = 32
@@ -88,36 +92,63 @@ def anchors(documents: DataFrame, min_len: int = 300, seed: int = 150) -> DataFr
     return stage(long_enough.mapInArrow(_anchor_rows(seed, min_len), ANCHORS), "span-anchors")
 
 
-def _piece_rows(seed: int, min_len: int):
-    side = min_len - seed
+def levels(seed: int, min_len: int) -> list[int]:
+    """Anchor lengths: the seed, then longer ones with half the window each, then the whole stretch."""
+    out = [seed]
+    while min_len - out[-1] > 40:
+        out.append(out[-1] + (min_len - out[-1] + 1) // 2)
+    return out if out[-1] == min_len else [*out, min_len]
+
+
+def _near(places: np.ndarray, size: int, crowded: np.ndarray, before: int, min_len: int) -> np.ndarray:
+    """Which anchors of ``size`` at sorted ``places`` lie in one stretch with a crowded anchor of ``before`` characters."""
+    first = np.searchsorted(crowded, places + size - min_len)
+    return first < np.searchsorted(crowded, places + min_len - before, side="right")
+
+
+def _piece_rows(size: int, longer: int, min_len: int):
+    """Arrow kernel: contexts of a level's anchors, and the next level's anchors (context null) around crowded ones."""
+    side = min_len - size
 
     def run(batches):
         for batch in batches:
-            digests, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = {k: [] for k in ("h", "digest", "pos", "lead", "context", "whole")}
-            for digest, text, places in zip(digests, texts, wanted):
-                if xxhash.xxh3_128_digest(ta.points(text).tobytes()) != digest:  # another text under the same id
+            ids, digests, texts, wanted = (batch.column(i).to_pylist() for i in range(4))
+            out = {k: [] for k in ("size", "h", "digest", "pos", "lead", "context", "doc_id")}
+            for doc_id, digest, text, places in zip(ids, digests, texts, wanted):
+                codes = ta.points(text)
+                if xxhash.xxh3_128_digest(codes.tobytes()) != digest:  # another text under the same id
                     continue
-                for x in places:
-                    pos = x["pos"]
-                    begin = max(0, pos - side)
-                    near = text[begin : pos + seed + side]
-                    if not x["crowded"]:
-                        rows = [(x["h"], digest, pos, pos - begin, near, None)]
-                    else:
-                        whole = ta.gram_hashes(ta.points(near), min_len).view(np.int64).tolist()
-                        rows = [(None, digest, begin + i, 0, None, w) for i, w in enumerate(whole)]
-                    for row in rows:
-                        for key, value in zip(out, row):
-                            out[key].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["h"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["pos"], pa.int32()), pa.array(out["lead"], pa.int32()), pa.array(out["context"], pa.string()), pa.array(out["whole"], pa.int64())],
-                list(out),
-            )
+                rows = [(size, x["h"], digest, x["pos"], x["pos"] - max(0, x["pos"] - side), text[max(0, x["pos"] - side) : x["pos"] + size + side], doc_id) for x in places if not x["crowded"]]
+                crowded = np.array(sorted(x["pos"] for x in places if x["crowded"]), np.int64)
+                if len(crowded):
+                    for lo, hi in _regions(crowded, size, min_len, len(codes)):
+                        h, at = _picked(codes[lo:hi], longer, min_len - longer + 1)
+                        near = _near(at + lo, longer, crowded, size, min_len)
+                        rows += [(longer, h_, digest, p, 0, None, doc_id) for h_, p in zip(h[near].tolist(), (at[near] + lo).tolist())]
+                for row in rows:
+                    for key, value in zip(out, row):
+                        out[key].append(value)
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds)], list(out))
 
     return run
 
 
+def _regions(crowded: np.ndarray, size: int, min_len: int, n: int) -> list[tuple[int, int]]:
+    """The parts of a text that stretches with a crowded anchor lie in, joined where they overlap.
+
+    A part takes another stretch on each side, so its anchors are those of the whole text.
+    """
+    out: list[list[int]] = []
+    for p in crowded.tolist():
+        lo, hi = max(0, p + size - 2 * min_len), min(n, p + 2 * min_len)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out if hi - lo >= min_len]
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common beginning."""
     n = min(len(a), len(b))
@@ -130,21 +161,21 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _extend_rows(seed: int, min_len: int):
+def _extend_rows(min_len: int):
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for group in batch.column(0).to_pylist():
+            for size, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 group.sort(key=lambda g: (g["digest"], g["pos"]))
                 for i, a in enumerate(group):
                     for b in group[i + 1 :]:
                         la, lb, ca, cb = a["lead"], b["lead"], a["context"], b["context"]
-                        if a["digest"] == b["digest"] or ca[la : la + seed] != cb[lb : lb + seed]:
+                        if a["digest"] == b["digest"] or ca[la : la + size] != cb[lb : lb + size]:
                             continue
                         left = _common(ca[:la][::-1], cb[:lb][::-1])
-                        right = _common(ca[la + seed :], cb[lb + seed :])
-                        if left + seed + right >= min_len:
-                            for column, value in zip(out, (a["digest"], a["pos"] - left, b["digest"], b["pos"] - left, left + seed + right)):
+                        right = _common(ca[la + size :], cb[lb + size :])
+                        if left + size + right >= min_len:
+                            for column, value in zip(out, (a["digest"], a["pos"] - left, b["digest"], b["pos"] - left, left + size + right)):
                                 column.append(value)
             kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["digest_a", "start_a", "digest_b", "start_b", "span"])
@@ -158,58 +189,63 @@ class SharedSpans:
     def __init__(self, documents: DataFrame, min_len: int = 300, seed: int = 150, crowd: int = CROWD):
         if not 0 < seed <= min_len:
             raise ValueError("seed must lie between 1 and min_len")
-        self.documents, self.min_len, self.seed, self.crowd = documents, min_len, seed, crowd
+        self.documents, self.min_len, self.crowd = documents, min_len, crowd
+        self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= min_len))
         self.staged = anchors(documents, min_len, seed)
         #: doc_id, digest, n_chars: which class of exact copies a document is in.
         self.members = self.staged.select("doc_id", "digest", "n_chars").distinct()
-        self.pieces = self._pieces()
+        #: Contexts of anchors to pair, one table per level, and whole stretches of crowded anchors (None without any).
+        self.pieces: list[DataFrame] = []
+        self.whole: DataFrame | None = None
+        self._build(levels(seed, min_len))
 
-    def _pieces(self) -> DataFrame:
-        seen = self.staged.select("doc_id", "digest", F.inline("anchors")).groupBy("h", "digest", "pos").agg(F.min("doc_id").alias("doc_id"))
-        seen = stage(seen, "span-seen")
+    def _build(self, sizes: list[int]) -> None:
+        rows = self.staged.select("doc_id", "digest", F.inline("anchors"))
         key = F.xxhash64("digest")  # fixed-width buffers keep this a hash aggregate
-        shared = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(key).alias("d0"), F.max(key).alias("d1")).where("d0 <> d1").select("h", "n")
-        places = (
-            seen.join(shared, "h")
-            .groupBy("doc_id", "digest")
-            .agg(F.collect_list(F.struct("h", "pos", (F.col("n") > self.crowd).alias("crowded"))).alias("places"))
-        )
-        texts = self.documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= self.min_len)
-        rows = (
-            texts.join(places, "doc_id")
-            .where(F.col("text").isNotNull())
-            .select("digest", "text", "places")
-            .mapInArrow(_piece_rows(self.seed, self.min_len), PIECES)
-        )
-        return stage(rows, "span-pieces")
+        for k, size in enumerate(sizes):
+            seen = stage(rows.groupBy("h", "digest", "pos").agg(F.min("doc_id").alias("doc_id")), "span-seen")
+            shared = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(key).alias("d0"), F.max(key).alias("d1")).where("d0 <> d1").select("h", "n")
+            if k and size == self.min_len:  # whole stretches: nothing to extend
+                self.whole = stage(seen.join(shared.select("h"), "h"), "span-whole")
+                release(seen)
+                return
+            last = size == self.min_len
+            crowded = F.lit(False) if last else F.col("n") > self.crowd
+            places = seen.join(shared, "h").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("h", "pos", crowded.alias("crowded"))).alias("places"))
+            longer = size if last else sizes[k + 1]
+            found = stage(self.texts.join(places, "doc_id").select("doc_id", "digest", "text", "places").mapInArrow(_piece_rows(size, longer, self.min_len), PIECES), "span-pieces")
+            release(seen)
+            self.pieces.append(found.where("context is not null"))
+            rows = found.where("context is null").select("h", "digest", "pos", "doc_id")
+            if not rows.limit(1).count():
+                return
 
     def matches(self) -> DataFrame:
         """Verified pieces between two classes: where they begin and how long they are."""
-        groups = self.pieces.where("h is not null").dropDuplicates(["h", "digest", "pos"]).groupBy("h").agg(F.collect_list(F.struct("digest", "pos", "lead", "context")).alias("g"))
-        return groups.select("g").mapInArrow(_extend_rows(self.seed, self.min_len), MATCHES)
-
-    def crowded(self) -> DataFrame:
-        """Whole stretches of crowded anchors that stand in more than one class: key, class, place."""
-        rows = self.pieces.where("whole is not null").select("whole", "digest", F.col("pos").alias("start")).distinct()
-        key = F.xxhash64("digest")
-        both = rows.groupBy("whole").agg(F.min(key).alias("d0"), F.max(key).alias("d1")).where("d0 <> d1").select("whole")
-        return rows.join(both, "whole")
+        out = None
+        for pieces in self.pieces:
+            groups = pieces.dropDuplicates(["h", "digest", "pos"]).groupBy("size", "h").agg(F.collect_list(F.struct("digest", "pos", "lead", "context")).alias("g"))
+            rows = groups.select("size", "g").mapInArrow(_extend_rows(self.min_len), MATCHES)
+            out = rows if out is None else out.union(rows)
+        return out
 
     def class_pairs(self) -> DataFrame:
         """Pairs of classes that share a stretch, each once.
 
-        Crowded stretches next to each other mostly have the same classes; of all
-        stretches with equal class sets (compared by size and two sums of hashes) one is
-        paired. The pairs made are pairs of the result.
+        Crowded stretches next to each other mostly have the same classes; of all stretches
+        with equal class sets (compared by size and two sums of hashes) one is paired, letter
+        by letter. The pairs made are pairs of the result.
         """
-        crowd = self.crowded()
-        sets = crowd.select("whole", "digest").distinct().groupBy("whole").agg(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("s")
-        )
-        one = sets.groupBy("n", "x", "s").agg(F.min("whole").alias("whole")).select("whole")
-        chosen = crowd.select("whole", "digest").distinct().join(one, "whole")
-        met = chosen.alias("a").join(chosen.alias("b"), F.expr("a.whole = b.whole and a.digest < b.digest")).select(F.col("a.digest").alias("digest_a"), F.col("b.digest").alias("digest_b"))
-        return self.matches().select("digest_a", "digest_b").union(met).distinct()
+        pairs = self.matches().select("digest_a", "digest_b")
+        if self.whole is not None:
+            members = self.whole.groupBy("h", "digest").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+            sets = members.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("s"))
+            one = sets.groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h")
+            chosen = members.join(one, "h").select("h", "digest", "at.doc_id", "at.pos")
+            spelled = chosen.join(self.texts, "doc_id").select("h", "digest", F.substring("text", F.col("pos") + 1, F.lit(self.min_len)).alias("letters")).groupBy("h", "letters", "digest").agg(F.lit(1).alias("one"))
+            met = spelled.alias("a").join(spelled.alias("b"), F.expr("a.h = b.h and a.letters = b.letters and a.digest < b.digest")).select(F.col("a.digest").alias("digest_a"), F.col("b.digest").alias("digest_b"))
+            pairs = pairs.union(met)
+        return pairs.distinct()
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), smaller first, of all documents that share a stretch."""
@@ -224,13 +260,10 @@ class SharedSpans:
     def covered(self) -> DataFrame:
         """Per class the maximal stretches (begin, end) that stand in another class too."""
         m = self.matches()
-        parts = (
-            m.select(F.col("digest_a").alias("digest"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("span")).alias("e"))
-            .union(m.select("digest_b", "start_b", F.col("start_b") + F.col("span")))
-            .union(self.crowded().select("digest", "start", F.col("start") + self.min_len))
-            .groupBy("digest", "s")
-            .agg(F.max("e").alias("e"))
-        )
+        parts = m.select(F.col("digest_a").alias("digest"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("span")).alias("e")).union(m.select("digest_b", "start_b", F.col("start_b") + F.col("span")))
+        if self.whole is not None:
+            parts = parts.union(self.whole.select("digest", "pos", F.col("pos") + self.min_len))
+        parts = parts.groupBy("digest", "s").agg(F.max("e").alias("e"))
         order = Window.partitionBy("digest").orderBy("s", "e")
         reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
         new = F.when(F.col("s") <= reach, 0).otherwise(1)

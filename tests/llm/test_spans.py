@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ledgermill.llm import textarrays as ta
-from ledgermill.llm.spans import SharedSpans, _picked
+from ledgermill.llm.spans import SharedSpans, _picked, levels
 
 DOCS = "doc_id long, text string, digest string, h long, n int, whole long"
 
@@ -28,14 +28,14 @@ def brute(docs, n):
     return pairs, {i: len(c) for i, c in covered.items()}
 
 
-def corpus(seed):
+def corpus(seed, scale=1):
     rng = random.Random(seed)
-    text = lambda n: "".join(rng.choice("abcdé 漢😀\n") for _ in range(n))
+    text = lambda n: "".join(rng.choice("abcdé 漢😀\n") for _ in range(n * scale))
     shared = [text(rng.randint(30, 120)) for _ in range(6)]
     stock = text(35)  # long enough for an anchor, too short to count
     docs = [(None, shared[0]), (500, None), (501, ""), (502, "short")]
     for i in range(60):
-        docs.append((i, text(rng.randint(0, 80)) + stock + text(rng.randint(0, 20)) + rng.choice(shared)[rng.randint(0, 20) :] + text(rng.randint(0, 60))))
+        docs.append((i, text(rng.randint(0, 80)) + stock + text(rng.randint(0, 20)) + rng.choice(shared)[rng.randint(0, 20 * scale) :] + text(rng.randint(0, 60))))
     docs += [(100 + i, docs[10][1]) for i in range(5)] + [docs[12]]
     return docs
 
@@ -49,6 +49,27 @@ def test_pairs_and_coverage_against_brute_force(spark, crowd):
     assert {r.doc_id: r.shared_chars for r in s.coverage().collect()} == covered
 
 
+@pytest.mark.parametrize("crowd", [2, 8])
+def test_longer_anchors_tell_crowds_apart(spark, crowd):
+    docs = corpus(crowd, 3)
+    pairs, covered = brute(docs, 120)
+    s = SharedSpans(frame(spark, docs), min_len=120, seed=60, crowd=crowd)
+    assert len(s.pieces) == 2 and len(pairs) > 20
+    assert {tuple(r) for r in s.pairs().collect()} == pairs
+    assert {r.doc_id: r.shared_chars for r in s.coverage().collect()} == covered
+
+
+def test_stock_passages_give_few_longer_anchors(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    stock = text(230)
+    docs = [(i, text(400) + stock + text(400)) for i in range(120)] + [(200 + i, text(50) + docs_part) for i, docs_part in enumerate([stock + "tail" * 30] * 2)]
+    s = SharedSpans(frame(spark, docs))
+    assert levels(150, 300) == [150, 225, 263, 300] and s.whole is None
+    assert {tuple(r) for r in s.pairs().collect()} == {(200, 201)}
+    assert sum(p.count() for p in s.pieces) < 5 * len(docs)
+
+
 def test_repeated_characters(spark):
     docs = [(1, "a" * 200), (2, "b" + "a" * 90 + "c"), (3, "a" * 39), (4, "z" * 200)]
     s = SharedSpans(frame(spark, docs), min_len=40, seed=20, crowd=5)
