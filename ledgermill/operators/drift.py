@@ -7,9 +7,13 @@ the subtrees, an added or deleted node costs 1 each, and a subtree that goes in
 and comes unchanged in another is a move that costs 1. Renames are assigned under each
 parent at least total cost. The script lists an operation per path.
 
-Renames of all scripts are compiled into one projection: names that replaced each other
-and never stand in one file are one column, named by its most frequent spelling; the
-projection is applied to every row's JSON, which is then read with one schema.
+Renames and moves of all scripts are compiled into one projection: paths that replaced
+each other and never stand in one file are one column, named by its most frequent
+spelling; members of a renamed or moved object follow it. A member can move between
+objects of one array element (or of the root), not out of an array. The projection is
+applied to every row's JSON, which is then read with one schema. Its size is that of the
+schema: above ``MAX_PATHS`` distinct paths or renames an error is raised, since data keys
+written as member names are no schema (``DATA_MEMBERS`` names those that are known).
 
 A change of the report follows the literal rule: a rename counts if under one parent
 exactly one path goes and one comes with the same type; all else that goes is removed and
@@ -35,6 +39,8 @@ from ledgermill.session import stage, tune
 
 #: Members whose own members are data and not schema, with the names that a list form of them uses.
 DATA_MEMBERS = {"candidate_scores": ("reading", "score")}
+#: Distinct paths, and distinct renames and moves, that a projection may have (some 20 MB on the driver).
+MAX_PATHS = 100_000
 OPS = "op string, old_path string, new_path string, old_type string, new_type string, cost double, same_parent boolean, sole boolean"
 
 
@@ -268,38 +274,55 @@ class Drift:
 
     def projection(self) -> dict[str, tuple[str, str]]:
         """Path -> (canonical path, type). Distinct paths reach the driver, never rows or files."""
-        known = self.paths.where("path <> ''").groupBy("path", "type").agg(F.count("*").alias("n")).collect()
+        known = bounded(self.paths.where("path <> ''").groupBy("path", "type").agg(F.count("*").alias("n")), "paths")
         uses, types = defaultdict(int), defaultdict(set)
         for r in known:
             uses[r["path"]] += r["n"]
             types[r["path"]].add(r["type"])
-        renames = self.scripts().where("op = 'rename' and sole and same_parent").groupBy("old_path", "new_path").agg(F.count("*").alias("n")).collect()
+        renames = bounded(self.scripts().where("op in ('rename', 'move')").groupBy("old_path", "new_path").agg(F.count("*").alias("n")), "renames")
         names = sorted({r["old_path"] for r in renames} | {r["new_path"] for r in renames})
         together = set()
         if names:
-            spark = self.paths.sparkSession
-            some = spark.createDataFrame([(n,) for n in names], "path string")
-            own = self.paths.select("station_id", "batch_seq", "path").distinct().join(F.broadcast(some), "path")  # a name per rename
+            some = self.paths.sparkSession.createDataFrame([(n,) for n in names], "path string")
+            own = self.paths.select("station_id", "batch_seq", "path").distinct().join(F.broadcast(some), "path")  # at most 2 * MAX_PATHS names
             both = own.alias("a").join(own.alias("b"), F.expr("a.station_id = b.station_id and a.batch_seq = b.batch_seq and a.path < b.path"))
-            together = {(r[0], r[1]) for r in both.select("a.path", "b.path").distinct().collect()}
+            together = {(r[0], r[1]) for r in bounded(both.select("a.path", "b.path").distinct(), "pairs of renamed paths")}
         group = {n: {n} for n in names}
-        for r in sorted(renames, key=lambda r: (-r["n"], r["old_path"], r["new_path"])):
-            a, b = group[r["old_path"]], group[r["new_path"]]
-            if a is not b and not any((min(x, y), max(x, y)) in together for x in a for y in b):
+        whole: dict[str, str] = {}
+
+        def canonical(path: str, seen: frozenset = frozenset()) -> str:
+            if path not in whole:
+                name = path if path in seen else max(group.get(path, {path}), key=lambda p: (uses[p], p))
+                head, dot, last = name.rpartition(".")
+                above = head.removesuffix("[]")
+                whole[path] = (canonical(above, seen | {path}) if above else "") + head[len(above) :] + dot + last
+            return whole[path]
+
+        holds = lambda path: not path or types[path] <= {"object"}
+        frame = lambda path: path[: path.rfind("[].") + 1].removesuffix("[")
+        inside = lambda path: path.rpartition(".")[0].removesuffix("[]")
+        for depth in sorted({n.count("[]") for n in names}):
+            for r in sorted((r for r in renames if r["new_path"].count("[]") == depth), key=lambda r: (-r["n"], r["old_path"], r["new_path"])):
+                old, new = r["old_path"], r["new_path"]
+                a, b = group[old], group[new]
+                if old.count("[]") != depth or a is b or any((min(x, y), max(x, y)) in together for x in a for y in b):
+                    continue
+                whole.clear()
+                moved = inside(old) != inside(new)
+                if (canonical(frame(old)) if frame(old) else "") != (canonical(frame(new)) if frame(new) else "") or (moved and not all(holds(inside(p)) or p.rpartition(".")[0].endswith("[]") for p in (old, new))):
+                    continue
+                if new.startswith(old + ".") or old.startswith(new + "."):  # into or out of itself
+                    continue
                 a |= b
                 for x in b:
                     group[x] = a
-        whole = {}
-        for path in sorted(uses):  # a parent before its members
-            name = max(group.get(path, {path}), key=lambda p: (uses[p], p))
-            head, dot, last = name.rpartition(".")
-            above = head.removesuffix("[]")
-            whole[path] = whole.get(above, above) + head[len(above) :] + dot + last
+        whole.clear()
         kinds = defaultdict(set)
-        for path, name in whole.items():
-            kinds[name] |= types[path]
+        for path in uses:
+            kinds[canonical(path)] |= types[path]
         out = {}
-        for path, name in whole.items():
+        for path in uses:
+            name = canonical(path)
             seen = set(kinds[name])
             out[path] = name, seen.pop() if len(seen) == 1 else "object" if "object" in seen and seen <= {"object", "array"} and name.rpartition(".")[2] in DATA_MEMBERS else "string"
         return out
@@ -321,8 +344,12 @@ class Drift:
         return rows.mapInArrow(_project(plan), rows.schema).select(*keep, F.from_json("result_json", schema).alias("result"), "no_result")
 
 
-def _last(path: str) -> str:
-    return path.rpartition(".")[2]
+def bounded(rows: DataFrame, what: str) -> list:
+    """Rows of a summary that must fit on the driver."""
+    got = rows.limit(MAX_PATHS + 1).collect()
+    if len(got) > MAX_PATHS:
+        raise ValueError(f"more than {MAX_PATHS} {what}: are data keys written as member names?")
+    return got
 
 
 def compiled_schema(plan: dict[str, tuple[str, str]]) -> str:
@@ -363,24 +390,34 @@ def _project(plan: dict[str, tuple[str, str]]):
     def scalar(value):
         return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
-    def shaped(value, path: str, what: str):
-        name = _last(path)
-        if name in DATA_MEMBERS:
-            key, number = DATA_MEMBERS[name]
-            if isinstance(value, list):
-                return {str(x.get(key)): x.get(number) for x in value if isinstance(x, dict)}
-            return value if isinstance(value, dict) else None
-        if what == "object" and isinstance(value, dict):
-            return renamed(value, path + ".")
-        if what == "array" and isinstance(value, list):
-            return [renamed(x, path + "[].") if isinstance(x, dict) else scalar(x) for x in value if x is not None]
-        return value if what in ("number", "boolean") else scalar(value)
-
-    def renamed(node: dict, prefix: str) -> dict:
-        out = {}
+    def fill(node: dict, prefix: str, out: dict, base: str) -> dict:
+        """Put a node's members where they belong in ``out``, the object at canonical path ``base``."""
         for name, value in node.items():
-            if value is not None and (hit := plan.get(prefix + name)):
-                out[_last(hit[0])] = shaped(value, prefix + name, hit[1])
+            hit = plan.get(prefix + name)
+            if value is None or hit is None:
+                continue
+            path, what = hit
+            *above, last = path[len(base) :].split(".")
+            into = out
+            for step in above:
+                into = into.setdefault(step, {})
+                if not isinstance(into, dict):
+                    break
+            if not isinstance(into, dict):
+                continue
+            if last in DATA_MEMBERS:
+                key, number = DATA_MEMBERS[last]
+                if isinstance(value, list):
+                    into[last] = {str(x.get(key)): x.get(number) for x in value if isinstance(x, dict)}
+                elif isinstance(value, dict):
+                    into[last] = value
+            elif what == "object" and isinstance(value, dict):
+                into.setdefault(last, {})
+                fill(value, prefix + name + ".", out, base)
+            elif what == "array" and isinstance(value, list):
+                into[last] = [fill(x, prefix + name + "[].", {}, path + "[].") if isinstance(x, dict) else scalar(x) for x in value if x is not None]
+            else:
+                into[last] = value if what in ("number", "boolean") else scalar(value)
         return out
 
     def run(batches):
@@ -388,7 +425,7 @@ def _project(plan: dict[str, tuple[str, str]]):
             at, why = batch.schema.get_field_index("result_json"), batch.schema.get_field_index("no_result")
             texts = batch.column(at).to_pylist()
             objects = [parsed_object(t) for t in texts]
-            batch = batch.set_column(at, "result_json", pa.array([None if o is None else json.dumps(renamed(o, ""), ensure_ascii=False) for o in objects], pa.string()))
+            batch = batch.set_column(at, "result_json", pa.array([None if o is None else json.dumps(fill(o, "", {}, ""), ensure_ascii=False) for o in objects], pa.string()))
             yield batch.set_column(why, "no_result", pa.array([None if o is not None else no_result(t) for o, t in zip(objects, texts)], pa.string()))
 
     return run

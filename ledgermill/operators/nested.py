@@ -6,6 +6,11 @@ payload. The rows are written once, partitioned by tag; each flat table is a sca
 own partition, where each member is one column whatever its spelling and members that
 have no column stand in the map ``rest``.
 
+Which row of a job is walked is settled before, in the JVM: Spark's JSON scanner tells
+whole objects from cut ones, and of a job's whole rows the newest goes on. Should Python
+refuse such a text all the same (letters after the object's end), the row is written under
+the tag ``broken`` and its job is settled once more with Python's own check.
+
 Cases. Null, cut or non-object JSON is no job; of several rows with one id the one of
 greatest ``updated_at`` is taken (ties: latest received, then by content); members that
 are missing or null give nulls in the tables and -1 as positions; positions written as
@@ -50,12 +55,16 @@ INNER = {
 PLACES = {"page": {"page_index": "page_index"}, "cell": {"row": "cell_row", "column": "cell_column"}, "field": {"region_id": "item"}, "cell_rule": {"id": "item"}, "candidate": {"reading": "item"}}
 
 
+def _refuse(name: str):
+    raise ValueError(name)
+
+
 def parsed_object(text: str | None):
     """The JSON object in ``text``, or None where it is no whole JSON object."""
     if not text:
         return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_constant=_refuse)  # NaN and Infinity are no JSON
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -185,24 +194,22 @@ def _emit(batches):
     for batch in batches:
         out = [[] for _ in kinds]
         for job_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for tag, key, parent, ordinal, page, row, column, item, payload in visit(job_id, parsed_object(text)):
+            job = parsed_object(text)
+            for tag, key, parent, ordinal, page, row, column, item, payload in [("broken", job_id, None, 0, -1, -1, -1, "", None)] if job is None else visit(job_id, job):
                 for held, value in zip(out, (tag, key, parent, ordinal, job_id, page, row, column, item, payload)):
                     held.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
 
 
-def latest_jobs(jobs: DataFrame) -> DataFrame:
-    """(id, result_json): the newest row of each id whose JSON is an object."""
-    tune(jobs.sparkSession)
-    rows = jobs.select(F.col("id").cast("string").alias("id"), F.col("result_json").cast("string").alias("result_json"), F.col("updated_at").cast("string").alias("updated_at"), "received_at").where("id is not null and result_json is not null")
-    whole = rows.mapInArrow(_whole, rows.schema)
-    newest = Window.partitionBy("id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("received_at").desc_nulls_last(), F.xxhash64("result_json"))
-    return whole.withColumn("rank", F.row_number().over(newest)).where("rank = 1").select("id", "result_json")
+def _rows(jobs: DataFrame) -> DataFrame:
+    """id, result_json, updated_at, received_at of the rows whose JSON Spark's scanner takes for a whole object."""
+    rows = jobs.select(F.col("id").cast("string").alias("id"), F.col("result_json").cast("string").alias("result_json"), F.col("updated_at").cast("string").alias("updated_at"), "received_at")
+    return rows.where(F.col("id").isNotNull() & F.json_object_keys("result_json").isNotNull())
 
 
-def nodes(jobs: DataFrame) -> DataFrame:
-    """Every node of every job, in one pass over the JSON."""
-    return latest_jobs(jobs).mapInArrow(_emit, NODES)
+def _newest(rows: DataFrame) -> DataFrame:
+    order = Window.partitionBy("id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("received_at").desc_nulls_last(), F.xxhash64("result_json"))
+    return rows.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("id", "result_json")
 
 
 def schema(tag: str) -> str:
@@ -218,7 +225,16 @@ class FlatTables:
     """The emitted nodes, written once by tag, and one flat table per tag."""
 
     def __init__(self, jobs: DataFrame):
-        self.nodes = stage(nodes(jobs), "nested-nodes", partition_by="node_level")
+        tune(jobs.sparkSession)
+        rows = _rows(jobs)
+        emitted = stage(_newest(rows).mapInArrow(_emit, NODES), "nested-nodes", partition_by="node_level")
+        broken = emitted.where("node_level = 'broken'").select(F.col("job_id").alias("id"))
+        #: Every node of every job.
+        self.nodes = emitted.where("node_level <> 'broken'")
+        if broken.limit(1).count():
+            again = rows.join(broken.hint("merge"), "id", "left_semi")
+            more = stage(_newest(again.mapInArrow(_whole, again.schema)).mapInArrow(_emit, NODES), "nested-again", partition_by="node_level")
+            self.nodes = self.nodes.unionByName(more)
 
     def table(self, tag: str) -> DataFrame:
         """The nodes of a tag: every member in one column whatever its spelling, other members in ``rest``."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgermill.operators.drift import Drift
-from ledgermill.operators.nested import FlatTables, nodes
+from ledgermill.operators.nested import FlatTables
 from ledgermill.plans.common import query, table
 
 
@@ -55,7 +55,7 @@ UNION ALL SELECT job_id, 'cell_rule', -1, -1, -1, coalesce(json_extract_string(f
 
 @query(_P3)
 def p3_found(spark, sf):
-    found = nodes(table(spark, sf, "jobs")).where("node_level <> 'job'")
+    found = FlatTables(table(spark, sf, "jobs")).nodes.where("node_level <> 'job'")
     return found.select("job_id", "node_level", "page_index", "cell_row", "cell_column", "item")
 
 

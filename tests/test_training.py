@@ -4,7 +4,7 @@ import json
 from datetime import datetime
 
 from ledgermill.operators.drift import Drift, assign, compiled_schema, distance, script, tree
-from ledgermill.operators.nested import FlatTables, nodes, position
+from ledgermill.operators.nested import FlatTables, position
 from ledgermill.plans.catalog import QUERIES
 
 JOBS = "id string, station_id string, batch_seq int, batch_file string, status string, updated_at string, received_at timestamp, result_json string, path string, type string, rank int"
@@ -68,6 +68,40 @@ def test_members_of_a_renamed_object(spark):
     assert got == {"j1": ({"x": 1.0, "y": "a", "z": None}, "root"), "j2": ({"x": 2.0, "y": "b", "z": None}, "root"), "j3": ({"x": 3.0, "y": None, "z": None}, None), "j4": ({"x": None, "y": None, "z": "c"}, None)}
 
 
+def test_moves_and_several_renames_are_joined(spark):
+    rows = [
+        ("j1", "s", 1, "1", {"meta": {"note": {"by": "x", "n": 1}}, "first_name": "a", "last_name": "b", "keep": {"k": 1}}),
+        ("j2", "s", 2, "1", {"meta": {"m": True}, "name_first": "c", "name_last": "d", "keep": {"k": 2, "note": {"by": "y", "n": 2}}}),
+        ("j3", "s", 3, "1", {"meta": {"m": False}, "name_first": "e", "name_last": "f", "keep": {"k": 3, "note": {"by": "z", "n": 3}}}),
+    ]
+    d = Drift(jobs(spark, rows))
+    assert {r.op for r in d.scripts().collect()} >= {"move", "rename"}
+    got = {r.id: r.result for r in d.table().collect()}
+    assert [(got[k].name_first, got[k].name_last, got[k].keep.note.by, got[k].keep.note.n, got[k].keep.k) for k in ("j1", "j2", "j3")] == [("a", "b", "x", 1.0, 1.0), ("c", "d", "y", 2.0, 2.0), ("e", "f", "z", 3.0, 3.0)]
+    assert "first_name" not in got["j1"].asDict() and "note" not in got["j1"].meta.asDict()
+
+
+def test_moves_inside_and_out_of_array_elements(spark):
+    rows = [
+        ("j1", "s", 1, "1", {"l": [{"a": {"x": {"y": 1}}, "b": {"z": 1}}, {"a": {}}], "o": {}}),
+        ("j2", "s", 2, "1", {"l": [{"a": {"w": 1}, "b": {"z": 2, "x": {"y": 2}}}], "o": {}}),
+        ("j3", "s", 3, "1", {"l": [{"a": {"w": 1}, "b": {"z": 3}}], "o": {"x": {"y": 3}}}),
+    ]
+    got = {r.id: r.result for r in Drift(jobs(spark, rows)).table().collect()}
+    joined = [got[k].l[0].b.x or got[k].l[0].a.x if "x" in got[k].l[0].a.asDict() else got[k].l[0].b.x for k in ("j1", "j2")]
+    assert [x.y for x in joined] == [1.0, 2.0] and got["j3"].o.x.y == 3.0 and ("x" in got["j1"].l[0].a.asDict()) != ("x" in got["j1"].l[0].b.asDict())
+
+
+def test_keys_as_members_are_refused(spark, monkeypatch):
+    import pytest
+
+    from ledgermill.operators import drift
+
+    monkeypatch.setattr(drift, "MAX_PATHS", 50)
+    with pytest.raises(ValueError, match="data keys"):
+        Drift(jobs(spark, [("j", "s", 1, "1", {f"k{i}": i for i in range(60)})])).projection()
+
+
 def test_compiled_schema():
     assert compiled_schema({"a": ("a", "object"), "a.b": ("a.b", "number"), "l": ("l", "array"), "l[].c": ("l[].c", "string")}) == "`a` struct<`b`:double>, `l` array<struct<`c`:string>>"
 
@@ -75,7 +109,7 @@ def test_compiled_schema():
 def test_empty_jobs(spark):
     d = Drift(jobs(spark, []))
     assert d.changes().collect() == [] and d.table().collect() == []
-    assert nodes(jobs(spark, [])).collect() == []
+    assert FlatTables(jobs(spark, [])).nodes.collect() == []
 
 
 def test_nodes(spark):
@@ -84,7 +118,7 @@ def test_nodes(spark):
         "pages": [{"page_index": "2", "cells": [{"row": 1, "column": "3", "candidate_scores": {"1.5": 0.9, "7": None}, "slow_mode_evidence": {"model_a": {"reading": "1.5"}, "model_b": None}}, {"candidate_scores": [{"reading": "8", "score": 1}]}], "fields": [{"region_id": "f"}, None]}],
     }
     rows = [("j", "s", 1, "2030-01-02", job), ("j", "s", 2, "2030-01-02", job), ("j", "s", 3, "2030-01-01", {"pages": [{}] * 9}), ("j", "s", 3, "2030-01-03", '{"cut'), (None, "s", 1, "x", job), ("k", "s", 1, None, {}), ("m", "s", 1, "1", "null")]
-    got = sorted((r.job_id, r.node_level, r.page_index, r.cell_row, r.cell_column, r.item) for r in nodes(jobs(spark, rows)).collect())
+    got = sorted((r.job_id, r.node_level, r.page_index, r.cell_row, r.cell_column, r.item) for r in FlatTables(jobs(spark, rows)).nodes.collect())
     assert got == sorted([
         ("j", "job", -1, -1, -1, ""), ("j", "column_rule", -1, -1, -1, "A"), ("j", "column_rule", -1, -1, -1, ""), ("j", "cell_rule", -1, -1, -1, "r1"), ("j", "page", 2, -1, -1, ""),
         ("j", "field", 2, -1, -1, "f"), ("j", "cell", 2, 1, 3, ""), ("j", "candidate", 2, 1, 3, "1.5"), ("j", "candidate", 2, 1, 3, "7"), ("j", "model_reading", 2, 1, 3, "model_a"),
@@ -97,6 +131,19 @@ def test_nodes(spark):
     assert [r.score for r in scores.orderBy("item").collect()] == [0.9, None, 1.0]
 
 
+def test_rows_that_only_one_parser_takes(spark):
+    good, later = json.dumps({"pages": [{"page_index": 3}]}), "2030-02-02"
+    rows = [("a", "s", 1, "2030-01-01", good), ("a", "s", 1, later, good + " x"), ("b", "s", 1, "1", '{"pages": []} {'), ("c", "s", 1, "1", '{"v": NaN}'), ("d", "s", 1, "1", good), ("d", "s", 1, later, '{"v": Infinity, "pages": []}'), ("e", "s", 1, later, "{}"), ("e", "s", 1, "1", good)]
+    got = sorted((r.job_id, r.node_level, r.page_index) for r in FlatTables(jobs(spark, rows)).nodes.collect())
+    assert got == [("a", "job", -1), ("a", "page", 3), ("d", "job", -1), ("d", "page", 3), ("e", "job", -1)]
+
+
+def test_every_cut_is_seen(spark):
+    whole = json.dumps({"a": [1, {"b": "x\\\"é"}], "c": None})
+    rows = [(f"j{i}", "s", 1, "1", whole[:i]) for i in range(len(whole) + 1)]
+    assert [r.job_id for r in FlatTables(jobs(spark, rows)).nodes.collect()] == [f"j{len(whole)}"]
+
+
 def test_flat_tables_keep_every_member(spark):
     cells = [
         {"row": 1, "column": 1, "raw_text": "1", "writer_suggestion": "w", "applied_rule": "a", "preview_crop_path": "p", "slow_mode_evidence": {"policy_name": "two", "model_a": "1", "left": 2}},
