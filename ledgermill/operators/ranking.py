@@ -63,20 +63,45 @@ def digit_support(digit_checks: DataFrame) -> DataFrame:
     return digit_checks.where("cell_id is not null and text is not null").groupBy("cell_id", G.plain(F.col("text")).alias("value")).agg(F.max("support").alias("digit_support"))
 
 
-def rank(evidence: DataFrame, ocr_cells: DataFrame, digit_checks: DataFrame) -> DataFrame:
+def visible(obs: DataFrame, digit_checks: DataFrame) -> DataFrame:
+    """(cell_id, separator, digits): what readings and checks say of a cell's ink.
+
+    The separator is as sure as the best reading of a split view; the digits seen are those of
+    the best supported check that is sure of them by 0.60. Either is null where nothing says so.
+    """
+    split = obs.where(is_split(F.col("image_key"))).groupBy("cell_id").agg(F.max("support").alias("separator"))
+    sure = digit_checks.where("cell_id is not null and predicted is not null and support is not null and confidence >= 0.60")
+    digits = sure.groupBy("cell_id").agg(F.length(F.max(F.struct("support", "predicted"))["predicted"]).alias("digits"))
+    return split.join(digits, "cell_id", "full")
+
+
+def missing_digits(value: Column, digits: Column) -> Column:
+    """How many of the visible digits a value lacks."""
+    return F.greatest(F.lit(0), F.coalesce(digits, F.lit(0)) - F.length(F.regexp_replace(value, r"(?U)\D", "")))
+
+
+def rank(evidence: DataFrame, ocr_cells: DataFrame, digit_checks: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """One row per cell with at least two models: selected reading, margin and ranking flags.
 
     Ties go to the current reading, then to the value that sorts first. A winner replaces the
     current reading only by a margin of 1.10, and if it is weak only when corroborated by two
-    models or by the digit check; a unique split reading of two models comes before that.
+    models or by the digit check; a unique split reading of two models comes before that. With
+    ``seen`` (cell_id, digits) a value counts a fifth for each visible digit that it lacks.
     """
     obs = observations(evidence)
-    return ranked(obs, eligible(ocr_cells), digit_checks, obs.where(is_split(F.col("image_key"))))
+    return ranked(obs, eligible(ocr_cells), digit_checks, obs.where(is_split(F.col("image_key"))), seen)
 
 
-def ranked(obs: DataFrame, candidates: DataFrame, digit_checks: DataFrame, split_readings: DataFrame) -> DataFrame:
+def lowered(scored: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """Scores times 0.20 for each visible digit that a value lacks."""
+    if seen is None:
+        return scored
+    return scored.join(seen.select("cell_id", "digits"), "cell_id", "left").withColumn("score", F.round(F.col("score") * F.pow(F.lit(0.2), missing_digits(F.col("value"), F.col("digits"))), 9)).drop("digits")
+
+
+def ranked(obs: DataFrame, candidates: DataFrame, digit_checks: DataFrame, split_readings: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """``rank`` on given candidates (cell_id, value, current) and split readings."""
-    scored = geometric(model_scores(obs, candidates)).where("n_models >= 2")
+    scored = lowered(geometric(model_scores(obs, candidates)).where("n_models >= 2"), seen)
     splits = split_readings.where(F.col("support") >= SURE).groupBy("cell_id", "value").agg(F.countDistinct("model").alias("votes"))
     scored = scored.join(digit_support(digit_checks), ["cell_id", "value"], "left").join(splits, ["cell_id", "value"], "left").na.fill({"digit_support": 0.0, "votes": 0})
     order = Window.partitionBy("cell_id").orderBy(F.desc("score"), F.col("value") != F.col("current"), "value")
@@ -139,42 +164,50 @@ def split_readings(obs: DataFrame) -> DataFrame:
     return tops.where(G.full(F.col("value"), r"\d+\.\d+"))
 
 
-def cascade_ranked(obs: DataFrame, rules: DataFrame, weight: Column, digit_checks: DataFrame) -> DataFrame:
-    """The cascade with split and verifier bonuses, then ranked: per cell the selected value, its score and flags.
+def cascade_ranked(obs: DataFrame, rules: DataFrame, weight: Column, digit_checks: DataFrame, seen: DataFrame) -> DataFrame:
+    """The whole cascade, then ranked: per cell the selected value, its score and flags.
 
-    Views other than split ones score as in ``cascade``. A model's split reading adds
-    1.8 * weight * support, the best supported check of a scored value 0.55 * support *
-    confidence. The best value is then the current one of ``ranked``. Cells where no
-    reading obeys the rule keep the fast vote. Steps that need pixels (separator, visible
-    digits, isolated digit) are not part of it.
+    Views other than split ones score as in ``cascade``. Where a separator is seen
+    (``seen.separator``), a reading of two to four digits also speaks for the value that the
+    rule's places make of it (0.72 * weight * support), and values with a separator gain 1.25 *
+    its confidence. A model's split reading adds 1.8 * weight * support. A value counts a fifth
+    for each visible digit (``seen.digits``) that it lacks. The best supported check of a scored
+    value adds 0.55 * support * confidence. The best value is then the current one of
+    ``ranked``. Cells where no reading obeys the rule keep the fast vote.
     """
-    obs = stage(obs.join(rules, "cell_id").withColumn("fits", G.valid(F.col("value"), F.col("rule"))).drop("rule"), "cascade-readings")
+    rows = obs.join(rules, "cell_id").withColumn("fits", G.valid(F.col("value"), F.col("rule"))).withColumn("places", F.coalesce("rule.decimal_places", F.lit(0)))
+    short = ~is_split(F.col("image_key")) & G.full(F.col("value"), r"[0-9]{2,4}")
+    obs = stage(rows.withColumn("proposal", F.when(short, G.decimal_proposal(F.col("value"), F.col("rule")))).drop("rule"), "cascade-readings")
     crop = F.substring_index("image_key", "-", 1)
     view = Window.partitionBy("cell_id", "model", "image_key")
     places = obs.where(~is_split(F.col("image_key"))).withColumn("rank", F.row_number().over(view.orderBy(F.desc("support"), "value")) - 1).withColumn("best", F.max("support").over(view)).where("rank < 6")
     beam = weight * 0.78 * (F.col("support") / F.greatest(F.lit(1e-12), F.col("best"))) / (1 + F.col("rank") * 0.20)
     own = F.when(F.col("rank") == 0, weight * F.greatest(F.lit(0.1), F.col("support"))).otherwise(F.lit(0.0))
     split = split_readings(obs).where("fits")
-    kept = ["cell_id", "value", "model", "image_key", "support"]
+    kept = ["cell_id", "value", "model", "image_key", "support", "places"]
     shares = places.withColumn("share", F.greatest(own, beam)).where("fits").select(*kept, "share")
+    proposed = places.where("rank = 0 and proposal is not null").join(seen.where("separator is not null").select("cell_id"), "cell_id", "left_semi")
+    shares = shares.unionByName(proposed.withColumn("value", F.col("proposal")).select(*kept, (weight * F.greatest(F.lit(0.1), F.col("support")) * 0.72).alias("share")))
     shares = shares.unionByName(split.select(*kept, (weight * F.col("support") * 1.8).alias("share")))
     checks = digit_checks.where("cell_id is not null and text is not null and support is not null").groupBy("cell_id", G.plain(F.col("text")).alias("value"))
     checks = checks.agg(F.max(F.struct("support", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))).alias("check"))
-    per = shares.groupBy("cell_id", "value").agg(F.sum("share").alias("s"), F.max("support").alias("confidence"), F.countDistinct("model").alias("n_models"), F.countDistinct(crop).alias("n_crops"), F.max(crop == "retry").alias("retry"))
-    per = per.join(checks, ["cell_id", "value"], "left")
-    per = per.withColumn("score", F.round(F.col("s") + F.coalesce(0.55 * F.col("check.support") * F.col("check.confidence"), F.lit(0.0)), 9))
+    per = shares.groupBy("cell_id", "value").agg(F.sum("share").alias("s"), F.max("support").alias("confidence"), F.countDistinct("model").alias("n_models"), F.countDistinct(crop).alias("n_crops"), F.max(crop == "retry").alias("retry"), F.max("places").alias("places"))
+    per = per.join(checks, ["cell_id", "value"], "left").join(seen, "cell_id", "left").withColumn("missing", missing_digits(F.col("value"), F.col("digits")))
+    marked = F.col("s") + F.when(F.col("value").contains("."), F.coalesce(1.25 * F.col("separator"), F.lit(0.0))).otherwise(F.lit(0.0))
+    per = per.withColumn("score", F.round(marked * F.pow(F.lit(0.2), F.col("missing")) + F.coalesce(0.55 * F.col("check.support") * F.col("check.confidence"), F.lit(0.0)), 9))
     cell = Window.partitionBy("cell_id")
     per = per.withColumn("current", F.first("value").over(cell.orderBy(F.desc("score"), "value")))
     verified = F.max(F.when(F.col("check").isNotNull(), F.struct("check.support", "check.confidence", "value"))).over(cell)
-    per = stage(per.withColumn("verified", verified), "cascade-scores")
+    per = stage(per.withColumn("verified", verified).withColumn("counted", F.max(F.col("missing") > 0).over(cell)), "cascade-scores")
     simple = per.where(G.full(F.col("value"), G.SIMPLE)).select("cell_id", "value", "current")
     many = simple.withColumn("n", F.count("*").over(cell)).withColumn("held", F.max(F.col("value") == F.col("current")).over(cell)).where("n >= 2 and held").drop("n", "held")
-    final = ranked(obs, many, digit_checks, split).select("cell_id", "selected", F.col("flags").alias("ranking"))
+    final = ranked(obs, many, digit_checks, split, seen).select("cell_id", "selected", F.col("flags").alias("ranking"))
     per = per.join(final, "cell_id", "left").withColumn("selected", F.coalesce("selected", "current"))
     top = per.withColumn("next", F.max(F.when(F.col("value") != F.col("selected"), F.col("score"))).over(cell)).where("value = selected")
     margin, sure = F.col("score") / F.greatest(F.lit(1e-9), F.col("next")), F.col("verified.confidence") >= 0.70
     names = (
-        (F.col("retry"), "crop_retry_contributed"), (margin < 1.8, "model_disagreement"), ((F.col("n_models") < 2) | (margin < 1.25), "unstable_consensus"),
+        (F.col("retry"), "crop_retry_contributed"), (F.col("separator").isNotNull(), "decimal_separator_detected"), (F.col("separator").isNull() & (F.col("places") > 0), "separator_not_visually_confirmed"), (F.col("counted"), "visible_digit_count_used"),
+        (margin < 1.8, "model_disagreement"), ((F.col("n_models") < 2) | (margin < 1.25), "unstable_consensus"),
         (sure & (F.col("verified.value") == F.col("value")), "digit_verifier_agrees"), (sure & (F.col("verified.value") != F.col("value")), "digit_verifier_disagreement"), (F.col("confidence") < 0.92, "low_confidence"),
     )
     always = F.lit("numeric_verification_required,high_accuracy_consensus,multistage_cascade")
@@ -194,15 +227,45 @@ def close_digits(scored: DataFrame) -> DataFrame:
     df = top.where(same & (F.col("score") / F.greatest(F.lit(1e-12), F.col("next")) < MARGIN)).withColumn("at", at).where("size(at) = 1")
     place = F.get("at", F.lit(0))
     digit = lambda c: F.substring(F.col(c), place, F.lit(1)).rlike("[0-9]")
-    return df.where(digit("value") & digit("second")).select("cell_id", F.col("value").alias("first"), "second", place.alias("position"))
+    return df.where(digit("value") & digit("second")).select("cell_id", F.col("value").alias("first"), "second", place.alias("position"), "current")
+
 
+def settled_digits(ties: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """(cell_id, selected, flags): close ties decided by three readings of the one digit that differs.
 
-def adaptive(obs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(cell_id, pass): short where at least four readings of base views agree surely and obey the rule, else full."""
-    best = obs.where(F.col("image_key").startswith("base-")).groupBy("cell_id", "model", "image_key").agg(F.max(F.struct("support", "value")).alias("top"))
-    per = best.groupBy("cell_id").agg(F.count("*").alias("n"), F.countDistinct("top.value").alias("n_values"), F.min("top.value").alias("value"), F.min("top.support").alias("least"))
-    ok = (F.col("n") >= 4) & (F.col("n_values") == 1) & (F.col("least") >= 0.95) & G.full(F.col("value"), r"\d+(?:\.\d+)?") & G.valid(F.col("value"), F.col("rule")) & (F.size(G.warnings(F.col("value"), F.col("rule"))) == 0)
-    return per.join(rules, "cell_id").select("cell_id", F.when(ok & F.col("rule.value_format").isin("numeric", "integer"), "short").otherwise("full").alias("pass"))
+    ``glyphs`` is (cell_id, text, confidence), one row per model. The readings must agree on
+    one of the two digits, with confidences of at least 0.25, 0.50 and 0.90 in rising order;
+    else the current value stays and the disagreement is flagged. Cells without three readings,
+    or whose current value is neither of the two, are left alone and give no row.
+    """
+    per = glyphs.where("cell_id is not null").groupBy("cell_id").agg(F.array_sort(F.collect_list(F.coalesce("confidence", F.lit(0.0)))).alias("sure"), F.collect_set("text").alias("texts"), F.count("*").alias("n"))
+    df = ties.where("current in (first, second)").join(per.where("n = 3"), "cell_id")
+    digit = lambda c: F.substring(F.col(c), F.col("position"), F.lit(1))
+    said = F.get("texts", F.lit(0))
+    enough = (F.get("sure", F.lit(0)) >= 0.25) & (F.get("sure", F.lit(1)) >= 0.5) & (F.get("sure", F.lit(2)) >= SURE)
+    agreed = (F.size("texts") == 1) & said.isin(digit("first"), digit("second")) & enough
+    chosen = F.when(agreed, F.when(digit("first") == said, F.col("first")).otherwise(F.col("second"))).otherwise(F.col("current"))
+    flags = F.when(agreed, F.concat(F.lit("isolated_digit_consensus"), F.when(chosen != F.col("current"), ",candidate_reranked").otherwise(""))).otherwise("isolated_digit_disagreement")
+    return df.select("cell_id", chosen.alias("selected"), flags.alias("flags"))
+
+
+def adaptive(obs: DataFrame, rules: DataFrame, seen: DataFrame | None = None, sure: float = 0.95, ratio: float = 10.0, least: int = 4) -> DataFrame:
+    """(cell_id, pass): short where at least ``least`` readings of base views agree surely and obey the rule, else full.
+
+    In none of the views another value may have more than a ``ratio``-th of the best one's support.
+    With ``seen``, a value with decimals needs a separator seen at 0.70, and the digits seen
+    must be as many as it has.
+    """
+    base = obs.where(F.col("image_key").startswith("base-"))
+    best = base.groupBy("cell_id", "model", "image_key").agg(F.max(F.struct("support", "value")).alias("top"), F.array_sort(F.collect_list("support")).alias("all"))
+    rival = F.coalesce(F.try_element_at("all", F.lit(-2)), F.lit(0.0)) * ratio > F.col("top.support")
+    per = best.groupBy("cell_id").agg(F.count("*").alias("n"), F.countDistinct("top.value").alias("n_values"), F.min("top.value").alias("value"), F.min("top.support").alias("least"), F.max(rival).alias("rivalled"))
+    ok = (F.col("n") >= least) & (F.col("n_values") == 1) & (F.col("least") >= sure) & ~F.col("rivalled") & G.full(F.col("value"), r"\d+(?:\.\d+)?") & G.valid(F.col("value"), F.col("rule")) & (F.size(G.warnings(F.col("value"), F.col("rule"))) == 0)
+    df = per.join(rules, "cell_id")
+    if seen is not None:
+        df = df.join(seen, "cell_id", "left")
+        ok = ok & (~F.col("value").contains(".") | (F.coalesce("separator", F.lit(0.0)) >= 0.7)) & (F.col("digits").isNull() | (F.col("digits") == F.length(F.regexp_replace("value", r"(?U)\D", ""))))
+    return df.select("cell_id", F.when(ok & F.col("rule.value_format").isin("numeric", "integer"), "short").otherwise("full").alias("pass"))
 
 
 def joint_support(digit_checks: DataFrame) -> DataFrame:

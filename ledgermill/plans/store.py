@@ -178,9 +178,18 @@ def template_upgrade(spark, sf):
     return old.alias("a").join(t.alias("b"), "family_id").where("a.template_version < b.template_version").select(F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"))
 
 
-@query(f"SELECT pass, count(*) AS n FROM ({E.SQL_ADAPTIVE}) GROUP BY pass")
+_GATES = ((0.95, 4), (0.8, 4), (0.6, 3), (0.3, 2))
+
+
+@query(" UNION ALL ".join("SELECT {}::DOUBLE AS sure, pass, count(*) AS n FROM ({}) GROUP BY pass".format(s, E.SQL_ADAPTIVE.replace("n >= 4", f"n >= {n}").replace("least >= 0.95", f"least >= {s}")) for s, n in _GATES))
 def adaptive_counts(spark, sf):
-    return E.adaptive_gate(spark, sf).groupBy("pass").agg(F.count("*").alias("n"))
+    """Cells of the short and the full pass, at the gate's own thresholds and at lower ones."""
+    obs, rules, seen = E._obs(spark, sf), E._rules(spark, sf), E._seen(spark, sf)
+    out = None
+    for sure, least in _GATES:
+        per = R.adaptive(obs, rules, seen, sure=sure, least=least).groupBy("pass").agg(F.count("*").alias("n")).select(F.lit(sure).alias("sure"), "pass", "n")
+        out = per if out is None else out.union(per)
+    return out
 
 
 @query(f"""SELECT run_id, template_id, page_index, count(*) AS n_cells, count(*) FILTER (outcome = 'changed') AS n_changed,

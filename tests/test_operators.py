@@ -30,6 +30,35 @@ def test_ranking_golden(spark):
     assert got[1] == ("21.4", "candidate_reranked") and got[2][0] == "27.4" and "candidate_ranking_disagreement" in got[2][1] and 3 not in got
 
 
+def test_visible_digits_lower_short_values(spark):
+    ev = spark.createDataFrame([(1, m, "base-0", v, s) for m in "abc" for v, s in (("21.4", 0.3), ("2.4", 0.8))], "cell_id long, model string, image_key string, value_text string, support double")
+    o = spark.createDataFrame([(1, "2.4", ["21.4"])], "cell_id long, text string, candidates array<string>")
+    d = spark.createDataFrame([], "cell_id long, text string, support double")
+    seen = spark.createDataFrame([(1, None, 3)], "cell_id long, separator double, digits int")
+    assert [r.selected for r in ranking.rank(ev, o, d).collect()] == ["2.4"] and [(r.selected, r.score) for r in ranking.rank(ev, o, d, seen).collect()] == [("21.4", 0.3)]
+
+
+def test_settled_digits(spark):
+    ties = spark.createDataFrame([(i, "27.4", "21.4", 2, c) for i, c in ((1, "21.4"), (2, "21.4"), (3, "27.4"), (4, "99"), (5, "27.4"), (6, "27.4"))], "cell_id long, first string, second string, position int, current string")
+    said = {1: [("7", 0.25), ("7", 0.5), ("7", 0.9)], 2: [("7", 0.24), ("7", 0.9), ("7", 0.9)], 3: [("7", 0.9)] * 3, 4: [("7", 0.9)] * 3, 5: [("7", 0.9)] * 2, 6: [("3", 0.9)] * 3}
+    glyphs = spark.createDataFrame([(i, t, c) for i, x in said.items() for t, c in x] + [(None, "7", 0.9)], "cell_id long, text string, confidence double")
+    got = {r.cell_id: (r.selected, r.flags) for r in ranking.settled_digits(ties, glyphs).collect()}
+    assert got == {1: ("27.4", "isolated_digit_consensus,candidate_reranked"), 2: ("21.4", "isolated_digit_disagreement"), 3: ("27.4", "isolated_digit_consensus"), 6: ("27.4", "isolated_digit_disagreement")}
+
+
+def test_adaptive_gate(spark):
+    views = [(m, v) for m in "ab" for v in ("base-0", "base-1")]
+    def cell(i, value, support=0.97, rival=None):
+        return [(i, m, v, value, support) for m, v in views] + ([(i, "a", "base-0", "9", rival)] if rival else [])
+    ev = cell(1, "12") + cell(2, "12", 0.94) + cell(3, "12", rival=0.096) + cell(4, "12", rival=0.098) + cell(5, "1.2") + cell(6, "1.2") + cell(7, "12") + cell(8, "300") + cell(9, "12")[:3]
+    rule = ("numeric", None, 200.0, None, None, None, 100.0, True, False, False, False)
+    kinds = "struct<value_format:string,minimum:double,maximum:double,decimal_places:int,allowed_values:array<string>,expected_minimum:double,expected_maximum:double,allow_empty:boolean,suggest_missing_decimal:boolean,prefer_expected_range:boolean,require_decimal:boolean>"
+    obs = spark.createDataFrame(ev, "cell_id long, model string, image_key string, value string, support double")
+    rules = spark.createDataFrame([(i, rule) for i in range(1, 10)], f"cell_id long, rule {kinds}")
+    seen = spark.createDataFrame([(5, 0.7, 2), (6, 0.6, 2), (7, None, 3)], "cell_id long, separator double, digits int")
+    assert {r.cell_id for r in ranking.adaptive(obs, rules, seen).where("pass = 'short'").collect()} == {1, 3, 5}
+
+
 def paths(matrix, alphabet, text):
     total = 0.0
     for path in itertools.product(range(len(alphabet)), repeat=len(matrix)):
