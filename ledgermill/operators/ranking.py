@@ -6,6 +6,8 @@ shuffle on the cell; all later steps work on a handful of values per cell.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,14 +251,15 @@ def settled_digits(ties: DataFrame, glyphs: DataFrame) -> DataFrame:
     return df.select("cell_id", chosen.alias("selected"), flags.alias("flags"))
 
 
-def adaptive(obs: DataFrame, rules: DataFrame, seen: DataFrame | None = None, sure: float = 0.95, ratio: float = 10.0, least: int = 4) -> DataFrame:
+def adaptive(obs: DataFrame, rules: DataFrame, seen: DataFrame | None = None, models: Sequence[str] = (), sure: float = 0.95, ratio: float = 10.0, least: int = 4) -> DataFrame:
     """(cell_id, pass): short where at least ``least`` readings of base views agree surely and obey the rule, else full.
 
-    In none of the views another value may have more than a ``ratio``-th of the best one's support.
+    ``models`` are those of the short pass (all, where none are named). In none of the views another value may have more than a ``ratio``-th of the best one's support.
     With ``seen``, a value with decimals needs a separator seen at 0.70, and the digits seen
     must be as many as it has.
     """
     base = obs.where(F.col("image_key").startswith("base-"))
+    base = base.where(F.col("model").isin(*models)) if models else base
     best = base.groupBy("cell_id", "model", "image_key").agg(F.max(F.struct("support", "value")).alias("top"), F.array_sort(F.collect_list("support")).alias("all"))
     rival = F.coalesce(F.try_element_at("all", F.lit(-2)), F.lit(0.0)) * ratio > F.col("top.support")
     per = best.groupBy("cell_id").agg(F.count("*").alias("n"), F.countDistinct("top.value").alias("n_values"), F.min("top.value").alias("value"), F.min("top.support").alias("least"), F.max(rival).alias("rivalled"))

@@ -11,6 +11,8 @@ from ledgermill.plans import rules as P
 from ledgermill.plans import sqltext as S
 from ledgermill.plans.common import SQL, query, table
 
+#: The two models of the short pass and of the agreement update.
+FIRST, SECOND = "alder-rec", "birch-rec"
 _OBS = f"obs AS (SELECT cell_id, model, image_key, {S.plain('value_text')} AS value, max(support) AS support FROM evidence WHERE cell_id IS NOT NULL AND support IS NOT NULL AND value_text <> '' GROUP BY ALL)"
 _ELIGIBLE = f"""cand0 AS (SELECT cell_id, {S.plain('text')} AS current, list_filter(list_transform(list_concat([text], coalesce(candidates, [])), lambda v: {S.plain('v')}), lambda v: {S.full('v', S.SIMPLE)}) AS many FROM ocr_cells),
 cand1 AS (SELECT cell_id, current, list_filter(many, lambda v, i: list_position(many, v) = i) AS vals FROM cand0),
@@ -165,7 +167,7 @@ def settled_digits(spark, sf):
 
 
 SQL_ADAPTIVE = f"""WITH {S.resolved()}, {_OBS}, {_SEEN},
-b AS (SELECT cell_id, model, image_key, max({{'support': support, 'value': value}}) AS top, list(support ORDER BY support DESC) AS sups FROM obs WHERE starts_with(image_key, 'base-') GROUP BY ALL),
+b AS (SELECT cell_id, model, image_key, max({{'support': support, 'value': value}}) AS top, list(support ORDER BY support DESC) AS sups FROM obs WHERE starts_with(image_key, 'base-') AND model IN ('{FIRST}', '{SECOND}') GROUP BY ALL),
 p AS (SELECT cell_id, count(*) AS n, count(DISTINCT top.value) AS n_values, min(top.value) AS value, min(top.support) AS least, bool_or(coalesce(sups[2], 0.0) * 10 > top.support) AS rivalled FROM b GROUP BY ALL)
 SELECT cell_id, CASE WHEN n >= 4 AND n_values = 1 AND least >= 0.95 AND NOT rivalled AND {S.full('value', r'\p{Nd}+(\.\p{Nd}+)?')} AND len({S.errors('value', 'rule')}) = 0 AND len({S.warnings('value', 'rule')}) = 0 AND rule.value_format IN ('numeric', 'integer')
  AND (NOT contains(value, '.') OR coalesce(sep, 0.0) >= 0.7) AND (digits IS NULL OR digits = length(regexp_replace(value, '\\P{{Nd}}', '', 'g'))) THEN 'short' ELSE 'full' END AS pass FROM p JOIN resolved USING (cell_id) LEFT JOIN vis USING (cell_id) WHERE kind = 'rule'"""
@@ -173,7 +175,7 @@ SELECT cell_id, CASE WHEN n >= 4 AND n_values = 1 AND least >= 0.95 AND NOT riva
 
 @query(SQL_ADAPTIVE)
 def adaptive_gate(spark, sf):
-    return R.adaptive(_obs(spark, sf), _rules(spark, sf), _seen(spark, sf))
+    return R.adaptive(_obs(spark, sf), _rules(spark, sf), _seen(spark, sf), (FIRST, SECOND))
 
 
 @query("SELECT cell_id, round(exp(avg(ln(greatest(1e-9, confidence)))), 9) AS joint_support FROM (SELECT DISTINCT check_id, cell_id, confidence FROM digit_checks) WHERE cell_id IS NOT NULL AND confidence IS NOT NULL GROUP BY cell_id")
@@ -181,7 +183,6 @@ def digit_joint_support(spark, sf):
     return R.joint_support(table(spark, sf, "digit_checks"))
 
 
-FIRST, SECOND = "alder-rec", "birch-rec"
 _ELIG = f"""eligible AS (SELECT * FROM flagged WHERE status = 'automatic' AND len(list_filter(flags_now, lambda f: f NOT IN ({P.NON_BLOCKING}) AND f <> 'adaptive_review_required')) > 0
  AND NOT excluded AND fixed IS NULL AND cell_row >= header_rows AND cell_column >= row_label_columns AND own_role <> 'ignored' AND rule.value_format IN ('numeric', 'integer'))"""
 

@@ -187,7 +187,7 @@ def adaptive_counts(spark, sf):
     obs, rules, seen = E._obs(spark, sf), E._rules(spark, sf), E._seen(spark, sf)
     out = None
     for sure, least in _GATES:
-        per = R.adaptive(obs, rules, seen, sure=sure, least=least).groupBy("pass").agg(F.count("*").alias("n")).select(F.lit(sure).alias("sure"), "pass", "n")
+        per = R.adaptive(obs, rules, seen, (E.FIRST, E.SECOND), sure, least=least).groupBy("pass").agg(F.count("*").alias("n")).select(F.lit(sure).alias("sure"), "pass", "n")
         out = per if out is None else out.union(per)
     return out
 

@@ -31,11 +31,11 @@ def test_ranking_golden(spark):
 
 
 def test_visible_digits_lower_short_values(spark):
-    ev = spark.createDataFrame([(1, m, "base-0", v, s) for m in "abc" for v, s in (("21.4", 0.3), ("2.4", 0.8))], "cell_id long, model string, image_key string, value_text string, support double")
+    ev = spark.createDataFrame([(1, m, "base-0", v, s) for m in "abc" for v, s in (("21.4", 0.6), ("2.4", 0.8))], "cell_id long, model string, image_key string, value_text string, support double")
     o = spark.createDataFrame([(1, "2.4", ["21.4"])], "cell_id long, text string, candidates array<string>")
     d = spark.createDataFrame([], "cell_id long, text string, support double")
     seen = spark.createDataFrame([(1, None, 3)], "cell_id long, separator double, digits int")
-    assert [r.selected for r in ranking.rank(ev, o, d).collect()] == ["2.4"] and [(r.selected, r.score) for r in ranking.rank(ev, o, d, seen).collect()] == [("21.4", 0.3)]
+    assert [r.selected for r in ranking.rank(ev, o, d).collect()] == ["2.4"] and [(r.selected, r.score) for r in ranking.rank(ev, o, d, seen).collect()] == [("21.4", 0.6)]
 
 
 def test_settled_digits(spark):
