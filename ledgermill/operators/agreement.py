@@ -55,3 +55,11 @@ def agree(cells: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     changed = F.col("outcome") == "changed"
     more = F.array_join(F.filter(F.array_distinct(F.concat(F.array("baseline"), F.split("alternative", r" \| "), F.array("a"))), lambda v: v != ""), " | ")
     return df.select("cell_id", "outcome", F.when(changed, F.col("a")).otherwise(F.col("baseline")).alias("final_text"), F.when(changed, more).otherwise(F.col("alternative")).alias("alternative"))
+
+
+def answer_ids(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """(cell_id, problem): answers must name exactly the requested cells, each once."""
+    counted = answers.groupBy("cell_id").agg(F.count("*").alias("n"))
+    df = requests.select("cell_id").distinct().withColumn("asked", F.lit(True)).join(counted, "cell_id", "full")
+    problem = F.when(F.col("asked").isNull(), "not_asked").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "twice")
+    return df.select("cell_id", problem.alias("problem")).where("problem is not null")

@@ -127,16 +127,17 @@ def vote(obs: DataFrame, weight: Column) -> DataFrame:
 
 
 def fast_vote(obs: DataFrame, weight: Column) -> DataFrame:
-    """The fast vote's winner per cell: non-numbers count a fifth, a split reading lifts decimals by 2."""
+    """The fast vote's winner per cell and its next four readings: non-numbers count a fifth, a split reading lifts decimals by 2."""
     w = Window.partitionBy("cell_id")
     votes = obs.withColumn("split", is_split(F.col("image_key"))).withColumn("seen", F.max(F.col("split").cast("int")).over(w))
     sums = votes.groupBy("cell_id", "value", "seen").agg(F.sum(weight * F.greatest(F.lit(0.1), F.col("support"))).alias("s"), F.max("support").alias("confidence"))
     s = F.when(G.is_complex(F.col("value")), F.col("s")).otherwise(F.col("s") * 0.2) + F.when((F.col("seen") == 1) & G.full(F.col("value"), r"[+\-−]?\d+\.\d+"), 2.0).otherwise(0.0)
     sums = sums.withColumn("score", F.round(s, 9))
     order = w.orderBy(F.desc("score"), "value")
-    top = sums.withColumn("place", F.row_number().over(order)).withColumn("n_values", F.count("*").over(w)).where("place = 1")
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "value")).over(w)), lambda x: x["value"])  # a handful of values
+    top = sums.withColumn("others", F.slice(ranked, 2, 4)).withColumn("n_values", F.count("*").over(w)).withColumn("place", F.row_number().over(order)).where("place = 1")
     flags = ((F.col("n_values") > 1, "model_disagreement"), (F.col("confidence") < 0.92, "low_confidence"), (~G.is_complex(F.col("value")), "invalid_numeric_format"), ((F.col("seen") == 1) & ~F.col("value").contains("."), "possible_missing_decimal"))
-    return top.select("cell_id", "value", "score", "confidence", F.concat_ws(",", *(F.when(c, F.lit(n)) for c, n in flags)).alias("flags"))
+    return top.select("cell_id", "value", "score", "confidence", F.array_join("others", " | ").alias("alternatives"), F.concat_ws(",", *(F.when(c, F.lit(n)) for c, n in flags)).alias("flags"))
 
 
 def cascade(obs: DataFrame, rules: DataFrame, weight: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.functions import grammar as G
+from ledgermill.operators.checks import flag_outliers
 
 
 def next_uncertain(flagged: DataFrame) -> DataFrame:
@@ -45,6 +46,29 @@ def confirm(cells: DataFrame, edits: DataFrame) -> DataFrame:
     return df.select(*[c for c in cells.columns if c not in ("status",)], text.alias("final_text"), status.alias("status"))
 
 
+def confirm_all(flagged: DataFrame) -> DataFrame:
+    """Cells with every open value that obeys its rule confirmed as it is; blocked ones stay open."""
+    todo = G.needs_review(F.col("flags_now"), F.col("status"))
+    free = ~((F.col("kind") == "rule") & ~G.valid(F.col("c.text"), F.col("rule")))
+    return flagged.withColumn("status", F.when(todo & free, "confirmed").otherwise(F.col("status")))
+
+
+def rechecked(cells: DataFrame, edits: DataFrame, comparable: Column | None = None) -> DataFrame:
+    """Flagged cells after edits (cell_id, value): texts and status as in ``confirm``, outliers of the touched pages anew.
+
+    ``cells`` are flagged (``flags_now``); pages without an edit keep their flags and are not
+    computed again.
+    """
+    edited = confirm(cells, edits)
+    page = ["run_id", "template_id", "page_index"]
+    touched = edits.select("cell_id").distinct().join(cells.select("cell_id", *page), "cell_id").select(*page).distinct()
+    columns = [c for c in cells.columns if c not in ("flags_now",)]
+    new = edited.withColumn("c", F.struct(F.col("final_text").alias("text"), *(F.col(f"c.{x}").alias(x) for x in ("confidence", "flags", "alternative"))))
+    again = flag_outliers(new.join(touched, page, "left_semi").select(*columns), comparable)
+    same = cells.join(touched, page, "left_anti")
+    return again.unionByName(same.select(*again.columns))
+
+
 def exclude(final: Column, status: Column, suggested: Column, out: Column) -> tuple[Column, Column, Column, Column]:
     """(final_text, status, suggested_text, backup) after an axis was excluded where ``out`` holds."""
     newly = out & (status != "excluded")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgermill.plans import evidence, results, rules, store, training, workflow  # noqa: F401  (registration)
+from ledgermill.plans import evidence, lifecycle, results, rules, store, training, workflow  # noqa: F401  (registration)
 from ledgermill.plans.common import QUERIES, SQL
 
 

@@ -89,7 +89,7 @@ z AS (SELECT *, round(CASE WHEN {S.full('trim(value)', S.COMPLEX)} THEN s ELSE s
 SELECT cell_id, value, score, confidence, concat_ws(',', CASE WHEN n > 1 THEN 'model_disagreement' END, CASE WHEN confidence < 0.92 THEN 'low_confidence' END, CASE WHEN NOT {S.full('trim(value)', S.COMPLEX)} THEN 'invalid_numeric_format' END, CASE WHEN seen = 1 AND NOT contains(value, '.') THEN 'possible_missing_decimal' END) AS flags
 FROM (SELECT *, count(*) OVER (PARTITION BY cell_id) AS n FROM z QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, value) = 1)""")
 def vote_fast(spark, sf):
-    return R.fast_vote(_obs(spark, sf), _weight())
+    return R.fast_vote(_obs(spark, sf), _weight()).drop("alternatives")
 
 
 def _rules(spark, sf):

@@ -281,19 +281,21 @@ def jobs_created_utc(spark, sf):
     return j.select("id", F.date_format(F.col("created_at").try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("created_utc"))
 
 
-_EVENT = {"view": "enqueue", "click": "start", "signup": "complete", "purchase": "export", "error": "fail"}
+#: Event types of the stream table as queue events; even event ids take the first, odd ones the second.
+_EVENT = {"view": ("enqueue", "retry"), "click": ("start", "cancel"), "signup": ("complete", "review"), "purchase": ("export", "restart"), "error": ("fail", "enqueue")}
 
 
 def queue_events(spark, sf):
-    """The event stream as queue events: a user is a job."""
-    kind = F.create_map(*(F.lit(x) for kv in _EVENT.items() for x in kv))
-    return table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.try_element_at(kind, F.col("event_type")).alias("event")).where("event is not null")
+    """The event stream as queue events of all kinds: a user is a job."""
+    kind = F.create_map(*(F.lit(x) for k, (a, b) in _EVENT.items() for x in (f"{k}0", a, f"{k}1", b)))
+    key = F.concat("event_type", (F.col("event_id") % 2).cast("string"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.try_element_at(kind, key).alias("event")).where("event is not null")
 
 
 _CASES = " ".join(f"WHEN event = '{e}' AND state IN ({', '.join(repr(s) for s in states)}) THEN '{to}'" for e, states, to in J.TRANSITIONS)
 
 
-@query(f"""WITH RECURSIVE ev AS (SELECT user_id AS job_id, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _EVENT.items())} END AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+@query(f"""WITH RECURSIVE ev AS (SELECT user_id AS job_id, CASE event_type || event_id % 2 {' '.join(f"WHEN '{k}{i}' THEN '{e}'" for k, two in _EVENT.items() for i, e in enumerate(two))} END AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT job_id, 0::BIGINT AS k, '' AS state, 0 AS illegal FROM (SELECT DISTINCT job_id FROM ev) UNION ALL
  SELECT job_id, k, to_state, illegal + CASE WHEN to_state = state AND NOT (event = 'export' AND state = 'exported') THEN 1 ELSE 0 END FROM (SELECT f.job_id, ev.k, event, state, illegal, CASE {_CASES} ELSE state END AS to_state FROM f JOIN ev ON ev.job_id = f.job_id AND ev.k = f.k + 1))
 SELECT job_id, state, k::INTEGER AS n_events, illegal AS n_illegal FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY k DESC) = 1""")
