@@ -297,7 +297,7 @@ _CASES = " ".join(f"WHEN event = '{e}' AND state IN ({', '.join(repr(s) for s in
 
 @query(f"""WITH RECURSIVE ev AS (SELECT user_id AS job_id, CASE event_type || event_id % 2 {' '.join(f"WHEN '{k}{i}' THEN '{e}'" for k, two in _EVENT.items() for i, e in enumerate(two))} END AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT job_id, 0::BIGINT AS k, '' AS state, 0 AS illegal FROM (SELECT DISTINCT job_id FROM ev) UNION ALL
- SELECT job_id, k, to_state, illegal + CASE WHEN to_state = state AND NOT (event = 'export' AND state = 'exported') THEN 1 ELSE 0 END FROM (SELECT f.job_id, ev.k, event, state, illegal, CASE {_CASES} ELSE state END AS to_state FROM f JOIN ev ON ev.job_id = f.job_id AND ev.k = f.k + 1))
+ SELECT job_id, k, to_state, illegal + CASE WHEN to_state = state AND NOT (event = 'export' AND state = 'exported') AND NOT (event = 'review' AND state = 'ready') THEN 1 ELSE 0 END FROM (SELECT f.job_id, ev.k, event, state, illegal, CASE {_CASES} ELSE state END AS to_state FROM f JOIN ev ON ev.job_id = f.job_id AND ev.k = f.k + 1))
 SELECT job_id, state, k::INTEGER AS n_events, illegal AS n_illegal FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY k DESC) = 1""")
 def queue_fold(spark, sf):
     return J.fold(queue_events(spark, sf))
