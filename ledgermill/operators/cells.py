@@ -133,6 +133,30 @@ def overlapping_rules(templates: DataFrame) -> DataFrame:
     return templates.select(F.col("id").alias("template_id"), rules.alias("rules")).select("template_id", F.inline(pairs))
 
 
+def template_problems(templates: DataFrame) -> DataFrame:
+    """(template_id, problems): what keeps a template from being used, all of it, in a fixed order.
+
+    Excluded axes and cells and fixed cells must lie inside the grid, each once, fixed cells
+    with a text; rules must not contradict themselves; regions must lie inside the grid and no
+    two overlapping ones of equal area may say different things.
+    """
+    rows, columns = F.greatest(F.lit(0), F.size("row_guides") - 1), F.greatest(F.lit(0), F.size("column_guides") - 1)
+    twice = lambda xs: F.size(F.array_distinct(xs)) < F.size(xs)
+    outside = lambda xs, n: F.exists(xs, lambda i: i.isNull() | (i < 0) | (i >= n)) | twice(xs)
+    place = lambda xs: F.transform(xs, lambda x: F.struct(x["cell_row"], x["cell_column"]))
+    off = lambda xs: F.exists(xs, lambda x: x["cell_row"].isNull() | x["cell_column"].isNull() | (x["cell_row"] < 0) | (x["cell_row"] >= rows) | (x["cell_column"] < 0) | (x["cell_column"] >= columns)) | twice(place(xs))
+    whole = lambda r: (r["row_start"] >= 0) & (r["row_start"] <= r["row_end"]) & (r["row_end"] < rows) & (r["column_start"] >= 0) & (r["column_start"] <= r["column_end"]) & (r["column_end"] < columns)
+    broken = lambda r: F.size(G.rule_errors(r)) > 0
+    conflicts = overlapping_rules(templates).select("template_id").distinct().withColumn("conflict", F.lit(True))
+    df = templates.withColumn("template_id", F.col("id")).join(conflicts, "template_id", "left")
+    checks = (
+        (outside(F.col("excluded_rows"), rows) | outside(F.col("excluded_columns"), columns), "exclusions_outside_grid"), (off(F.col("excluded_cells")), "excluded_cells_invalid"),
+        (off(F.col("fixed_cells")) | F.exists("fixed_cells", lambda x: x["fixed_text"].isNull()), "fixed_cells_invalid"), (F.exists("column_rules", broken), "column_rule_invalid"),
+        (F.exists("cell_rules", lambda r: ~F.coalesce(whole(r), F.lit(False))), "region_outside_grid"), (F.exists("cell_rules", lambda r: broken(r["constraints"])), "region_rule_invalid"), (F.col("conflict"), "regions_conflict"),
+    )
+    return df.select("template_id", F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in checks))).alias("problems"))
+
+
 def resize(templates: DataFrame, rows: Column, columns: Column) -> DataFrame:
     """Regions after the grid got ``rows`` x ``columns``: those at the old edge follow it, cut ones are clipped."""
     old_rows, old_columns = F.size("row_guides") - 1, F.size("column_guides") - 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermill.functions.grammar import let
+
 EPS = 1e-9
 
 
@@ -97,6 +99,81 @@ def match_score(t: Column, d: Column, title_hit: Column, any_title: Column) -> C
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
 
 
+#: Templates that pages are matched with at once: forms that people draw, sent to executors whole (some 5 KB each).
+MAX_TEMPLATES = 5_000
+
+
+def against(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Every page with every template, since each page is ranked against all; more than ``MAX_TEMPLATES`` are refused."""
+    if templates.limit(MAX_TEMPLATES + 1).count() > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    return pages.crossJoin(F.broadcast(templates))
+
+
+def reasons(t: Column, d: Column) -> Column:
+    """What speaks for or against a template, as words."""
+    rows, fitted = F.size(t["row_guides"]) == F.size(d["row_guides"]), F.coalesce(t["auto_fit_rows"], F.lit(False)) & fit_problem(t, d).isNull()
+    own = t["reference_page_aspect"]
+    aspect = F.when(own.isNull() | (own == 0), 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - F.abs(d["aspect"] - own) / F.greatest(d["aspect"], own)))
+    return F.array_compact(F.array(
+        F.format_string("grid %dx%d", F.size(t["row_guides"]) - 1, F.size(t["column_guides"]) - 1), F.when(rows, "rows match").when(fitted, "rows will be fitted").otherwise("rows differ"),
+        F.when(F.size(t["column_guides"]) == F.size(d["column_guides"]), "columns match").otherwise("columns differ"), F.when(aspect > 0.9, "page aspect matches"), F.when(rect_similarity(t["table_rect"], d["table_rect"]) > 0.85, "table lies alike"),
+    ))
+
+
+def chosen(matches: DataFrame, override: DataFrame | None = None) -> DataFrame:
+    """(page_id, template_id, ambiguous) from (page_id, template_id, name, score, fit_error): the best template of each page.
+
+    Templates that cannot be fitted come last, then the score decides, then the name. A second
+    one that fits as well and is less than 0.04 away makes the choice ambiguous. ``override``
+    (template_id, one row) is the choice for all pages.
+    """
+    order = Window.partitionBy("page_id").orderBy(F.col("fit_error"), F.desc("score"), F.lower("name"), "template_id")
+    df = matches.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead(F.when(~F.col("fit_error"), F.col("score"))).over(order)).where("place = 1")
+    out = df.select("page_id", "template_id", F.coalesce(F.abs(F.col("score") - F.col("next")) < 0.04, F.lit(False)).alias("ambiguous"))
+    if override is None:
+        return out
+    common = override.select(F.col("template_id").alias("common"))
+    return out.join(F.broadcast(common.limit(1)), F.lit(True), "left").select("page_id", F.coalesce("common", "template_id").alias("template_id"), (F.col("ambiguous") & F.col("common").isNull()).alias("ambiguous"))
+
+
+def fitted_fields(t: Column, d: Column) -> Column:
+    """Struct (problem, fields): a template's fields moved to a detected grid.
+
+    Fields above and left of the table move with its corner, fields below with its lower edge,
+    stretched as the columns are and, across the page, as the rows (or the page's aspect where
+    the template knows one). A read field inside the table, or one that leaves the page, is a problem.
+    """
+    end = lambda g: F.try_element_at(g, F.lit(-1))
+    first = lambda g: F.get(g, F.lit(0))
+    ox, nx, oy, ny = t["column_guides"], d["column_guides"], t["row_guides"], d["row_guides"]
+    sx = (end(nx) - first(nx)) / F.nullif(end(ox) - first(ox), F.lit(0.0))
+    own = F.nullif(t["reference_page_aspect"], F.lit(0.0))
+    sy = F.coalesce(sx * F.coalesce(d["aspect"], own) / own, median_of(differences(ny)) / F.nullif(median_of(differences(oy)), F.lit(0.0)))
+
+    def moved(m: Column) -> Column:
+        def one(f: Column) -> Column:
+            r = f["rect"]
+            below = r["y"] >= end(oy)
+            y = F.when(below, end(ny) + (r["y"] - end(oy)) * m["sy"]).otherwise(first(ny) + (r["y"] - first(oy)) * m["sy"])
+            x = first(nx) + (r["x"] - first(ox)) * m["sx"]
+            w, h = r["width"] * m["sx"], r["height"] * m["sy"]
+            inside = ~below & (f["source"] != "fixed") & (r["y"] + r["height"] > first(oy))
+            out = (x < -0.002) | (y < -0.002) | (x + w > 1.002) | (y + h > 1.002)
+            return F.struct(F.when(inside, "field_inside_table").when(out, "field_outside_page").alias("problem"), f["id"].alias("id"), F.greatest(F.lit(0.0), x).alias("x"), F.greatest(F.lit(0.0), y).alias("y"), w.alias("width"), h.alias("height"))
+
+        return F.transform(t["fields"], one)
+
+    bad = lambda fs: F.get(F.filter(F.transform(fs, lambda f: f["problem"]), lambda p: p.isNotNull()), F.lit(0))
+    return let(let(F.struct(sx.alias("sx"), sy.alias("sy")), moved), lambda fs: F.struct(bad(fs).alias("problem"), fs.alias("fields")))
+
+
+def new_template(pages: DataFrame) -> DataFrame:
+    """Templates made from detected pages (page_id, d): a family of their own at version 0, even where nothing is known."""
+    d = F.col("d")
+    return pages.select(F.concat("page_id", F.lit("-new")).alias("id"), F.concat("page_id", F.lit("-new")).alias("family_id"), F.lit("").alias("name"), F.lit(0).alias("template_version"), d["row_guides"].alias("row_guides"), d["column_guides"].alias("column_guides"), d["aspect"].alias("reference_page_aspect"))
+
+
 def title_tokens(text: Column) -> Column:
     """Lower-case words of a title, joined by blanks."""
     return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1)), " ")

@@ -119,12 +119,15 @@ def grid_resize(spark, sf):
     return C.resize(table(spark, sf, "templates"), F.size("row_guides") + 1, F.size("column_guides") - 2)
 
 
-@query("SELECT id AS template_id, generate_subscripts(column_rules, 1) - 1 AS seq, len(row_guides) - 1 AS n_rows, len(column_guides) - 1 AS n_columns FROM templates")
+@query("""WITH t AS (SELECT id AS template_id, CASE WHEN template_version % 3 = 0 THEN column_rules[1:2] ELSE list_concat(column_rules, column_rules) END AS rules, row_label_columns, unnest(range(0, len(column_guides) - 1)) AS seq FROM templates)
+SELECT template_id, seq::INTEGER AS seq, coalesce(rules[seq + 1].name, 'Column ' || (seq + 1)) AS name, coalesce(rules[seq + 1].role, CASE WHEN seq < row_label_columns THEN 'row_label' ELSE 'data' END) AS role, coalesce(rules[seq + 1].value_format, 'complex_numeric') AS value_format FROM t""")
 def column_rules_padded(spark, sf):
-    """Each grid column with its rule; columns without one get the default, extra rules are cut."""
-    t = C.with_template(table(spark, sf, "templates").select(F.col("id").alias("template_id")), table(spark, sf, "templates"))
-    t = t.where("t.columns > 0").withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("t.columns") - 1)))
-    return t.select("template_id", "seq", F.col("t.rows").alias("n_rows"), F.col("t.columns").alias("n_columns"))
+    """Each grid column with its rule, where templates have two rules or twice too many: defaults fill up, extra rules are cut."""
+    rules = F.when(F.col("template_version") % 3 == 0, F.slice("column_rules", 1, 2)).otherwise(F.concat("column_rules", "column_rules"))
+    templates = table(spark, sf, "templates").withColumn("column_rules", rules)
+    t = C.with_template(templates.select(F.col("id").alias("template_id")), templates)
+    t = t.where("t.columns > 0").withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("t.columns") - 1))).withColumn("own", C.column_rule(F.col("t"), F.col("seq")))
+    return t.select("template_id", "seq", "own.name", "own.role", F.col("own.rule.value_format").alias("value_format"))
 
 
 _GRID = "grid AS (SELECT t.id AS template_id, cell_row, unnest(range(0, len(t.column_guides) - 1)) AS cell_column FROM (SELECT id, unnest(range(0, len(row_guides) - 1)) AS cell_row FROM templates) g JOIN templates t ON t.id = g.id), numbered AS (SELECT row_number() OVER (ORDER BY template_id, cell_row, cell_column) AS k, template_id, cell_row::INTEGER AS cell_row, cell_column::INTEGER AS cell_column FROM grid)"

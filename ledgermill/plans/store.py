@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgermill.functions import grammar as G
 from ledgermill.operators import agreement as A
+from ledgermill.operators import cells as C
 from ledgermill.operators import islands as I
 from ledgermill.operators import jobs as J
 from ledgermill.operators import ranking as R
@@ -13,17 +14,141 @@ from ledgermill.operators import store as O
 from ledgermill.plans import evidence as E
 from ledgermill.plans import rules as P
 from ledgermill.plans import sqltext as S
-from ledgermill.plans import workflow as W
-from ledgermill.plans.common import query, table
+from ledgermill.plans.common import SQL, query, table
 
 
 def _templates(spark, sf):
     return table(spark, sf, "templates")
 
 
-@query("SELECT id, CASE WHEN trim(coalesce(name, '')) = '' THEN 'no_name' WHEN list_min(row_guides) < 0 OR list_max(row_guides) > 1 OR list_min(column_guides) < 0 OR list_max(column_guides) > 1 THEN 'invalid_guides' WHEN len(row_guides) > 201 OR len(column_guides) > 101 THEN 'grid_too_large' WHEN header_rows NOT BETWEEN 0 AND len(row_guides) - 2 OR row_label_columns NOT BETWEEN 0 AND len(column_guides) - 2 THEN 'labels_outside_grid' END AS problem FROM templates")
+_RISING = lambda g: f"(len({g}) >= 2 AND len(list_filter({g}, lambda x: isnan(x) OR x < 0 OR x > 1)) = 0 AND len(list_filter(range(1, len({g})), lambda i: {g}[i + 1] <= {g}[i])) = 0)"
+_PROBLEM = f"CASE WHEN trim(coalesce(name, '')) = '' THEN 'no_name' WHEN NOT {_RISING('row_guides')} OR NOT {_RISING('column_guides')} THEN 'invalid_guides' WHEN len(row_guides) > 201 OR len(column_guides) > 101 THEN 'grid_too_large' WHEN header_rows NOT BETWEEN 0 AND len(row_guides) - 2 OR row_label_columns NOT BETWEEN 0 AND len(column_guides) - 2 THEN 'labels_outside_grid' END"
+_ODD = "(SELECT * REPLACE (CASE WHEN template_version = 2 THEN list_reverse(row_guides) ELSE row_guides END AS row_guides, CASE WHEN template_version = 3 THEN ' ' ELSE name END AS name, CASE WHEN template_version = 4 THEN 99 ELSE header_rows END AS header_rows) FROM templates)"
+
+
+def _odd(spark, sf):
+    """Templates of versions 2 to 4 spoiled in three ways."""
+    v = F.col("template_version")
+    return _templates(spark, sf).withColumn("row_guides", F.when(v == 2, F.reverse("row_guides")).otherwise(F.col("row_guides"))).withColumn("name", F.when(v == 3, " ").otherwise(F.col("name"))).withColumn("header_rows", F.when(v == 4, 99).otherwise(F.col("header_rows")))
+
+
+@query(f"SELECT id, {_PROBLEM} AS problem FROM {_ODD}")
 def template_import(spark, sf):
-    return _templates(spark, sf).select("id", O.import_problem(F.struct("name", "row_guides", "column_guides", "header_rows", "row_label_columns")).alias("problem"))
+    return _odd(spark, sf).select("id", O.import_problem(F.struct("name", "row_guides", "column_guides", "header_rows", "row_label_columns")).alias("problem"))
+
+
+@query(f"SELECT 'imported-' || md5(id) AS id, 'imported-' || md5(id) AS family_id, name, 1 AS template_version, '' AS reference_source_path, len(fields) + len(cell_rules) AS n_regions FROM {_ODD} WHERE ({_PROBLEM}) IS NULL")
+def template_imported(spark, sf):
+    """What may be imported, under new identities."""
+    t = O.imported_templates(_odd(spark, sf))
+    fresh = F.size(F.array_distinct(F.concat(F.transform("fields", lambda f: f["id"]), F.transform("cell_rules", lambda r: r["id"]))))
+    return t.select("id", "family_id", "name", "template_version", "reference_source_path", fresh.alias("n_regions"))
+
+
+@query("SELECT id, family_id, name, template_version FROM templates UNION ALL SELECT id || '-copy', id || '-copy', name || ' (copy)', 1 FROM templates WHERE template_version = 1")
+def template_duplicate(spark, sf):
+    t = _templates(spark, sf)
+    return O.duplicated(t, t.where("template_version = 1")).select("id", "family_id", "name", "template_version")
+
+
+_OUTSIDE = lambda xs, n: f"(len(list_filter({xs}, lambda i: i IS NULL OR i < 0 OR i >= {n})) > 0 OR len(list_distinct({xs})) < len({xs}))"
+_OFF = lambda xs: f"(len(list_filter({xs}, lambda x: x.cell_row IS NULL OR x.cell_column IS NULL OR x.cell_row < 0 OR x.cell_row >= nr OR x.cell_column < 0 OR x.cell_column >= nc)) > 0 OR len(list_distinct(list_transform({xs}, lambda x: (x.cell_row, x.cell_column)))) < len({xs}))"
+
+
+@query(f"""WITH t AS (SELECT *, len(row_guides) - 1 AS nr, len(column_guides) - 1 AS nc FROM (SELECT * REPLACE (CASE WHEN template_version = 2 THEN list_append(excluded_rows, 300) ELSE excluded_rows END AS excluded_rows, CASE WHEN template_version = 3 THEN list_concat(excluded_cells, excluded_cells) ELSE excluded_cells END AS excluded_cells) FROM templates)),
+{P._RULES}, bad AS (SELECT template_id, bool_or(scope = 'column') AS of_columns, bool_or(scope = 'cell') AS of_regions FROM all_rules WHERE len({P._VALID}) > 0 GROUP BY template_id), con AS (SELECT DISTINCT template_id FROM ({SQL['rule_conflicts']}))
+SELECT id AS template_id, concat_ws(',', CASE WHEN {_OUTSIDE('excluded_rows', 'nr')} OR {_OUTSIDE('excluded_columns', 'nc')} THEN 'exclusions_outside_grid' END, CASE WHEN {_OFF('excluded_cells')} THEN 'excluded_cells_invalid' END, CASE WHEN {_OFF('fixed_cells')} OR len(list_filter(fixed_cells, lambda x: x.fixed_text IS NULL)) > 0 THEN 'fixed_cells_invalid' END,
+ CASE WHEN bad.of_columns THEN 'column_rule_invalid' END, CASE WHEN len(list_filter(cell_rules, lambda r: NOT coalesce(r.row_start >= 0 AND r.row_start <= r.row_end AND r.row_end < nr AND r.column_start >= 0 AND r.column_start <= r.column_end AND r.column_end < nc, false))) > 0 THEN 'region_outside_grid' END, CASE WHEN bad.of_regions THEN 'region_rule_invalid' END, CASE WHEN con.template_id IS NOT NULL THEN 'regions_conflict' END) AS problems
+FROM t LEFT JOIN bad ON bad.template_id = t.id LEFT JOIN con ON con.template_id = t.id""")
+def template_validate(spark, sf):
+    """Everything wrong with a template; versions 2 and 3 get a row outside the grid and cells excluded twice."""
+    v = F.col("template_version")
+    t = _templates(spark, sf).withColumn("excluded_rows", F.when(v == 2, F.concat("excluded_rows", F.array(F.lit(300)))).otherwise(F.col("excluded_rows"))).withColumn("excluded_cells", F.when(v == 3, F.concat("excluded_cells", "excluded_cells")).otherwise(F.col("excluded_cells")))
+    return C.template_problems(t).select("template_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query("SELECT id, i - 1 AS seq, CASE WHEN r.role = 'ignored' THEN CASE WHEN i - 1 < row_label_columns THEN 'row_label' ELSE 'data' END ELSE r.role END AS role, 0 AS n_excluded FROM (SELECT id, row_label_columns, unnest(column_rules) AS r, generate_subscripts(column_rules, 1) AS i FROM templates)")
+def clear_exclusions(spark, sf):
+    """All exclusions lifted: no rows, columns or cells are out, and ignored columns are used again."""
+    t = O.cleared(_templates(spark, sf))
+    n = F.size("excluded_rows") + F.size("excluded_columns") + F.size("excluded_cells")
+    return t.select("id", n.alias("n_excluded"), F.posexplode("column_rules").alias("seq", "r")).select("id", "seq", F.col("r.role").alias("role"), "n_excluded")
+
+
+@query("SELECT id, array_to_string(list_transform(range(1, len(column_rules) + 1), lambda i: CASE WHEN column_rules[i].role = 'ignored' AND i IN (2, 3) THEN CASE WHEN i - 1 < row_label_columns THEN 'row_label' ELSE 'data' END ELSE column_rules[i].role END), ',') AS roles FROM templates")
+def columns_used_again(spark, sf):
+    """Columns 1 and 2 restored."""
+    rules = O.used_again(F.col("column_rules"), F.col("row_label_columns"), F.array(F.lit(1), F.lit(2)))
+    return _templates(spark, sf).select("id", F.array_join(F.transform(rules, lambda r: r["role"]), ",").alias("roles"))
+
+
+@query("SELECT * FROM (VALUES ('0–100, one decimal', 'numeric; decimal places: 1; from 0.0 to 100.0', 0), ('0–1000, two decimals', 'numeric; decimal places: 2; from 0.0 to 1000.0', 0), ('whole number from 0', 'integer; from 0.0 to +∞', 0), ('text', 'text', 0)) v(name, summary, n_problems)")
+def rule_presets(spark, sf):
+    p = O.presets(spark)
+    return p.select("name", G.rule_summary(F.col("rule")).alias("summary"), F.size(G.rule_errors(F.col("rule"))).alias("n_problems"))
+
+
+@query("SELECT id, axis, CASE axis WHEN 'row' THEN 2 ELSE header_rows END AS row_start, CASE axis WHEN 'row' THEN 2 ELSE len(row_guides) - 2 END AS row_end, CASE axis WHEN 'row' THEN row_label_columns ELSE 2 END AS column_start, CASE axis WHEN 'row' THEN len(column_guides) - 2 ELSE 2 END AS column_end FROM (SELECT *, unnest(['row', 'column']) AS axis FROM templates)")
+def axis_rules(spark, sf):
+    """The rectangle of a rule on row 2 and on column 2."""
+    t = _templates(spark, sf).withColumn("axis", F.explode(F.array(F.lit("row"), F.lit("column"))))
+    r = O.axis_rectangle(F.col("axis"), F.lit(2), F.struct("row_guides", "column_guides", "header_rows", "row_label_columns"))
+    return t.select("id", "axis", r.alias("r")).select("id", "axis", "r.*")
+
+
+@query(f"WITH {P._GRID}, {S.resolved('numbered', 'k')} SELECT template_id, cell_row, cell_column FROM resolved WHERE excluded INTERSECT SELECT template_id, cell_row, cell_column FROM resolved WHERE cell_column IN (1, 2)")
+def selection_excluded(spark, sf):
+    """The excluded cells of a selection (columns 1 and 2)."""
+    g, cell = P._grid(spark, sf), ["template_id", "cell_row", "cell_column"]
+    return g.where("excluded").select(*cell).intersect(g.where("cell_column in (1, 2)").select(*cell))
+
+
+@query("""WITH b AS (SELECT id || '/' || f.id AS key, upper(regexp_replace(CASE WHEN f.name = 'Side' THEN f.fixed_value || ' hind' WHEN f.name = 'Session' THEN 'Week' WHEN f.name = 'Operator' THEN 'plantar:' ELSE f.name END, '[^\\p{L}]', '', 'g')) AS word, (f.rect.x * 1240)::INTEGER AS x1, (f.rect.y * 1754)::INTEGER AS y1, ((f.rect.x + f.rect.width) * 1240)::INTEGER AS x2, ((f.rect.y + f.rect.height) * 1754)::INTEGER AS y2, len(column_guides) - 1 AS columns, row_label_columns FROM (SELECT id, column_guides, row_label_columns, unnest(fields) AS f FROM templates)),
+c AS (SELECT key, word, greatest(0, x1 - 8) AS x1, greatest(0, y1 - 8) AS y1, least(1240, x2 + 8) AS x2, least(1754, y2 + 8) AS y2, columns, row_label_columns, word IN ('DATE', 'WEEK') AS beside, word IN ('LEFTHIND', 'RIGHTHIND') AS side, word = 'LEFTHIND' AS l, columns // 2 AS half FROM b WHERE word IN ('PLANTAR', 'DATE', 'WEEK', 'LEFTHIND', 'RIGHTHIND')),
+d AS (SELECT *, CASE WHEN l THEN row_label_columns ELSE greatest(row_label_columns, half) END AS s FROM c)
+SELECT key, CASE WHEN side THEN 'Side' WHEN word = 'DATE' THEN 'Date' WHEN word = 'WEEK' THEN 'Week' ELSE 'Test' END AS name, CASE WHEN beside THEN x2 + 5 ELSE x1 END AS x, CASE WHEN beside THEN y1 - 3 ELSE y1 END AS y, CASE WHEN beside THEN round_even(least(1240 * CASE word WHEN 'DATE' THEN 0.30 ELSE 0.18 END, 1240 - x2 - 5), 0)::INTEGER ELSE x2 - x1 END AS width, CASE WHEN beside THEN greatest(32, y2 - y1 + 6) ELSE y2 - y1 END AS height,
+ CASE word WHEN 'DATE' THEN 'date' WHEN 'WEEK' THEN 'integer' ELSE 'text' END AS kind, word = 'PLANTAR' AS required, CASE WHEN l THEN 'Left Hind' WHEN side THEN 'Right Hind' ELSE '' END AS fixed_value, CASE WHEN side THEN s END AS column_start, CASE WHEN side THEN CASE WHEN l THEN greatest(s, half - 1) ELSE columns - 1 END END AS column_end FROM d""")
+def suggested_fields(spark, sf):
+    """Fields of the templates as printed words, and the standard fields that they suggest."""
+    f = _templates(spark, sf).select("id", (F.size("column_guides") - 1).alias("columns"), "row_label_columns", F.explode("fields").alias("f"))
+    name = F.col("f.name")
+    text = F.when(name == "Side", F.concat("f.fixed_value", F.lit(" hind"))).when(name == "Session", "Week").when(name == "Operator", "plantar:").otherwise(name)
+    px = lambda c, n: F.rint(c * n).cast("int")
+    r = F.col("f.rect")
+    boxes = f.select(F.concat("id", F.lit("/"), "f.id").alias("key"), text.alias("text"), px(r["x"], 1240).alias("x1"), px(r["y"], 1754).alias("y1"), px(r["x"] + r["width"], 1240).alias("x2"), px(r["y"] + r["height"], 1754).alias("y2"), "columns", "row_label_columns")
+    return O.suggested_fields(boxes, 1240, 1754)
+
+
+@query("SELECT '[' || string_agg('{\"status\":\"' || status || '\",\"n_jobs\":' || n || '}', ',' ORDER BY status) || ']' AS report FROM (SELECT status, count(*) AS n FROM (SELECT * FROM jobs WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, received_at DESC NULLS LAST, status) = 1) GROUP BY status)")
+def diagnostics_report(spark, sf):
+    """The counts as one JSON text without paths or values."""
+    per = J.current(table(spark, sf, "jobs")).groupBy("status").agg(F.count("*").alias("n_jobs"))
+    return per.agg(F.to_json(F.array_sort(F.collect_list(F.struct("status", "n_jobs")))).alias("report"))
+
+
+@query("SELECT template_id, sha256('[' || string_agg('\"' || model || '\"', ',' ORDER BY model) || ']') AS identity FROM (SELECT DISTINCT template_id, model FROM evidence) GROUP BY template_id")
+def recognition_identity(spark, sf):
+    """Digest of the sorted models that read a template's cells: readings of another set are not reused."""
+    per = table(spark, sf, "evidence").select("template_id", "model").distinct().groupBy("template_id").agg(F.array_sort(F.collect_list("model")).alias("models"))
+    return per.select("template_id", F.sha2(F.to_json("models"), 256).alias("identity"))
+
+
+@query("SELECT id AS template_id, f.id AS field_id, list_position(ys, round(f.rect.y, 6)) - 1 AS first, list_position(ys, round(f.rect.y + f.rect.height, 6)) - 1 AS last FROM (SELECT id, list_sort(list_distinct(list_transform(list_concat(row_guides, list_transform(fields, lambda f: f.rect.y), list_transform(fields, lambda f: f.rect.y + f.rect.height)), lambda g: round(g, 6)))) AS ys, unnest(fields) AS f FROM templates)")
+def lattice_boxes(spark, sf):
+    """The lattice lines at which a field begins and ends on a printable form."""
+    y = lambda f: f["rect"]["y"]
+    end = lambda f: f["rect"]["y"] + f["rect"]["height"]
+    t = _templates(spark, sf).select("id", O.edges(F.col("row_guides"), F.transform("fields", y), F.transform("fields", end)).alias("ys"), F.explode("fields").alias("f"))
+    at = lambda v: F.array_position("ys", F.round(v, 6)) - 1
+    return t.select(F.col("id").alias("template_id"), F.col("f.id").alias("field_id"), at(y(F.col("f"))).alias("first"), at(end(F.col("f"))).alias("last"))
+
+
+@query("SELECT template_id, field_id, round(x / 1240.0, 9) AS x, round(y / 1754.0, 9) AS y, round(width / 1240.0, 9) AS width, round(height / 1754.0, 9) AS height FROM (SELECT id AS template_id, f.id AS field_id, x, y, greatest(1, least(round_even(f.rect.width * 1240, 0), 1240 - x)) AS width, greatest(1, least(round_even(f.rect.height * 1754, 0), 1754 - y)) AS height FROM (SELECT id, f, greatest(0, least(round_even(f.rect.x * 1240, 0), 1239)) AS x, greatest(0, least(round_even(f.rect.y * 1754, 0), 1753)) AS y FROM (SELECT id, unnest(fields) AS f FROM templates)))")
+def field_parts(spark, sf):
+    """Field rectangles from pixels back to parts of the page."""
+    f = _templates(spark, sf).select(F.col("id").alias("template_id"), F.explode("fields").alias("f"))
+    r = O.normal_rect(O.pixel_rect(F.col("f.rect"), F.lit(1240), F.lit(1754)), F.lit(1240), F.lit(1754))
+    return f.select("template_id", F.col("f.id").alias("field_id"), r.alias("r")).select("template_id", "field_id", *(F.round(f"r.{c}", 9).alias(c) for c in ("x", "y", "width", "height")))
 
 
 @query("SELECT id, family_id, template_version FROM templates UNION ALL SELECT id || '-v' || (v + 1), family_id, v + 1 FROM (SELECT id, family_id, max(template_version) OVER (PARTITION BY family_id) AS v, auto_fit_rows FROM templates) WHERE auto_fit_rows")
@@ -50,20 +175,35 @@ def diagnostics(spark, sf):
     return J.current(table(spark, sf, "jobs")).groupBy("status").agg(F.count("*").alias("n_jobs"), F.countDistinct("station_id").alias("n_stations"))
 
 
-@query("SELECT id, len(list_filter(fixed_cells, lambda f: NOT (f.cell_row = 1 AND f.cell_column = 1))) + 1 AS n_set, len(list_filter(fixed_cells, lambda f: NOT (f.cell_row = 1 AND f.cell_column = 1))) AS n_cleared FROM templates")
+_CELLS = lambda xs: f"array_to_string(list_transform({xs}, lambda x: x.cell_row || ',' || x.cell_column || '=' || x.fixed_text), ' ')"
+_OTHERS = "list_filter(fixed_cells, lambda f: NOT (f.cell_row = 1 AND f.cell_column = 1))"
+
+
+@query(f"SELECT id, {_CELLS(_OTHERS + ' || [{cell_row: 1, cell_column: 1, fixed_text: upper(name)}]'.replace('{', '{{').replace('}', '}}').replace('{{', '{').replace('}}', '}'))} AS set, {_CELLS(_OTHERS)} AS cleared FROM templates")
 def fixed_value_set(spark, sf):
-    row, column = F.lit(1), F.lit(1)
-    n = lambda v: F.size(O.set_fixed(F.col("fixed_cells"), row, column, v))
-    return _templates(spark, sf).select("id", n(F.lit("x")).alias("n_set"), n(F.lit(None).cast("string")).alias("n_cleared"))
+    """The value of cell (1, 1) set to the template's name, and taken away."""
+    shown = lambda v: F.array_join(F.transform(O.set_fixed(F.col("fixed_cells"), F.lit(1), F.lit(1), v), lambda x: F.concat(x["cell_row"].cast("string"), F.lit(","), x["cell_column"].cast("string"), F.lit("="), x["fixed_text"])), " ")
+    return _templates(spark, sf).select("id", shown(F.upper("name")).alias("set"), shown(F.lit(None).cast("string")).alias("cleared"))
+
 
+_SHOW_RULE = "r.id || ' ' || r.row_start || '-' || r.row_end || ' ' || r.column_start || '-' || r.column_end"
 
-@query("SELECT id, len(cell_rules) + CASE WHEN len(list_filter(cell_rules, lambda r: r.row_start = cell_rules[1].row_start AND r.row_end = 4 AND r.column_start = 1 AND r.column_end = 2)) > 0 THEN 0 ELSE 1 END AS n_rules FROM templates WHERE len(cell_rules) > 0")
+
+@query(f"""WITH t AS (SELECT id, cell_rules, template_version % 2 = 0 AS even, struct_pack(id := 'quick', row_start := CASE WHEN template_version % 2 = 0 THEN cell_rules[1].row_start ELSE 0 END, row_end := CASE WHEN template_version % 2 = 0 THEN cell_rules[1].row_end ELSE 4 END, column_start := CASE WHEN template_version % 2 = 0 THEN cell_rules[1].column_start ELSE 1 END, column_end := CASE WHEN template_version % 2 = 0 THEN cell_rules[1].column_end ELSE 2 END) AS q FROM templates WHERE len(cell_rules) > 0),
+x AS (SELECT id, q, list_transform(cell_rules, lambda r: struct_pack(id := r.id, row_start := r.row_start, row_end := r.row_end, column_start := r.column_start, column_end := r.column_end)) AS rs FROM t),
+y AS (SELECT id, CASE WHEN len(list_filter(rs, lambda r: (r.row_start, r.row_end, r.column_start, r.column_end) = (q.row_start, q.row_end, q.column_start, q.column_end))) > 0 THEN list_transform(rs, lambda r: CASE WHEN (r.row_start, r.row_end, r.column_start, r.column_end) = (q.row_start, q.row_end, q.column_start, q.column_end) THEN q ELSE r END) ELSE list_append(rs, q) END AS rs FROM x)
+SELECT id, array_to_string(list_transform(rs, lambda r: {_SHOW_RULE}), ' | ') AS rules FROM y""")
 def quick_rule(spark, sf):
-    """The first region's rule put on rows up to 4 and columns 1 to 2: replaces an equal rectangle or is appended."""
+    """A rule put on the first region's rectangle (even versions: replaces it) or on rows 0 to 4 and columns 1 to 2 (appended)."""
     t = _templates(spark, sf).where("size(cell_rules) > 0")
-    first = F.get("cell_rules", F.lit(0))
-    rect = F.struct(first["row_start"].alias("row_start"), F.lit(4).alias("row_end"), F.lit(1).alias("column_start"), F.lit(2).alias("column_end"))
-    return t.select("id", F.size(O.apply_rule(F.col("cell_rules"), rect, first)).alias("n_rules"))
+    first, even = F.get("cell_rules", F.lit(0)), F.col("template_version") % 2 == 0
+    pick = {k: F.when(even, first[k]).otherwise(v).cast("int") for k, v in (("row_start", 0), ("row_end", 4), ("column_start", 1), ("column_end", 2))}
+    rect = F.struct(*(v.alias(k) for k, v in pick.items()))
+    rule = first.withField("id", F.lit("quick"))
+    for k, v in pick.items():
+        rule = rule.withField(k, v)
+    show = lambda r: F.format_string("%s %d-%d %d-%d", r["id"], r["row_start"], r["row_end"], r["column_start"], r["column_end"])
+    return t.select("id", F.array_join(F.transform(O.apply_rule(F.col("cell_rules"), rect, rule), show), " | ").alias("rules"))
 
 
 @query("SELECT t.id AS template_id, r::INTEGER AS cell_row, c::INTEGER AS cell_column FROM (SELECT id, unnest(range(0, len(row_guides) - 1)) AS r FROM templates) g JOIN templates t ON t.id = g.id, LATERAL (SELECT unnest(range(0, len(t.column_guides) - 1)) AS c)")
@@ -142,12 +282,12 @@ def page_complete(spark, sf):
     return per.select("run_id", "template_id", "page_index", ((F.col("n") == F.col("nr") * F.col("nc")) & (F.col("outside") == 0)).alias("complete"))
 
 
-@query("SELECT id AS document, true AS fits, 2::BIGINT AS n_pages FROM templates WHERE len(row_guides) > 1")
+@query("SELECT id AS document, 0.0007 * template_version <= 0.002 AS fits, 2::BIGINT AS n_pages FROM templates WHERE len(row_guides) > 1")
 def same_grid(spark, sf):
-    """Two pages of each template, the second moved by a thousandth, share one grid."""
+    """Two pages of each template, the second moved by 0.0007 for each version: up to 0.002 they share one grid."""
     t = _templates(spark, sf).where("size(row_guides) > 1")
-    page = lambda n, d: t.select(F.col("id").alias("document"), F.lit(n).alias("page"), *(F.transform(c, lambda g: g + d).alias(c) for c in ("row_guides", "column_guides")))
-    return O.same_grid(page(0, 0.0).union(page(1, 0.001)))
+    page = lambda n, d: t.select(F.col("id").alias("document"), F.lit(n).alias("page"), *(F.transform(c, lambda g: g + d * F.col("template_version")).alias(c) for c in ("row_guides", "column_guides")))
+    return O.same_grid(page(0, 0.0).union(page(1, 0.0007)))
 
 
 @query("SELECT id, CASE WHEN abs(h / w - 1.414286) < 0.004 THEN 'A4' ELSE 'custom' END AS page, printf('%02d:%02d:%02d', v // 3600, v // 60 % 60, v % 60) AS duration FROM (SELECT id, 210.0 AS w, 210.0 * coalesce(reference_page_aspect, 1) AS h, template_version * 997 AS v FROM templates)")
@@ -214,20 +354,6 @@ def cell_dispatch(spark, sf):
     return P._resolved(spark, sf).select("cell_id", reader.alias("reader"))
 
 
-@query(f"""SELECT template_id, min(round(score * 100))::INTEGER AS score, count(*) AS n_pages, min(score) >= 0.55 AS offered FROM ({W.SQL_RANK}) GROUP BY template_id""")
-def document_compatibility(spark, sf):
-    """A document is as compatible with a template as its worst page; only scores from 0.55 on are offered."""
-    per = W.template_rank(spark, sf).groupBy("template_id").agg(F.min("score").alias("s"), F.min(F.round(F.col("score") * 100)).cast("int").alias("score"), F.count("*").alias("n_pages"))
-    return per.select("template_id", "score", "n_pages", (F.col("s") >= 0.55).alias("offered"))
-
-
-@query(f"""SELECT page_id, template_id FROM ({W.SQL_RANK}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, template_id) = 1""")
-def template_choice(spark, sf):
-    """The best template of each page, unless a common choice overrides it (there is none here)."""
-    w = W.template_rank(spark, sf).groupBy("page_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "template_id")).alias("m"))
-    return w.select("page_id", F.col("m.template_id").alias("template_id"))
-
-
 @query(f"""WITH {P._GRID}, {S.resolved('numbered', 'k')}, m AS (SELECT template_id, cell_row, cell_column FROM resolved WHERE excluded), sel AS (SELECT template_id, cell_row, cell_column FROM resolved WHERE cell_column = 2),
 ax AS (SELECT id AS template_id, 'row' AS axis, unnest(excluded_rows) AS i FROM templates UNION ALL SELECT id, 'column', unnest(excluded_columns) FROM templates),
 kept AS (SELECT * FROM ax WHERE NOT (axis = 'row' AND EXISTS (SELECT 1 FROM sel WHERE sel.template_id = ax.template_id AND sel.cell_row = ax.i)) AND NOT (axis = 'column' AND EXISTS (SELECT 1 FROM sel WHERE sel.template_id = ax.template_id AND sel.cell_column = ax.i)))

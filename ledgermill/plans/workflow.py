@@ -181,15 +181,20 @@ def template_install(spark, sf):
 
 
 def _pages(spark, sf):
-    """Detected grids: each tenth template's own grid with the guides moved a little, as a page found it."""
+    """Detected grids: every template's own grid with the guides moved a little, as a page found it; even versions print their title."""
     t = table(spark, sf, "templates").where(F.col("id").isNotNull())
     moved = lambda c: F.transform(c, lambda g: g * 0.98 + 0.01)
-    return t.where(F.col("schema_version") >= 4).select(F.col("id").alias("page_id"), F.col("name").alias("title"), F.struct(moved(F.col("row_guides")).alias("row_guides"), moved(F.col("column_guides")).alias("column_guides"), F.col("table_rect").alias("table_rect"), F.coalesce("reference_page_aspect", F.lit(1.0)).alias("aspect"), F.when(F.col("detect_crossed_rows"), 1).otherwise(0).alias("n_warnings")).alias("d"))
+    title = F.when(F.col("template_version") % 2 == 0, F.concat(F.lit("Form: "), "name", F.lit(", page 1"))).otherwise("")
+    return t.select(F.col("id").alias("page_id"), title.alias("title"), F.struct(moved(F.col("row_guides")).alias("row_guides"), moved(F.col("column_guides")).alias("column_guides"), F.col("table_rect").alias("table_rect"), F.coalesce("reference_page_aspect", F.lit(1.0)).alias("aspect"), F.when(F.col("detect_crossed_rows"), 1).otherwise(0).alias("n_warnings")).alias("d"))
+
+
+def _latest(spark, sf):
+    return T.latest(table(spark, sf, "templates")).select(F.col("id").alias("template_id"), F.col("name"), F.struct("row_guides", "column_guides", "table_rect", "header_rows", "auto_fit_rows", "reference_page_aspect", "fields").alias("t"))
 
 
 def _matches(spark, sf):
-    t = T.latest(table(spark, sf, "templates")).select(F.col("id").alias("template_id"), F.col("name"), F.struct("row_guides", "column_guides", "table_rect", "header_rows", "auto_fit_rows", "reference_page_aspect").alias("t"))
-    return _pages(spark, sf).join(t)  # each page against the latest templates: a stated query set against all rows
+    """Each page against all latest templates (their number is checked)."""
+    return T.against(_pages(spark, sf), _latest(spark, sf))
 
 
 _NORM = lambda g: f"list_transform({g}, lambda v: (v - {g}[1]) / greatest(1e-9, {g}[-1] - {g}[1]))"
@@ -199,8 +204,8 @@ _DIFF = lambda g: f"list_transform(range(1, len({g})), lambda i: {g}[i + 1] - {g
 _BODY = lambda g: f"list_slice({_DIFF(g)}, header_rows + 1, 100000)"
 _HEAD = lambda g: f"list_transform(list_slice({_DIFF(g)}, 1, header_rows), lambda h: h / list_median({_BODY(g)}))"
 _UNEVEN = lambda g: f"(list_max(list_transform({_BODY(g)}, lambda h: abs(h / list_median({_BODY(g)}) - 1))) > 0.15)"
-_PAGES = f"""{_LATEST}, pages AS (SELECT id AS page_id, name AS title, list_transform(row_guides, lambda g: g * 0.98 + 0.01) AS dr, list_transform(column_guides, lambda g: g * 0.98 + 0.01) AS dc, table_rect AS drect, coalesce(reference_page_aspect, 1.0) AS aspect, CASE WHEN detect_crossed_rows THEN 1 ELSE 0 END AS n_warnings FROM templates WHERE schema_version >= 4 AND id IS NOT NULL),
-pairs AS (SELECT p.*, l.id AS template_id, l.name, l.row_guides AS tr, l.column_guides AS tc, l.table_rect AS trect, l.header_rows, l.auto_fit_rows, l.reference_page_aspect FROM pages p, latest l),
+_PAGES = f"""{_LATEST}, pages AS (SELECT id AS page_id, CASE WHEN template_version % 2 = 0 THEN 'Form: ' || name || ', page 1' ELSE '' END AS title, list_transform(row_guides, lambda g: g * 0.98 + 0.01) AS dr, list_transform(column_guides, lambda g: g * 0.98 + 0.01) AS dc, table_rect AS drect, coalesce(reference_page_aspect, 1.0) AS aspect, CASE WHEN detect_crossed_rows THEN 1 ELSE 0 END AS n_warnings FROM templates WHERE id IS NOT NULL),
+pairs AS (SELECT p.*, l.fields, l.id AS template_id, l.name, l.row_guides AS tr, l.column_guides AS tc, l.table_rect AS trect, l.header_rows, l.auto_fit_rows, l.reference_page_aspect FROM pages p, latest l),
 fit AS (SELECT *, CASE WHEN n_warnings > 0 THEN 'grid_needs_checking' WHEN len(tc) <> len(dc) THEN 'other_column_count' WHEN NOT (header_rows < len(dr) - 1 AND len(dr) - 1 <= 200) THEN 'invalid_row_count'
  WHEN list_min({_DIFF('tc')}) <= 0 OR list_min({_DIFF('dc')}) <= 0 OR list_min({_DIFF('tr')}) <= 0 OR list_min({_DIFF('dr')}) <= 0 THEN 'invalid_coordinates'
  WHEN list_max({_APART('tc', 'dc')}) > 0.025 THEN 'other_column_proportions'
@@ -209,40 +214,106 @@ fit AS (SELECT *, CASE WHEN n_warnings > 0 THEN 'grid_needs_checking' WHEN len(t
  WHEN len(tr) <> len(dr) AND header_rows > 0 AND coalesce(list_max(list_transform(range(1, header_rows + 1), lambda i: abs(({_HEAD('tr')})[i] - ({_HEAD('dr')})[i]))), 0.0) > 0.15 THEN 'other_header_proportions' END AS problem FROM pairs)"""
 
 
-@query(f"WITH {_PAGES} SELECT page_id, template_id, problem FROM fit")
+@query(f"WITH {_PAGES} SELECT page_id, template_id, problem FROM fit WHERE len(tc) = len(dc)")
 def template_fit_check(spark, sf):
-    return _matches(spark, sf).select("page_id", "template_id", T.fit_problem(F.col("t"), F.col("d")).alias("problem"))
+    """Fit of every page and latest template of as many columns (others cannot fit): an equi-join on that number."""
+    n = lambda c: F.size(F.col(c)["column_guides"])
+    both = _pages(spark, sf).withColumn("n", n("d")).join(_latest(spark, sf).withColumn("n", n("t")), "n")
+    return both.select("page_id", "template_id", T.fit_problem(F.col("t"), F.col("d")).alias("problem"))
 
 
-SQL_RANK = f"""WITH {_PAGES}, parts AS (SELECT *, coalesce(auto_fit_rows, false) AND problem IS NULL AS fitted,
+_TOKENS = lambda t: f"trim(lower(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')))"
+_SCORES = f"""{_PAGES}, named AS (SELECT *, length({_TOKENS('name')}) >= 4 AND contains(' ' || {_TOKENS('title')} || ' ', ' ' || {_TOKENS('name')} || ' ') AS hit FROM fit),
+parts AS (SELECT *, bool_or(hit) OVER (PARTITION BY page_id) AS any_hit, coalesce(auto_fit_rows, false) AND problem IS NULL AS fitted,
  CASE WHEN coalesce(auto_fit_rows, false) AND problem IS NULL THEN 1.0 ELSE exp(-abs((len(dr) - 1) - (len(tr) - 1)) / greatest(1.0, (len(tr) - 1) * 0.18)) END AS s_row,
  exp(-abs((len(dc) - 1) - (len(tc) - 1)) / greatest(1.0, (len(tc) - 1) * 0.18)) AS s_col,
  CASE WHEN coalesce(auto_fit_rows, false) AND problem IS NULL THEN 1.0 ELSE {_GUIDE('tr', 'dr')} END AS s_shape, {_GUIDE('tc', 'dc')} AS s_cshape,
  greatest(0.0, 1.0 - (abs(trect.x - drect.x) + abs(trect.y - drect.y) + abs(trect.width - drect.width) + abs(trect.height - drect.height)) / 0.8) AS s_rect,
- CASE WHEN coalesce(reference_page_aspect, 0) = 0 THEN 0.5 ELSE greatest(0.0, 1.0 - abs(aspect - reference_page_aspect) / greatest(aspect, reference_page_aspect)) END AS s_aspect FROM fit),
-sc AS (SELECT *, 0.27 * s_row + 0.31 * s_col + 0.15 * s_rect + 0.10 * s_aspect + 0.17 * (s_shape + s_cshape) / 2 AS s FROM parts)
-SELECT page_id, template_id, CASE WHEN auto_fit_rows AND problem IS NOT NULL THEN round(s * 0.49, 4) WHEN n_warnings > 0 THEN round(least(s, 0.49), 4) ELSE round(greatest(0.0, least(1.0, s)), 4) END AS score FROM sc"""
+ CASE WHEN coalesce(reference_page_aspect, 0) = 0 THEN 0.5 ELSE greatest(0.0, 1.0 - abs(aspect - reference_page_aspect) / greatest(aspect, reference_page_aspect)) END AS s_aspect FROM named),
+sc AS (SELECT *, (0.27 * s_row + 0.31 * s_col + 0.15 * s_rect + 0.10 * s_aspect + 0.17 * (s_shape + s_cshape) / 2) * CASE WHEN any_hit AND NOT hit THEN 0.70 ELSE 1.0 END AS s FROM parts),
+ranked AS (SELECT *, coalesce(auto_fit_rows, false) AND problem IS NOT NULL AS fit_error, CASE WHEN auto_fit_rows AND problem IS NOT NULL THEN round(s * 0.49, 4) WHEN n_warnings > 0 THEN round(least(s, 0.49), 4) ELSE round(greatest(0.0, least(1.0, s)), 4) END AS score FROM sc)"""
+SQL_RANK = f"WITH {_SCORES} SELECT page_id, template_id, score FROM ranked"
+
+
+def _ranked(spark, sf):
+    m = _matches(spark, sf).withColumn("hit", T.title_matches(F.col("title"), F.col("name"))).withColumn("any_hit", F.max("hit").over(Window.partitionBy("page_id")))
+    error = F.coalesce(F.col("t.auto_fit_rows"), F.lit(False)) & T.fit_problem(F.col("t"), F.col("d")).isNotNull()
+    return m.withColumn("score", T.match_score(F.col("t"), F.col("d"), F.col("hit"), F.col("any_hit"))).withColumn("fit_error", error)
 
 
 @query(SQL_RANK)
 def template_rank(spark, sf):
-    """Score of every page and latest template."""
-    no = F.lit(False)
-    return _matches(spark, sf).select("page_id", "template_id", T.match_score(F.col("t"), F.col("d"), no, no).alias("score"))
+    """Score of every page and latest template; a page that prints another template's name lowers the rest."""
+    return _ranked(spark, sf).select("page_id", "template_id", "score")
+
+
+_CHOICE = f"""{_SCORES}, placed AS (SELECT *, lead(CASE WHEN NOT fit_error THEN score END) OVER w AS nxt, row_number() OVER w AS place FROM ranked WINDOW w AS (PARTITION BY page_id ORDER BY fit_error, score DESC, lower(name), template_id))"""
+
+
+@query(f"WITH {_CHOICE} SELECT page_id, template_id, coalesce(abs(score - nxt) < 0.04, false) AS ambiguous FROM placed WHERE place = 1")
+def template_choice(spark, sf):
+    """The best template of each page and whether another one is as near."""
+    return T.chosen(_ranked(spark, sf).select("page_id", "template_id", "name", "score", "fit_error"))
+
+
+@query("SELECT id AS page_id, (SELECT min(id) FROM templates) AS template_id, false AS ambiguous FROM templates WHERE id IS NOT NULL")
+def template_choice_common(spark, sf):
+    """One protocol for all pages overrides their own choices."""
+    common = table(spark, sf, "templates").agg(F.min("id").alias("template_id"))
+    return T.chosen(_ranked(spark, sf).select("page_id", "template_id", "name", "score", "fit_error"), common)
+
 
+_RECT = "(1.0 - (abs(trect.x - drect.x) + abs(trect.y - drect.y) + abs(trect.width - drect.width) + abs(trect.height - drect.height)) / 0.8)"
 
-@query("SELECT doc_id, t.id AS template_id FROM documents d, templates t WHERE length(t.name) >= 4 AND contains(' ' || lower(regexp_replace(coalesce(d.title, ''), '[^\\p{L}\\p{N}_]+', ' ', 'g')) || ' ', ' ' || lower(regexp_replace(t.name, '[^\\p{L}\\p{N}_]+', ' ', 'g')) || ' ')")
+
+@query(f"""WITH {_SCORES} SELECT template_id, min(round(score * 100))::INTEGER AS score, count(*) AS n_pages, min(score) >= 0.55 AS offered, array_to_string(list_sort(list_distinct(flatten(list(list_filter([printf('grid %dx%d', len(tr) - 1, len(tc) - 1), CASE WHEN len(tr) = len(dr) THEN 'rows match' WHEN fitted THEN 'rows will be fitted' ELSE 'rows differ' END,
+ CASE WHEN len(tc) = len(dc) THEN 'columns match' ELSE 'columns differ' END, CASE WHEN s_aspect > 0.9 THEN 'page aspect matches' END, CASE WHEN s_rect > 0.85 THEN 'table lies alike' END], lambda x: x IS NOT NULL))))), '; ') AS reasons FROM ranked GROUP BY template_id""")
+def document_compatibility(spark, sf):
+    """A document is as compatible with a template as its worst page; only scores from 0.55 on are offered; reasons of all pages."""
+    per = _ranked(spark, sf).withColumn("why", T.reasons(F.col("t"), F.col("d"))).groupBy("template_id").agg(F.min("score").alias("s"), F.min(F.round(F.col("score") * 100)).cast("int").alias("score"), F.count("*").alias("n_pages"), F.array_distinct(F.flatten(F.collect_set("why"))).alias("why"))
+    return per.select("template_id", "score", "n_pages", (F.col("s") >= 0.55).alias("offered"), F.array_join(F.array_sort("why"), "; ").alias("reasons"))
+
+
+@query(f"""WITH {_PAGES}, k AS (SELECT *, (dc[-1] - dc[1]) / (tc[-1] - tc[1]) AS sx, CASE WHEN coalesce(reference_page_aspect, 0) <> 0 THEN (dc[-1] - dc[1]) / (tc[-1] - tc[1]) * aspect / reference_page_aspect ELSE list_median({_DIFF('dr')}) / list_median({_DIFF('tr')}) END AS sy FROM fit WHERE len(tc) = len(dc) AND problem IS NULL),
+f AS (SELECT page_id, template_id, tr, sx, sy, dr, dc, tc, unnest(fields) AS f FROM k),
+m AS (SELECT page_id, template_id, f.id AS field_id, dc[1] + (f.rect.x - tc[1]) * sx AS x, CASE WHEN f.rect.y >= tr[-1] THEN dr[-1] + (f.rect.y - tr[-1]) * sy ELSE dr[1] + (f.rect.y - tr[1]) * sy END AS y, f.rect.width * sx AS w, f.rect.height * sy AS h, f.rect.y < tr[-1] AND f.source <> 'fixed' AND f.rect.y + f.rect.height > tr[1] AS inside FROM f)
+SELECT page_id, template_id, field_id, CASE WHEN inside THEN 'field_inside_table' WHEN x < -0.002 OR y < -0.002 OR x + w > 1.002 OR y + h > 1.002 THEN 'field_outside_page' END AS problem, round(greatest(0.0, x), 6) AS x, round(greatest(0.0, y), 6) AS y, round(w, 6) AS width, round(h, 6) AS height FROM m""")
+def template_fitted_fields(spark, sf):
+    """Where a fitting template's fields lie on each page."""
+    n = lambda c: F.size(F.col(c)["column_guides"])
+    both = _pages(spark, sf).withColumn("n", n("d")).join(_latest(spark, sf).withColumn("n", n("t")), "n").where(T.fit_problem(F.col("t"), F.col("d")).isNull())
+    f = both.select("page_id", "template_id", F.explode(T.fitted_fields(F.col("t"), F.col("d"))["fields"]).alias("f"))
+    return f.select("page_id", "template_id", F.col("f.id").alias("field_id"), "f.problem", *(F.round(f"f.{c}", 6).alias(c) for c in ("x", "y", "width", "height")))
+
+
+@query("SELECT id || '-new' AS id, 0 AS template_version, len(row_guides) - 1 AS n_rows, len(column_guides) - 1 AS n_columns FROM templates WHERE id IS NOT NULL")
+def template_new(spark, sf):
+    t = T.new_template(_pages(spark, sf))
+    return t.select("id", "template_version", (F.size("row_guides") - 1).alias("n_rows"), (F.size("column_guides") - 1).alias("n_columns"))
+
+
+@query(f"WITH {_PAGES} SELECT page_id, template_id FROM (SELECT *, length({_TOKENS('name')}) >= 4 AND contains(' ' || {_TOKENS('title')} || ' ', ' ' || {_TOKENS('name')} || ' ') AS hit FROM fit) WHERE hit")
+def title_named(spark, sf):
+    """Pages that print a latest template's name as whole words."""
+    return _matches(spark, sf).where(T.title_matches(F.col("title"), F.col("name"))).select("page_id", "template_id")
+
+
+@query(f"""WITH names AS (SELECT list(name ORDER BY id) AS names FROM templates), d AS (SELECT doc_id, coalesce(title, '') || CASE WHEN doc_id % 2 = 0 THEN ' - ' || names[doc_id % len(names) + 1] ELSE '' END AS title FROM documents, names)
+SELECT DISTINCT doc_id, t.id AS template_id FROM d, templates t WHERE length({_TOKENS('t.name')}) >= 4 AND contains(' ' || {_TOKENS('d.title')} || ' ', ' ' || {_TOKENS('t.name')} || ' ')""")
 def title_match(spark, sf):
-    """Documents whose title names a protocol as whole words.
+    """Documents whose title names a protocol as whole words; even documents get a protocol's name appended.
 
     Titles meet names on every run of as many words as some name has, so the join is an
     equi-join and not a cross join.
     """
-    t = table(spark, sf, "templates").select(F.col("id").alias("template_id"), T.title_tokens(F.col("name")).alias("phrase")).where("length(phrase) >= 4")
-    longest = t.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
-    d = table(spark, sf, "documents").select("doc_id", F.split(T.title_tokens(F.col("title")), " ").alias("w"))
+    t = table(spark, sf, "templates")
+    names = t.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: x["name"]).alias("names"))
+    phrases = t.select(F.col("id").alias("template_id"), T.title_tokens(F.col("name")).alias("phrase")).where("length(phrase) >= 4")
+    longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
+    appended = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" - "), F.get("names", (F.col("doc_id") % F.size("names")).cast("int")))).otherwise("")
+    d = table(spark, sf, "documents").select("doc_id", "title").join(F.broadcast(names)).select("doc_id", F.split(T.title_tokens(F.concat(F.coalesce("title", F.lit("")), appended)), " ").alias("w"))  # one row of names
     runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, longest))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")))))
-    return d.select("doc_id", F.explode(runs).alias("phrase")).join(t, "phrase").select("doc_id", "template_id").distinct()
+    return d.select("doc_id", F.explode(runs).alias("phrase")).join(phrases, "phrase").select("doc_id", "template_id").distinct()
 
 
 @query("""WITH s AS (SELECT cell_id AS file, (evidence_id % 4) * 90 AS rotation, support AS score, support >= 0.2 AS ok FROM (SELECT DISTINCT evidence_id, cell_id, support FROM evidence)),
