@@ -103,7 +103,10 @@ class Bundles:
         return per.join(mixed, "bundle_key").select("bundle_key", F.col("role").alias("split_role"))
 
     def deal(self, splits: Sequence[tuple[str, float]] = SPLITS) -> DataFrame:
-        """(bundle_key, n_records, band, split) of every bundle."""
+        """(bundle_key, n_records, band, split) of every bundle. Splits with a share of 0 get none."""
+        splits = [(s, p) for s, p in splits if p > 0]
+        if not splits:
+            raise ValueError("no split has a share above 0")
         sizes = stage(self.records.groupBy("bundle_key").agg(F.count("*").alias("n_records")), "bundle-sizes")
         total, bundles = sizes.agg(F.coalesce(F.sum("n_records"), F.lit(0)), F.count("*")).first()
         norm = sum(p for _, p in splits)

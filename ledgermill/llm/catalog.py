@@ -80,6 +80,11 @@ def p5_report(spark, sf):
     return _bundles(spark, sf).report()
 
 
+def p5_forest(spark, sf):
+    """The spanning forest that holds the bundles together: key pairs and the round in which each was taken."""
+    return _bundles(spark, sf).forest
+
+
 def p6_found(spark, sf):
     return leakage.leaks(_t(spark, sf, "documents"), _t(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -200,6 +205,19 @@ def _words(id_: str, text: str, source: str) -> str:
 
 _P6 = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({_words('doc_id', 'text', 'documents')}) d JOIN ({_words('item_id', 'item_text', 'eval_items')}) i USING (run)"
 
+_CLEAN = lambda t: f"lower(regexp_replace(regexp_replace({t}, '[­​﻿⁠]', '', 'g'), '([\\p{{L}}\\p{{N}}])[-‐][ \\t]*\\r?\\n\\s*([\\p{{L}}\\p{{N}}])', '\\1\\2', 'g'))"
+_P6_REPORT = f"""WITH it AS (SELECT item_id, suite, split_role, regexp_extract_all({_CLEAN('item_text')}, '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_items WHERE item_id IS NOT NULL),
+ip AS (SELECT item_id, w, len(w) AS n, CASE WHEN len(w) >= 12 THEN 12 ELSE len(w) END AS piece FROM it WHERE len(w) >= 5),
+ig AS (SELECT item_id, piece, i, array_to_string(w[i:i + piece - 1], ' ') AS g FROM (SELECT item_id, w, piece, unnest(range(1, n - piece + 2)) AS i FROM ip)),
+dw AS (SELECT doc_id, regexp_extract_all({_CLEAN('text')}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+dg AS (SELECT doc_id, piece, d, array_to_string(w[d:d + piece - 1], ' ') AS g FROM (SELECT doc_id, w, piece, unnest(range(1, len(w) - piece + 2)) AS d FROM dw, (SELECT DISTINCT piece FROM ip))),
+m AS (SELECT doc_id, item_id, piece, i, d - i AS diag FROM ig JOIN dg USING (piece, g)),
+r AS (SELECT doc_id, item_id, max(i) - min(i) + max(piece) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY i) AS k FROM m) GROUP BY doc_id, item_id, diag, k),
+c AS (SELECT doc_id, item_id, count(*) AS words FROM (SELECT DISTINCT doc_id, item_id, unnest(range(i, i + piece)) AS pos FROM m) GROUP BY ALL),
+f AS (SELECT doc_id, item_id, longest, words, n FROM (SELECT doc_id, item_id, max(len) AS longest FROM r GROUP BY ALL) JOIN c USING (doc_id, item_id) JOIN ip USING (item_id)),
+p AS (SELECT item_id, count(*) AS n_docs, sum((longest = n)::BIGINT)::BIGINT AS n_whole, max(longest)::INTEGER AS longest_run, round(max(words / n), 6) AS containment FROM f GROUP BY item_id)
+SELECT item_id, suite, split_role, coalesce(n_docs, 0) AS n_docs, coalesce(n_whole, 0) AS n_whole, coalesce(longest_run, 0) AS longest_run, coalesce(containment, 0.0) AS containment FROM it LEFT JOIN p USING (item_id)"""
+
 # Any common tokenizer gives the same sources; here words, numbers and runs of signs are the tokens.
 _P7 = """WITH n AS (SELECT lower(trim(source)) AS source, len(regexp_extract_all(coalesce(text, ''), '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]+')) AS n FROM documents),
 s AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(n.n), 0) AS n FROM source_targets t LEFT JOIN n ON n.source = lower(trim(t.source)) GROUP BY ALL)
@@ -229,4 +247,4 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_copies, 1) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p4_links": _P4_LINKS, "p4_contained": _P4_CONTAINED, "p4_report": _P4_REPORT, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7, "p7_mix_characters": _P7_MIX + " SELECT * FROM mix", "p7_report_characters": _P7_MIX + _P7_REPORT, "p8_found": _P8, "p8_coverage": _P8_COVERAGE}
+    return {"p1_found": _p1() + _P1_FOUND, "p1_agreement": _p1() + _P1_CELLS, "p1_reader_agreement": _p1() + _P1_READERS, "p4_found": _P4, "p4_links": _P4_LINKS, "p4_contained": _P4_CONTAINED, "p4_report": _P4_REPORT, "p5_found": _P5, "p6_found": _P6, "p6_report": _P6_REPORT, "p7_found": _P7, "p7_mix_characters": _P7_MIX + " SELECT * FROM mix", "p7_report_characters": _P7_MIX + _P7_REPORT, "p8_found": _P8, "p8_coverage": _P8_COVERAGE}

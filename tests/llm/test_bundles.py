@@ -75,3 +75,13 @@ def test_a_giant_goes_where_it_fits(spark):
 def test_empty(spark):
     b = bundles(spark, [])
     assert b.found().collect() == [] and b.assign().collect() == [] and len(b.report().collect()) == 3
+
+
+def test_splits_without_a_share(spark):
+    import pytest
+
+    rows = [(i, f"d{i % 20}", None, "train") for i in range(100)]
+    b = bundles(spark, rows)
+    assert {r.split for r in b.assign([("train", 0.5), ("none", 0.0), ("test", 0.5)]).collect()} == {"train", "test"}
+    with pytest.raises(ValueError):
+        b.deal([("train", 0.0)])
