@@ -99,7 +99,23 @@ def p3_cell_rules(spark, sf):
     return FlatTables(table(spark, sf, "jobs")).table("cell_rule")
 
 
-@query()
+_KEYS = """WITH ok AS (SELECT id AS job_id, result_json::JSON AS j FROM jobs WHERE id IS NOT NULL AND json_valid(result_json) AND json_type(result_json) = 'OBJECT' QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, received_at DESC NULLS LAST) = 1),
+pg AS (SELECT job_id, job_id || '/' || i AS k, i, x FROM (SELECT job_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT job_id, json_extract(j, '$.pages[*]') AS l FROM ok)) WHERE json_type(x) = 'OBJECT'),
+ce AS (SELECT job_id, k AS p, k || '/c' || n AS k, n, y FROM (SELECT job_id, k, unnest(l) AS y, generate_subscripts(l, 1) - 1 AS n FROM (SELECT job_id, k, json_extract(x, '$.cells[*]') AS l FROM pg)) WHERE json_type(y) = 'OBJECT'),
+fi AS (SELECT job_id, k AS p, k || '/f' || n AS k, n FROM (SELECT job_id, k, unnest(l) AS y, generate_subscripts(l, 1) - 1 AS n FROM (SELECT job_id, k, json_extract(x, '$.fields[*]') AS l FROM pg)) WHERE json_type(y) = 'OBJECT'),
+sc AS (SELECT job_id, k AS p, k || '/s' || n AS k, n FROM (SELECT job_id, k, unnest(range(0, CASE WHEN json_type(y, '$.candidate_scores') = 'OBJECT' THEN len(json_keys(y, '$.candidate_scores')) ELSE coalesce(json_array_length(y, '$.candidate_scores'), 0) END::BIGINT)) AS n FROM ce WHERE json_type(y, '$.candidate_scores') IN ('OBJECT', 'ARRAY'))),
+mo AS (SELECT job_id, k AS p, k || '/' || m AS k, n2 AS n FROM ce, (VALUES ('model_a', 0), ('model_b', 1)) AS v(m, n2) WHERE json_type(y, '$.slow_mode_evidence.' || m) NOT IN ('NULL')),
+cr AS (SELECT job_id, job_id AS p, job_id || '/' || t || '/' || i AS k, i AS n, t FROM (SELECT job_id, t, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT job_id, 'column_rule' AS t, json_extract(j, '$.template.column_rules[*]') AS l FROM ok UNION ALL SELECT job_id, 'cell_rule', json_extract(j, '$.template.cell_rules[*]') FROM ok)) WHERE json_type(x) = 'OBJECT'),
+keys AS (SELECT 'job' AS node_level, job_id AS node_key, NULL AS parent_key, 0 AS ordinal, job_id FROM ok UNION ALL SELECT 'page', k, job_id, i, job_id FROM pg UNION ALL SELECT 'cell', k, p, n, job_id FROM ce UNION ALL SELECT 'field', k, p, n, job_id FROM fi UNION ALL SELECT 'candidate', k, p, n, job_id FROM sc UNION ALL SELECT 'model_reading', k, p, n, job_id FROM mo UNION ALL SELECT t, k, p, n, job_id FROM cr)"""
+
+
+@query(_KEYS + " SELECT node_level, node_key, parent_key, ordinal::INTEGER AS ordinal, job_id FROM keys")
+def p3_keys(spark, sf):
+    """Keys, parents and places of all nodes."""
+    return FlatTables(table(spark, sf, "jobs")).nodes.select("node_level", "node_key", "parent_key", "ordinal", "job_id")
+
+
+@query(_KEYS + " SELECT node_level, count(*) AS n_rows, count(DISTINCT parent_key) AS n_parents, count(DISTINCT job_id) AS n_jobs FROM keys GROUP BY node_level")
 def p3_links(spark, sf):
     """Rows and parents of each flat table."""
     n = FlatTables(table(spark, sf, "jobs")).nodes
