@@ -167,7 +167,7 @@ def split_readings(obs: DataFrame) -> DataFrame:
     return tops.where(G.full(F.col("value"), r"\d+\.\d+"))
 
 
-def cascade_ranked(obs: DataFrame, rules: DataFrame, weight: Column, digit_checks: DataFrame, seen: DataFrame) -> DataFrame:
+def cascade_ranked(obs: DataFrame, rules: DataFrame, weight: Column, digit_checks: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """The whole cascade, then ranked: per cell the selected value, its score and flags.
 
     Views other than split ones score as in ``cascade``. Where a separator is seen
@@ -176,8 +176,11 @@ def cascade_ranked(obs: DataFrame, rules: DataFrame, weight: Column, digit_check
     its confidence. A model's split reading adds 1.8 * weight * support. A value counts a fifth
     for each visible digit (``seen.digits``) that it lacks. The best supported check of a scored
     value adds 0.55 * support * confidence. The best value is then the current one of
-    ``ranked``. Cells where no reading obeys the rule keep the fast vote.
+    ``ranked``. Cells where no reading obeys the rule keep the fast vote. Without ``seen``
+    nothing is known of separators and digits.
     """
+    if seen is None:
+        seen = obs.limit(0).select("cell_id", F.lit(None).cast("double").alias("separator"), F.lit(None).cast("int").alias("digits"))
     rows = obs.join(rules, "cell_id").withColumn("fits", G.valid(F.col("value"), F.col("rule"))).withColumn("places", F.coalesce("rule.decimal_places", F.lit(0)))
     short = ~is_split(F.col("image_key")) & G.full(F.col("value"), r"[0-9]{2,4}")
     obs = stage(rows.withColumn("proposal", F.when(short, G.decimal_proposal(F.col("value"), F.col("rule")))).drop("rule"), "cascade-readings")

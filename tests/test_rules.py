@@ -108,3 +108,17 @@ def test_cascade_counts_splits_and_checks(spark):
     got = {r.cell_id: (r.value, r.score, r.flags.split(",")) for r in ranking.cascade_ranked(obs, held, F.lit(1.0), checks).collect()}
     assert got[1][:2] == ("1.2", 1.62) and got[2][:2] == ("8", 1.2255)
     assert "digit_verifier_agrees" in got[2][2] and got[3][0] == "x" and "high_accuracy_no_consensus" in got[3][2]
+
+
+def test_cascade_with_what_is_seen(spark):
+    said = [(1, "a", "base-0", "12", 0.8), (1, "a", "base-1", "1.2", 0.5), (2, "a", "base-0", "7", 0.9), (2, "b", "base-0", "77", 0.5)]
+    obs = spark.createDataFrame(said, "cell_id long, model string, image_key string, value string, support double")
+    kind = f"struct<{RULE.replace(', ', ',').replace(' ', ':')}>"
+    held = spark.createDataFrame([(i, rule(places=p)) for i, p in ((1, 1), (2, None))], f"cell_id long, rule {kind}")
+    checks = spark.createDataFrame([], "check_id long, cell_id long, text string, support double, confidence double")
+    seen = spark.createDataFrame([(1, 0.8, None), (2, None, 2)], "cell_id long, separator double, digits int")
+    got = {r.cell_id: (r.value, round(r.score, 6), r.flags.split(",")) for r in ranking.cascade_ranked(obs, held, F.lit(1.0), checks, seen).collect()}
+    # 12 breaks the rule and speaks for 1.2 at 0.72 * 0.8; 1.2 itself has 0.78 and the separator adds 1.25 * 0.8.
+    assert got[1][0] == "1.2" and got[1][1] == round(0.72 * 0.8 + 0.78 + 1.0, 6) and "decimal_separator_detected" in got[1][2]
+    # 7 lacks a visible digit, so it counts a fifth.
+    assert got[2][0] == "77" and "visible_digit_count_used" in got[2][2]
