@@ -56,3 +56,23 @@ def files(spark: SparkSession, path: str) -> DataFrame:
         .otherwise("unknown")
     )
     return df.select("path", "length", "modificationTime", F.sha2("content", 256).alias("digest"), kind.alias("kind"))
+
+
+#: The extensions that a file of each kind may have.
+NAMES = {"png": ("png",), "jpeg": ("jpg", "jpeg"), "tiff": ("tif", "tiff"), "pdf": ("pdf",), "heif": ("heic", "heif")}
+
+
+def misnamed(found: DataFrame) -> DataFrame:
+    """Files whose bytes are of another kind than their name says, or of none that can be opened."""
+    extension = F.lower(F.regexp_extract("path", r"\.([^.]+)\z", 1))
+    fits = F.lit(False)
+    for kind, names in NAMES.items():
+        fits = fits | ((F.col("kind") == kind) & extension.isin(*names))
+    return found.where(~fits)
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change) of files between two scans: changed by size or digest, gone, or new."""
+    old, new = before.select("path", F.col("length").alias("n0"), F.col("digest").alias("d0")), after.select("path", F.col("length").alias("n1"), F.col("digest").alias("d1"))
+    change = F.when(F.col("d0").isNull(), "new").when(F.col("d1").isNull(), "gone").when((F.col("n0") != F.col("n1")) | (F.col("d0") != F.col("d1")), "changed")
+    return old.join(new, "path", "full").select("path", change.alias("change")).where("change is not null")

@@ -229,3 +229,10 @@ def test_sources(spark, tmp_path):
     assert [(r.height, r.width, r.channels) for r in page] == [(2, 3, 3)]
     files = readers.files(spark, str(tmp_path / "p"))
     assert sorted(r.kind for r in files.collect()) == ["png", "unknown"] and readers.openable(files).count() == 1
+    before = spark.createDataFrame([(r.path, r.length, r.digest) for r in files.collect()], "path string, length long, digest string")
+    (tmp_path / "p" / "y.txt").unlink()
+    (tmp_path / "p" / "z.jpg").write_bytes(png)
+    (tmp_path / "p" / "x.png").write_bytes(png[:-1] + b"x")
+    after = readers.files(spark, str(tmp_path / "p"))
+    assert {(r.path[-5:], r.change) for r in readers.changed(before, after).collect()} == {("x.png", "changed"), ("y.txt", "gone"), ("z.jpg", "new")}
+    assert [r.path[-5:] for r in readers.misnamed(after).collect()] == ["z.jpg"]
