@@ -10,7 +10,11 @@ gives about one value for every four words. Hits are verified by exact containme
 the piece's shingle sequence, word by word.
 
 The items' pieces travel to the executors only when there are at most ``ITEM_PIECES`` of
-them (eight bytes each); beyond that documents and items meet in a join on the MinHash.
+them (eight bytes each). Beyond that both sides meet in joins, with the same result:
+documents give their distinct MinHashes, which are kept where some item has them (a
+semi-join, so a stock sentence in many items brings no pairs); at the kept places they give
+the hash of the whole piece, and only equal pieces make a pair. Pairs are verified word by
+word with each text fetched once, whatever the number of its items.
 
 Cases. Null or empty texts and null ids give nothing. Words are maximal runs of letters
 and digits in lower case; unseen characters are dropped and a word broken by a hyphen at
@@ -121,18 +125,55 @@ def _scan(shared, run: int):
     return go
 
 
-def _fingerprints(run: int, lengths: list[int]):
-    """MinHashes of a text's pieces, each distinct one once, as (id, text, hashes)."""
+def _pieces(words: ta.Words, lengths: list[int]):
+    """MinHash, whole hash and first word of every piece of one text, for each piece length."""
+    for n in lengths:
+        least, at = _minhash(words, n)
+        yield n, least, ta.shingles(words.value, n)[at] if len(at) else np.empty(0, np.uint64), at
+
+
+def _doc_prints(lengths: list[int]):
+    """Arrow kernel: the distinct MinHashes of a text's pieces."""
+
+    def go(batches):
+        for batch in batches:
+            out = [np.unique(np.concatenate([least for _, least, _, _ in _pieces(ta.Words([t]), lengths)])).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+    return go
+
+
+def _item_prints(run: int, short: bool):
+    """Arrow kernel: MinHash and whole hash of every piece of an item; its piece length depends on its size."""
 
     def go(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = []
-            for t in texts:
+            rows = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = ta.Words([t])
-                got = [_minhash(words, run)[0]] if not lengths else [_minhash(words, n)[0] for n in lengths]
-                out.append(np.unique(np.concatenate(got)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "hashes"])
+                n = len(words.value)
+                piece = run if n >= run else n if short and n >= SHINGLE else 0
+                for _, least, whole, _ in _pieces(words, [piece] if piece else []):
+                    rows += [(i, h, e) for h, e in zip(least.view(np.int64).tolist(), whole.view(np.int64).tolist())]
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item_id", "h", "e"])
+
+    return go
+
+
+def _doc_pieces(lengths: list[int]):
+    """Arrow kernel: whole hashes of the pieces whose MinHash some item has."""
+
+    def go(batches):
+        for batch in batches:
+            ids, out = [], []
+            for i, t, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                wanted = np.array(hits, np.int64).view(np.uint64)
+                for _, least, whole, _ in _pieces(ta.Words([t]), lengths):
+                    found = np.unique(whole[np.isin(least, wanted)]).view(np.int64).tolist()
+                    ids += [i] * len(found)
+                    out += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], ["doc_id", "e"])
 
     return go
 
@@ -141,17 +182,22 @@ def _verify(run: int, short: bool):
     def go(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, item_id, item_text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                items = _Items([item_id], [item_text], run, short)
+            for doc_id, text, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                items = _Items([x["item_id"] for x in held], [x["item_text"] for x in held], run, short)
                 doc = ta.Words([text])
+                values = doc.value.tolist()
+                starts = defaultdict(list)
                 for piece, table in items.pieces.items():
                     least, at = _minhash(doc, piece)
                     hit = np.flatnonzero(np.isin(least, items.keys[piece]))
-                    starts = [(w, i) for h, w in zip(least[hit].tolist(), at[hit].tolist()) for _, i in table[h]]
-                    spans = _runs(doc.value.tolist(), items.words[0], starts, piece)
+                    for h, w in zip(least[hit].tolist(), at[hit].tolist()):
+                        for item, i in table[h]:
+                            starts[item, piece].append((w, i))
+                for (item, piece), found in starts.items():
+                    spans = _runs(values, items.words[item], found, piece)
                     if spans:
                         covered = set().union(*(range(i, i + n) for i, n in spans))
-                        rows.append((doc_id, item_id, max(n for _, n in spans), len(covered), len(items.words[0])))
+                        rows.append((doc_id, items.ids[item], max(n for _, n in spans), len(covered), len(items.words[item])))
             columns = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "longest", "matched_words", "item_words"])
@@ -175,12 +221,14 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = 12, short: bool = F
         shared = spark.sparkContext.broadcast(_Items([r["item_id"] for r in rows], [r["item_text"] for r in rows], run, short))
         found = docs.mapInArrow(_scan(shared, run), HITS)
     else:
-        lengths = list(range(SHINGLE, run + 1)) if short else []
-        prints = "id long, hashes array<long>"
-        left = stage(docs.mapInArrow(_fingerprints(run, lengths), prints), "leak-docs").select(F.col("id").alias("doc_id"), F.explode("hashes").alias("h"))
-        right = held.mapInArrow(_fingerprints(run, lengths), prints).select(F.col("id").alias("item_id"), F.explode("hashes").alias("h"))
-        near = left.join(right, "h").select("doc_id", "item_id").distinct()
-        found = near.join(docs, "doc_id").join(held, "item_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(_verify(run, short), HITS)
+        lengths = list(range(SHINGLE, run + 1)) if short else [run]
+        prints = stage(held.mapInArrow(_item_prints(run, short), "item_id long, h long, e long").distinct(), "leak-items")
+        seen = docs.mapInArrow(_doc_prints(lengths), "doc_id long, hashes array<long>").select("doc_id", F.explode("hashes").alias("h")).distinct()
+        hits = seen.join(prints.select("h").distinct(), "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("hits"))  # at most a text's own pieces
+        pieces = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_doc_pieces(lengths), "doc_id long, e long").distinct()
+        near = stage(pieces.join(prints.select("item_id", "e"), "e").select("doc_id", "item_id").distinct(), "leak-pairs")
+        of_doc = near.join(held, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))  # its own leaks
+        found = docs.join(of_doc, "doc_id").select("doc_id", "text", "items").mapInArrow(_verify(run, short), HITS)
     return found.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"), F.max("matched_words").alias("matched_words"), F.max("item_words").alias("item_words"))
 
 
