@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgermill.llm.overlap import latest, with_role
@@ -41,42 +41,48 @@ def plain_key(column: Column) -> Column:
     return F.when(key.isin(*FILLER), F.lit(None)).otherwise(key)
 
 
+def counted(df: DataFrame, label: str, condition: Column) -> tuple[DataFrame, int]:
+    """The staged table and how many of its rows meet a condition, observed while it is written."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.sum(condition.cast("long")).alias("n")), label)
+    return out, seen.get["n"] or 0
+
+
 def components(edges: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(node, root) of every node of ``edges(u, v)``, and the spanning forest (u, v, round)."""
     order = F.xxhash64(F.lit(seed), F.least("u", "v"), F.greatest("u", "v"))
-    left = stage(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("w", order), "bundle-edges")
-    nodes = stage(edges.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null").distinct().withColumn("root", F.col("node")), "bundle-nodes")
+    yes = F.lit(True)
+    left, n_edges = counted(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("w", order), "bundle-edges", yes)
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null").distinct().withColumn("root", F.col("node"))
     forest = None
     step = 0
-    while left.limit(1).count():
+    while n_edges:
         step += 1
         both = left.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")).union(left.select("v", "u", "w", "u", "v"))
         picked = stage(both.groupBy("u").agg(F.min(F.struct("w", "a", "b", "v")).alias("m")).select("u", F.col("m.v").alias("to"), F.col("m.a").alias("a"), F.col("m.b").alias("b")), "bundle-picked")
-        chosen = stage(picked.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().withColumn("round", F.lit(step)), "bundle-forest")
+        chosen = picked.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().withColumn("round", F.lit(step))
         forest = chosen if forest is None else forest.union(chosen)
         # Two nodes that took the same edge point at each other; the lesser one is the root.
         other = picked.select(F.col("u").alias("to"), F.col("to").alias("back"))
         parent = stage(picked.select("u", "to").join(other, "to").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("to")), F.col("u")).otherwise(F.col("to")).alias("p")), "bundle-parent")
-        while True:
+        moved = 1
+        while moved:
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            far = stage(parent.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "bundle-parent")
-            moved = far.where("moved").limit(1).count()
+            far, moved = counted(parent.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "bundle-parent", F.col("moved"))
             release(parent)
-            path = far
+            path = far._ledgermill_path
             parent = far.select("u", "p")
-            parent._ledgermill_path = path._ledgermill_path
-            if not moved:
-                break
+            parent._ledgermill_path = path
+        # One join per round stays in the plan of the nodes; their number is the logarithm of the nodes at most.
+        nodes = nodes.join(parent.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         a, b = parent.toDF("u", "pu"), parent.toDF("v", "pv")
         merged = left.join(a, "u").join(b, "v").where("pu <> pv").groupBy(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).agg(F.min("w").alias("w"))
-        merged = stage(merged, "bundle-edges")
-        renamed = stage(nodes.join(parent.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "bundle-nodes")
-        for old in (left, nodes, parent, picked):
-            release(old)
-        left, nodes = merged, renamed
+        merged, n_edges = counted(merged, "bundle-edges", yes)
+        release(left)
+        left = merged
     if forest is None:
         forest = left.select("u", "v", F.lit(0).alias("round"))
-    return nodes, forest
+    return stage(nodes, "bundle-nodes"), forest
 
 
 class Bundles:
