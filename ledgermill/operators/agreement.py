@@ -35,10 +35,19 @@ def unwrapped(text: Column) -> Column:
 
 
 def reading(value: Column, rule: Column) -> Column:
-    """The answer under the rule, or null where it is no number or breaks a hard limit."""
-    none = F.array().cast("array<string>")
-    kept = G.constrain(unwrapped(value), none, F.create_map().cast("map<string,double>"), F.lit(0.0), none, rule)["text"]
-    return G.let(F.when(value.isNotNull(), kept), lambda t: F.when(G.numeric_identity(t).isNotNull() & G.valid(t, rule), t))
+    """The answer under the rule, or null where it is no number or breaks a hard limit.
+
+    An answer that breaks the rule counts as the one proposal that obeys it, if there is just
+    one; this is what constraining a reading without other candidates comes to.
+    """
+
+    def allowed(t: Column) -> Column:
+        proposals = F.struct(G.separator_reclassification(t, rule).alias("moved"), G.decimal_proposal(t, rule).alias("put"))
+        one = G.let(proposals, lambda p: F.when(p["moved"].isNull(), p["put"]).when(p["put"].isNull() | (p["put"] == p["moved"]), p["moved"]))
+        return F.when((t != "") & G.valid(t, rule), t).when(t != "", one)
+
+    plain = G.let(unwrapped(value), lambda t: F.when(rule["value_format"].isin(*G.NUMERIC_FORMATS), G.canonical_numeric(t)).otherwise(t))
+    return G.let(F.when(value.isNotNull(), G.let(plain, allowed)), lambda t: F.when(G.numeric_identity(t).isNotNull(), t))
 
 
 def agree(cells: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
