@@ -121,9 +121,16 @@ def replayed(sent: DataFrame, receipts: DataFrame, jobs: DataFrame) -> DataFrame
 
 
 def imported(jobs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Jobs with the sources (id, source_name, source_path) that are not there yet, as imported."""
-    new = sources.join(jobs.select("id").distinct(), "id", "left_anti").withColumn("status", F.lit("imported"))
-    return jobs.select("id", "source_name", "source_path", "status").unionByName(new.select("id", "source_name", "source_path", "status"))
+    """Jobs with the sources (id, source_name, source_path) that are not there yet, as imported.
+
+    A source without an id is not imported. Jobs and sources meet in one window, not in a join:
+    from its second import on a join would read a union, which Spark 4.1 plans as partitioned
+    by id where both sides are, but may run with the partitions of both one after the other.
+    """
+    row = ("id", "source_name", "source_path", "status")
+    new = sources.where("id is not null").withColumn("status", F.lit("imported")).select(*row, F.lit(False).alias("stored"))
+    rows = jobs.select(*row, F.lit(True).alias("stored")).unionByName(new)
+    return rows.withColumn("there", F.max("stored").over(Window.partitionBy("id"))).where("stored or not there").select(*row)
 
 
 def drafts(saved: DataFrame) -> DataFrame:

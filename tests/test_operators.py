@@ -190,6 +190,23 @@ def test_uploads(spark):
     assert [tuple(r) for r in receipts.collect()] == [("a", "x", 2)] and [tuple(r) for r in conflicts.collect()] == [("b", 2)]
 
 
+def test_imported_twice(spark):
+    """Sorted merges, as at size: the union of the first import was taken for partitioned by id in the second."""
+    row = "id string, source_name string, source_path string"
+    j = spark.createDataFrame([("a", "old", "/o", "ready", "1", 1), ("a", "newer", "/n", "review", "2", 1), ("b", "b", "/b", "ready", "1", 1), (None, "x", "/x", "ready", "1", 1)], row + ", status string, updated_at string, received_at int")
+    s = spark.createDataFrame([("a", "again", "/s"), ("c", "c1", "/c1"), ("c", "c2", "/c2"), ("d", None, ""), (None, "y", "/y")], row)
+    added = [("c", "c1", "/c1", "imported"), ("c", "c2", "/c2", "imported"), ("d", None, "", "imported")]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = jobs.imported(jobs.current(j), s)
+        for got in (once, jobs.imported(once, s), jobs.imported(jobs.imported(once, s), s)):
+            assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", "newer", "/n", "review"), ("b", "b", "/b", "ready"), *added], key=str)
+        assert sorted(map(tuple, jobs.imported(jobs.current(j.limit(0)), s.where("id > 'a'")).collect()), key=str) == sorted(added, key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_titles(spark):
     df = spark.createDataFrame([("Plantar test, left", "Plantar Test"), ("Plantartest", "plantar test"), ("a b", "a b"), (None, "plantar"), ("x", None)], "t string, n string")
     assert [r[0] for r in df.select(templates.title_matches(F.col("t"), F.col("n"))).collect()] == [True, False, False, False, False]

@@ -39,6 +39,15 @@ def test_equals_oracle(spark, duck, sf, name):
     check(QUERIES[name](spark, sf), duck, SQL[name])
 
 
+def test_import_sources_without_broadcast(spark, duck, sf):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(QUERIES["import_sources"](spark, sf), duck, SQL["import_sources"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_rows_of_queries_without_sql(spark, sf):
     for name in sorted(set(QUERIES) - set(SQL)):
         assert QUERIES[name](spark, sf).count() > 0, name
